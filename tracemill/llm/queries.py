@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import mixing, sharding, simhash
 from .common import table
 
 SHARDS = 24
@@ -16,10 +16,15 @@ def op1_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "rate", "copies")
 
 
+def op4_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return linked.select(F.col("id").alias("doc_id"), simhash.hexadecimal(F.col("print")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_plan(table(spark, sf_dir, "documents"), shards=SHARDS)
     return placed.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_entropy_mix, op10_kd_shards)}
+QUERIES = {f.__name__: f for f in (op1_entropy_mix, op4_simhash_bktree, op10_kd_shards)}
 ORACLE_SQL: dict[str, str] = {}
