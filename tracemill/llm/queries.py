@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, sharding, simhash
+from . import decontam, mixing, sharding, simhash, substring
 from .common import table
 
 SHARDS = 24
@@ -34,10 +34,15 @@ def op4_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select(F.col("id").alias("doc_id"), simhash.hexadecimal(F.col("print")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op7_substring_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring.without_repeats(table(spark, sf_dir, "documents"))
+    return left.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_plan(table(spark, sf_dir, "documents"), shards=SHARDS)
     return placed.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_entropy_mix, op2_positional_decontam, op4_simhash_bktree, op10_kd_shards)}
+QUERIES = {f.__name__: f for f in (op1_entropy_mix, op2_positional_decontam, op4_simhash_bktree, op7_substring_doubling, op10_kd_shards)}
 ORACLE_SQL: dict[str, str] = {}
