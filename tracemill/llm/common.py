@@ -84,3 +84,28 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         before = now
     roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+
+
+def fold(column, parts: int):
+    """crc32 of a value as text, modulo ``parts``; null for a null."""
+    return F.crc32(column.cast("string").cast("binary")) % parts
+
+
+def bounded_sample(rows: DataFrame, group: str, bound: int, key: str, salt: int = 3) -> DataFrame:
+    """About ``bound`` rows of each value of ``group``, or all it has: those whose key's hash falls under the group's share.
+
+    The counts are one small aggregation; the choice depends on the keys alone, not on the order of rows."""
+    counts = rows.groupBy(group).agg(F.count("*").alias("_n")).withColumnRenamed(group, "_g")
+    return rows.join(F.broadcast(counts.orderBy(F.desc("_n"), "_g").limit(1000)), F.col(group) == F.col("_g")).where(uniform(F.col(key), salt=salt) * F.col("_n") < bound).drop("_g", "_n")
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, bound: int, parts: int = 5, id_col="doc_id", text_col="text", longest: int = 200_000) -> list[tuple[int, str, int]]:
+    """(id, text, label), sorted, of about ``bound`` labelled documents a label outside the held-out fold, for fitting.
+
+    The ids are few and bounded, so they are broadcast to the documents and no text is shuffled. Where an id has
+    several labels the largest counts. Texts of over ``longest`` characters are not fitted on."""
+    usable = labels.where((fold(F.col(id_col), parts) != 0) & F.col(label).isNotNull()).groupBy(id_col).agg(F.max(label).alias("_label"))
+    chosen = bounded_sample(usable, "_label", bound, id_col).select(F.col(id_col).alias("_id"), "_label")
+    found = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
+    rows = found.where(F.char_length("_text") <= longest).select("_doc", "_text", "_label").collect()
+    return sorted((r[0], r[1], int(r[2])) for r in rows)

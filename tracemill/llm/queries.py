@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, sharding, simhash, substring
-from .common import table
+from . import decontam, langid, mixing, quality, sharding, simhash, substring
+from .common import fold, table
 
 SHARDS = 24
 
@@ -34,6 +34,21 @@ def op4_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select(F.col("id").alias("doc_id"), simhash.hexadecimal(F.col("print")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op5_rank_order_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    profiles = langid.learn(docs.where(fold(F.col("doc_id"), 4) != 2))
+    held_out = F.coalesce(fold(F.col("id"), 4) == 2, F.lit(False))
+    return langid.predict(docs, profiles).select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    graded = quality.grade(docs.select("doc_id", "text"), model)
+    held_out = F.coalesce(fold(F.col("row.doc_id"), 5) == 0, F.lit(False))
+    return graded.select("row.doc_id", held_out.alias("held_out"), "expected_grade", F.col("tail").alias("tail_probability"), (F.col("tail") >= 0.5).alias("accepted"))
+
+
 def op7_substring_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = substring.without_repeats(table(spark, sf_dir, "documents"))
     return left.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -44,5 +59,5 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_entropy_mix, op2_positional_decontam, op4_simhash_bktree, op7_substring_doubling, op10_kd_shards)}
+QUERIES = {f.__name__: f for f in (op1_entropy_mix, op2_positional_decontam, op4_simhash_bktree, op5_rank_order_langid, op6_ordinal_quality, op7_substring_doubling, op10_kd_shards)}
 ORACLE_SQL: dict[str, str] = {}
