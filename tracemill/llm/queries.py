@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, quality, sharding, simhash, substring
+from . import decontam, embed, langid, mixing, quality, sharding, simhash, substring
 from .common import fold, table
 
 SHARDS = 24
@@ -54,10 +54,15 @@ def op7_substring_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = embed.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return linked.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_plan(table(spark, sf_dir, "documents"), shards=SHARDS)
     return placed.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_entropy_mix, op2_positional_decontam, op4_simhash_bktree, op5_rank_order_langid, op6_ordinal_quality, op7_substring_doubling, op10_kd_shards)}
+QUERIES = {f.__name__: f for f in (op1_entropy_mix, op2_positional_decontam, op4_simhash_bktree, op5_rank_order_langid, op6_ordinal_quality, op7_substring_doubling, op9_rp_forest, op10_kd_shards)}
 ORACLE_SQL: dict[str, str] = {}
