@@ -50,23 +50,32 @@ def chunks(sizes: list[int], limit: int = CHUNK) -> Iterator[tuple[int, int]]:
         yield begin, len(sizes)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every word of the texts, in order, and the number of its text."""
+def bounds(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' bytes end to end, the place of each word's first byte, for every byte its distance from the word start before
+    it, and the number of each word's text."""
     raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     inside = _IS_WORD[raw]
     starts = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
-    if len(raw) and inside[0]:
+    if inside[0]:
         starts = np.concatenate([[0], starts])
-    if not len(starts):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
     since = np.zeros(len(raw), np.int64)
     since[starts] = starts
     np.maximum.accumulate(since, out=since)
     np.subtract(np.arange(len(raw)), since, out=since)
-    terms = _VALUE[raw] * _powers(int(since.max()) + 1)[since]
-    hashes = mixed(np.add.reduceat(terms, starts))
     ends = np.cumsum([len(t) + 1 for t in texts])
-    return hashes, np.searchsorted(ends, starts, side="right")
+    return raw, starts, since, np.searchsorted(ends, starts, side="right")
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word of the texts, in order, and the number of its text."""
+    raw, starts, since, owner = bounds(texts)
+    return hashed(raw, starts, since), owner
+
+
+def hashed(raw: np.ndarray, starts: np.ndarray, since: np.ndarray) -> np.ndarray:
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    return mixed(np.add.reduceat(_VALUE[raw] * _powers(int(since.max()) + 1)[since], starts))
 
 
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:

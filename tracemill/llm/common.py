@@ -107,5 +107,5 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, bound: int, p
     usable = labels.where((fold(F.col(id_col), parts) != 0) & F.col(label).isNotNull()).groupBy(id_col).agg(F.max(label).alias("_label"))
     chosen = bounded_sample(usable, "_label", bound, id_col).select(F.col(id_col).alias("_id"), "_label")
     found = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
-    rows = found.where(F.char_length("_text") <= longest).select("_doc", "_text", "_label").collect()
-    return sorted((r[0], r[1], int(r[2])) for r in rows)
+    rows = found.where(F.coalesce(F.char_length("_text"), F.lit(0)) <= longest).select("_doc", "_text", "_label").collect()
+    return sorted((r[0], r[1] or "", int(r[2])) for r in rows)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embed, langid, mixing, quality, sharding, simhash, substring
+from . import decontam, embed, langid, mixing, quality, sharding, simhash, substring, toxicity
 from .common import fold, table
 
 SHARDS = 24
@@ -29,6 +29,14 @@ def op2_positional_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_toxicity_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    network = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(fold(F.col("id"), 5) == 0, F.lit(False))
+    scored = toxicity.score(docs, network)
+    return scored.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return linked.select(F.col("id").alias("doc_id"), simhash.hexadecimal(F.col("print")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -64,5 +72,5 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_entropy_mix, op2_positional_decontam, op4_simhash_bktree, op5_rank_order_langid, op6_ordinal_quality, op7_substring_doubling, op9_rp_forest, op10_kd_shards)}
+QUERIES = {f.__name__: f for f in (op1_entropy_mix, op2_positional_decontam, op3_toxicity_bigru, op4_simhash_bktree, op5_rank_order_langid, op6_ordinal_quality, op7_substring_doubling, op9_rp_forest, op10_kd_shards)}
 ORACLE_SQL: dict[str, str] = {}
