@@ -28,6 +28,8 @@ from .common import labelled_texts
 BUCKETS = 1 << 12
 LEARN = 1500
 STEPS = 150
+#: The tail probability from which a document is accepted: low, so that clean documents stay.
+ACCEPT = 0.3
 
 
 def features(texts: list[bytes]) -> np.ndarray:
@@ -124,6 +126,6 @@ def grade(docs: DataFrame, model: Ordinal, least: int | None = None, text_col="t
     return rows.mapInArrow(_graded(shared, least), f"row {rows.schema['row'].dataType.simpleString()}, expected_grade double, tail double")
 
 
-def accepted(docs: DataFrame, model: Ordinal, threshold: float = 0.5, least: int | None = None, text_col="text") -> DataFrame:
+def accepted(docs: DataFrame, model: Ordinal, threshold: float = ACCEPT, least: int | None = None, text_col="text") -> DataFrame:
     """The documents whose tail probability reaches the threshold, in the input's columns."""
     return grade(docs, model, least, text_col).where(F.col("tail") >= threshold).select("row.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embed, langid, mixing, quality, sharding, simhash, substring, toxicity
+from . import decontam, embed, langid, mixing, quality, sharding, simhash, substring, toxicity, urlfilter
 from .common import fold, table
 
 SHARDS = 24
@@ -54,7 +54,7 @@ def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     graded = quality.grade(docs.select("doc_id", "text"), model)
     held_out = F.coalesce(fold(F.col("row.doc_id"), 5) == 0, F.lit(False))
-    return graded.select("row.doc_id", held_out.alias("held_out"), "expected_grade", F.col("tail").alias("tail_probability"), (F.col("tail") >= 0.5).alias("accepted"))
+    return graded.select("row.doc_id", held_out.alias("held_out"), "expected_grade", F.col("tail").alias("tail_probability"), (F.col("tail") >= quality.ACCEPT).alias("accepted"))
 
 
 def op7_substring_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,11 @@ def op7_substring_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_url_linkgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdicts = urlfilter.judged(table(spark, sf_dir, "pages"))
+    return verdicts.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "trust", "distrust")
+
+
 def op9_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = embed.near_duplicates(table(spark, sf_dir, "embeddings"))
     return linked.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
@@ -72,5 +77,5 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_entropy_mix, op2_positional_decontam, op3_toxicity_bigru, op4_simhash_bktree, op5_rank_order_langid, op6_ordinal_quality, op7_substring_doubling, op9_rp_forest, op10_kd_shards)}
+QUERIES = {f.__name__: f for f in (op1_entropy_mix, op2_positional_decontam, op3_toxicity_bigru, op4_simhash_bktree, op5_rank_order_langid, op6_ordinal_quality, op7_substring_doubling, op8_url_linkgraph, op9_rp_forest, op10_kd_shards)}
 ORACLE_SQL: dict[str, str] = {}

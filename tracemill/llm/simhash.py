@@ -210,3 +210,20 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle:
 def hexadecimal(value):
     """A signed long as 16 lowercase hexadecimal digits."""
     return F.lower(F.lpad(F.hex(value), 16, "0"))
+
+
+def one_of_each(docs: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:
+    """One document of every component, in the input's columns: the one with the least id, and of several rows with that
+    id the one whose text hashes least. Equal rows of that kind leave one."""
+    tag = F.xxhash64(F.col(id_col), F.col(text_col))
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), tag.alias("tag")).alias("id"), F.col(text_col).alias("text"))
+    chosen = near_duplicates(keyed, "id", "text", **options).groupBy("component").agg(F.min("id").alias("first"))
+    first = chosen.select(F.col("first.tag").alias("_tag")).distinct()
+    kept = docs.withColumn("_tag", tag).join(first, "_tag", "left_semi")
+    # Rows that are equal in id and text meet under one tag; only such rows are put together here.
+    again = keep(kept.groupBy("_tag").agg(F.count("*").alias("n")).where("n > 1").select("_tag"), "repeated-rows")
+    if again.isEmpty():
+        return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    single = kept.join(again, "_tag", "left_anti")
+    merged = kept.join(again, "_tag", "left_semi").groupBy("_tag").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
+    return single.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(merged.select("row.*"))
