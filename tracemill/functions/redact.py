@@ -1,4 +1,4 @@
-"""Hiding credentials in commands and urls. Column expressions only; applying them again changes nothing."""
+"""Hiding credentials in commands and urls. Column expressions only, linear in the text; applying them again changes nothing."""
 
 from __future__ import annotations
 
@@ -21,50 +21,34 @@ KEY_SHAPES = r"(?i)\b(?:sk-(?:proj-|ant-api[0-9]{2}-)?[A-Za-z0-9_-]{8,}|gh[pousr
 MAX_PATTERNS, MAX_PATTERN_BYTES = 100, 1024
 
 
-def _is_secret_name(word: Column) -> Column:
-    """An argument's or variable's name that names a secret; quotes about it and hyphens before it do not count."""
-    bare = F.regexp_replace(F.regexp_replace(word, r"""^["']+|["']+$""", ""), "^-+", "")
-    name = F.translate(F.lower(bare), "-", "_")
-    known = name.isin(*SECRET_NAMES)
-    for end in SECRET_ENDS:
-        known = known | name.endswith(end)
-    return bare.rlike("^[A-Za-z0-9_-]+$") & known
+def _name() -> str:
+    """A word that names a secret: quotes about it and hyphens before it do not count, a hyphen in it is an underscore."""
+    either = lambda names: "|".join(n.replace("_", "[-_]") for n in names)
+    return rf"""["']*-*(?:{either(SECRET_NAMES)}|[A-Za-z0-9_-]*(?:{either(SECRET_ENDS)}))["']*"""
 
 
-def _url(word: Column) -> Column:
-    """Hides the password of a url and the secrets of its query."""
-    hidden = F.regexp_replace(word, r"^(.*?://[^/?#:]*?:)[^/?#]*(@[^/?#@]*)(?=[/?#]|$)", r"$1\[REDACTED\]$2")
-    return F.when(word.contains("://"), F.regexp_replace(hidden, QUERY_SECRET, r"$1\[REDACTED\]")).otherwise(word)
+# A value: from an opened quote to the first word that ends with it, or to the end; or else one word.
+_VALUE = r"""(?:(["'])(?![^ ]*\3(?![^ ]))(?:[^ ]* .*?\3(?![^ ])|.*$)|[^ ]*)"""
+_ASSIGNED = rf"(?i)(?<![^ ])({_name()})([ =]){_VALUE}"
 
 
-def _opened(text: Column) -> Column:
-    """The quote that a word opens and does not close, or an empty text."""
-    first = F.substring(text, 1, 1)
-    single = (F.length(text) == 1) | ~(F.substring(text, F.greatest(F.length(text), F.lit(1)), F.lit(1)) == first)
-    return F.when(first.isin('"', "'") & single, first).otherwise(F.lit(""))
+def _structural(text: Column) -> Column:
+    """Hides the value after the name of a secret, whether it is the next word or stands after an equals sign. Matches are
+    taken from left to right, so a value is never read as a name. Then the passwords and queries of urls."""
+    spaced = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    hidden = F.regexp_replace(spaced, _ASSIGNED, r"$1$2\[REDACTED\]")
 
+    def url(word):
+        safe = F.regexp_replace(word, r"^(.*?://[^/?#:]*:)[^/?#]*(@[^/?#@]*)(?=[/?#]|$)", r"$1\[REDACTED\]$2")
+        return F.when(word.contains("://"), F.regexp_replace(safe, QUERY_SECRET, r"$1\[REDACTED\]")).otherwise(word)
 
-def _words(text: Column) -> Column:
-    """The word loop: a fold whose state is what is written, whether the next word is hidden, and the quote still open."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("next"), F.lit("").alias("quote"))
-
-    def step(state, word):
-        equals = F.instr(word, "=")
-        name, value = F.substring(word, F.lit(1), equals - 1), F.substring(word, equals + 1, F.length(word))
-        inside, names = state["quote"] != "", _is_secret_name(word)
-        assigned = ~names & (equals > 0) & _is_secret_name(name)
-        written = F.when(state["next"], F.lit(MARK)).when(names, word).when(assigned, F.concat(name, F.lit("=" + MARK))).otherwise(_url(word))
-        quote = F.when(inside, F.when(word.endswith(state["quote"]), "").otherwise(state["quote"])).when(state["next"], _opened(word)).when(assigned, _opened(value)).otherwise("")
-        return F.struct(F.when(inside, state["out"]).otherwise(F.array_append(state["out"], written)).alias("out"), F.when(inside, state["next"]).otherwise(~state["next"] & names).alias("next"), quote.alias("quote"))
-
-    parts = F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
-    return F.aggregate(parts, start, step, lambda s: F.array_join(s["out"], " "))
+    return F.when(hidden.contains("://"), F.array_join(F.transform(F.split(hidden, " "), url), " ")).otherwise(hidden)
 
 
 def redact_builtin(column) -> Column:
     text = _c(column)
     lower = F.lower(text)
-    hidden = F.regexp_replace(_words(text), BEARER, r"Bearer \[REDACTED\]")
+    hidden = F.regexp_replace(_structural(text), BEARER, r"Bearer \[REDACTED\]")
     hidden = F.regexp_replace(hidden, KEY_SHAPES, r"\[REDACTED\]")
     header = lower.contains("authorization:") | lower.contains("x-api-key:")
     return F.when(text.isNull(), F.lit(None)).when(header, F.lit(HEADER_MARK)).otherwise(hidden)
@@ -86,16 +70,17 @@ def compile_patterns(text: str) -> list[str]:
 def redact_custom(column, patterns) -> Column:
     """Applies the patterns outside the marks that are there already."""
     text = _c(column)
+    if not patterns:
+        return text
     marks = r"\[REDACTED[^\]]*\]"
-    pieces = F.regexp_extract_all(text, F.lit(rf"{marks}|(?:(?!{marks})[\s\S])+"), F.lit(0))
 
     def clean(piece):
-        out = piece
         for p in patterns:
-            out = F.regexp_replace(out, p, r"\[REDACTED: custom\]")
-        return F.when(piece.rlike("^" + marks + "$"), piece).otherwise(out)
+            piece = F.regexp_replace(piece, p, r"\[REDACTED: custom\]")
+        return piece
 
-    return F.when(text.isNull(), F.lit(None)).otherwise(F.array_join(F.transform(pieces, clean), "")) if patterns else text
+    between = F.transform(F.split(text, marks), clean)
+    return F.array_join(F.zip_with(between, F.regexp_extract_all(text, F.lit(marks), F.lit(0)), lambda a, m: F.concat(a, F.coalesce(m, F.lit("")))), "")
 
 
 def redacted(column, patterns=()) -> Column:

@@ -81,12 +81,13 @@ def transcript_path(project_path, session) -> Column:
 
 
 def duration(ms) -> Column:
-    """Under a second in ms, under a minute in seconds with one decimal, else minutes and seconds; a dash if unknown."""
+    """Under a second in ms, under a minute in seconds with one decimal, else minutes and seconds; a dash if unknown. Halves of a tenth go up."""
     x = _c(ms).cast("long")
+    tenths = F.floor((x + 50) / 100)
     return (
         F.when(x.isNull(), F.lit("\u2014"))
         .when(x < 1000, F.concat(x.cast("string"), F.lit("ms")))
-        .when(x < 60_000, F.format_string("%.1fs", x / 1000.0))
+        .when(x < 60_000, F.format_string("%d.%ds", F.floor(tenths / 10), tenths % 10))
         .otherwise(F.format_string("%dm%02ds", F.floor(x / 60_000), F.floor(x / 1000) % 60))
     )
 

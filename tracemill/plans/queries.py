@@ -255,7 +255,7 @@ def scrub_again(v):
 
 query("SELECT page_id, regexp_extract(regexp_replace(url, '/+$', ''), '([^/]*)$', 1) AS name FROM pages", "display_name")(lambda v: v.spark.read.parquet(f"{v.dir}/pages.parquet").select("page_id", values.display_name("url").alias("name")))
 query("SELECT doc_id, length(text) AS char_count, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL", "prompt_fingerprint")(lambda v: hooks.prompt_fingerprint(v.spark.read.parquet(f"{v.dir}/documents.parquet").where("text is not null").select("doc_id", F.col("text").alias("prompt"))).withColumn("char_count", F.col("char_count").cast("long")))
-query("SELECT id, CASE WHEN duration_ms IS NULL THEN '—' WHEN duration_ms < 1000 THEN concat(CAST(duration_ms AS VARCHAR), 'ms') WHEN duration_ms < 60000 THEN printf('%.1fs', duration_ms / 1000.0) ELSE printf('%dm%02ds', duration_ms // 60000, (duration_ms % 60000) // 1000) END AS shown FROM tool_outcomes", "format_duration")(lambda v: v.tool_outcomes.select("id", values.duration("duration_ms").alias("shown")))
+query("SELECT id, CASE WHEN duration_ms IS NULL THEN '—' WHEN duration_ms < 1000 THEN concat(CAST(duration_ms AS VARCHAR), 'ms') WHEN duration_ms < 60000 THEN printf('%d.%ds', (duration_ms + 50) // 1000, (duration_ms + 50) // 100 % 10) ELSE printf('%dm%02ds', duration_ms // 60000, (duration_ms % 60000) // 1000) END AS shown FROM tool_outcomes", "format_duration")(lambda v: v.tool_outcomes.select("id", values.duration("duration_ms").alias("shown")))
 query("SELECT id, printf('%,d', input_tokens) AS thousands FROM token_usage", "format_thousands")(lambda v: v.token_usage.select("id", values.thousands("input_tokens").alias("thousands")))
 query("SELECT id, concat(replace(path, '/', '-'), '/', CAST(id AS VARCHAR), '.jsonl') AS log FROM projects", "transcript_path")(lambda v: v.projects.select("id", values.transcript_path("path", F.col("id").cast("string")).alias("log")))
 query("SELECT id, strftime(make_timestamp(timestamp_us), '%Y-%m-%dT%H:%M:%S.%fZ') AS told, timestamp_us AS back_us FROM spine", "rfc3339")(lambda v: v.spine.withColumn("told", values.us_to_rfc3339("timestamp_us")).select("id", "told", values.rfc3339_to_us("told").alias("back_us")))
