@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import components, keep, uniform
 
 TREES, FIT, SPILL = 10, 16_384, 0.05
-LEAF, LEAF_MAX, TIGHT = 256, 1024, 0.1
+LEAF, LEAF_MAX = 256, 1024
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -39,30 +39,48 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def tight(width: int) -> float:
+    """A band of projections that holds near-duplicates: random unit vectors spread by 1 / sqrt(width)."""
+    return 0.8 / math.sqrt(width)
+
+
+def cut(quantiles, band: float) -> tuple[float, float, float, float] | None:
+    """From the 5, 25, 45, 50, 55, 75 and 95 % quantiles, how a leaf is split: (a, b, c, d) sends a projection left if it is in [a, b] and right
+    if it is <= c or >= d. None: the leaf is tight. Where half of it lies in the band, a clump, the clump is not cut; what lies outside is taken off."""
+    q5, q25, q45, q50, q55, q75, q95 = quantiles
+    if q95 - q5 < 2 * band:
+        return None
+    if q75 - q25 < band:
+        return q50 - band, q50 + band, q50 - 0.75 * band, q50 + 0.75 * band
+    return -math.inf, q55, -math.inf, q45
+
+
+QUANTILES = (0.05, 0.25, 0.5 - SPILL, 0.5, 0.5 + SPILL, 0.75, 0.95)
+
+
 class Tree:
-    """planes[i], low[i], high[i] of node i; its children are at left[i] and right[i], or it is leaf -left[i] - 1."""
+    """Node i has planes[i] and cuts[i]; its children are at left[i] and right[i]. A negative place is leaf -place - 1."""
 
     def __init__(self, sample: np.ndarray, least: int, rng: np.random.Generator) -> None:
         self.planes: list[np.ndarray] = []
-        self.low, self.high, self.left, self.right, self.leaves = [], [], [], [], 0
-        todo = [(np.arange(len(sample)), None)]
+        self.cuts: list[tuple] = []
+        self.left, self.right, self.leaves = [], [], 0
+        todo = [(np.arange(len(sample)), None, 0)]
         while todo:
-            members, hook = todo.pop()
+            members, hook, depth = todo.pop()
             plane = rng.standard_normal(sample.shape[1])
             plane /= np.linalg.norm(plane)
             along = sample[members] @ plane
-            low, high = np.quantile(along, [0.5 - SPILL, 0.5 + SPILL]) if len(members) else (0.0, 0.0)
-            spread = np.quantile(along, 0.95) - np.quantile(along, 0.05) if len(members) else 0.0
-            if len(members) < 2 * least or spread < TIGHT or high <= low:
+            how = cut(np.quantile(along, QUANTILES), tight(sample.shape[1])) if len(members) >= 2 * least and depth < 40 else None
+            if how is None:
                 place, self.leaves = -self.leaves - 1, self.leaves + 1
             else:
                 place = len(self.planes)
                 self.planes.append(plane)
-                self.low.append(low)
-                self.high.append(high)
+                self.cuts.append(how)
                 self.left.append(0)
                 self.right.append(0)
-                todo += [(members[along >= low], (place, 1)), (members[along <= high], (place, 0))]
+                todo += [(members[part], (place, k), depth + 1) for k, part in enumerate(_sides(along, how))]
             if hook is None:
                 self.root = place
             else:
@@ -78,11 +96,16 @@ class Tree:
             if place < 0:
                 out.append((members, np.full(len(members), -place - 1)))
                 continue
-            along = x[members] @ self.planes[place]
-            rows += [(members[along <= self.high[place]], self.left[place]), (members[along >= self.low[place]], self.right[place])]
+            left, right = _sides(x[members] @ self.planes[place], self.cuts[place])
+            rows += [(members[left], self.left[place]), (members[right], self.right[place])]
         return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, int),) * 2
 
 
+def _sides(along: np.ndarray, how: tuple) -> tuple[np.ndarray, np.ndarray]:
+    a, b, c, d = how
+    return (along >= a) & (along <= b), (along <= c) | (along >= d)
+
+
 def _matrix(column, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
@@ -126,13 +149,15 @@ def _split_again(placed: DataFrame, vectors: DataFrame, width: int, kind: str) -
         small = open_.join(sizes, "leaf", "left_anti")
         large = open_.join(sizes.select("leaf"), "leaf").join(vectors.select("rep", "vector"), "rep").select("rep", "leaf", "vector")
         along = keep(large.mapInArrow(_projected(width), f"rep {kind}, leaf long, along double"), "forest-along")
-        quantiles = along.groupBy("leaf").agg(F.percentile_approx("along", F.array(*map(F.lit, (0.05, 0.5 - SPILL, 0.5 + SPILL, 0.95))), 1000).alias("q"))
-        tight = (F.col("q")[3] - F.col("q")[0] < TIGHT) | (F.col("q")[2] <= F.col("q")[1])
-        judged = along.join(quantiles.select("leaf", "q", tight.alias("tight")), "leaf")
+        quantiles = along.groupBy("leaf").agg(F.percentile_approx("along", F.array(*map(F.lit, QUANTILES)), 1000).alias("q"))
+        q, band = F.col("q"), tight(width)
+        clump = q[5] - q[1] < band
+        ends = [F.when(clump, q[3] - band).otherwise(float("-inf")), F.when(clump, q[3] + band).otherwise(q[4]), F.when(clump, q[3] - 0.75 * band).otherwise(float("-inf")), F.when(clump, q[3] + 0.75 * band).otherwise(q[2])]
+        judged = along.join(quantiles.select("leaf", ((q[6] - q[0] < 2 * band) | (~clump & (q[4] <= q[2]))).alias("tight"), *[e.alias(n) for e, n in zip(ends, "abcd", strict=True)]), "leaf")
         kept = small.select("rep", "leaf").unionByName(judged.where("tight").select("rep", "leaf"))
         tree = F.shiftright("leaf", 40) * F.lit(1 << 40)
         child = lambda side: tree + F.pmod(F.xxhash64("leaf", F.lit(side)), F.lit(1 << 40))
-        sides = F.array_compact(F.array(F.when(F.col("along") <= F.col("q")[2], child(0)), F.when(F.col("along") >= F.col("q")[1], child(1))))
+        sides = F.array_compact(F.array(F.when(F.col("along").between(F.col("a"), F.col("b")), child(0)), F.when((F.col("along") <= F.col("c")) | (F.col("along") >= F.col("d")), child(1))))
         halves = judged.where("not tight").select("rep", F.explode(sides).alias("leaf"))
         done = keep(kept if done is None else done.unionByName(kept), "forest-done")
         open_ = keep(halves, "forest-open")
