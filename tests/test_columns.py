@@ -1,0 +1,96 @@
+"""Column functions on tables of cases."""
+
+import uuid
+
+import pytest
+from pyspark.sql import functions as F
+
+from tracemill.functions import redact, sensitivity, values
+from tracemill.operators import changes
+
+
+def column(spark, rows, f, kind="string"):
+    return [r[0] for r in spark.createDataFrame([(i, r) for i, r in enumerate(rows)], f"i int, x {kind}").select("i", f("x").alias("y")).orderBy("i").select("y").collect()]
+
+
+def test_ids_are_uuid5(spark):
+    texts = ["/work/a", "", "é\u2603", "x" * 500]
+    assert column(spark, texts, values.project_id) == [str(uuid.uuid5(uuid.UUID(values.NAMESPACE), t)) for t in texts]
+    assert column(spark, ["k"], lambda c: values.event_id(F.lit("codex"), F.col(c))) == [str(uuid.uuid5(uuid.UUID(values.NAMESPACE), "codex\x1fk"))]
+
+
+PATHS = {
+    "": "normal", "/": "normal", "src/main.rs": "normal", "/home/a/.ssh/config": "highly_sensitive", "/home/a/.SSH/config": "normal", "C:\\Users\\a\\.aws\\credentials": "highly_sensitive", "/x/ID_RSA": "highly_sensitive",
+    "/x/cert.PEM": "highly_sensitive", "/x/.env": "sensitive", "/x/.env.local": "sensitive", "/x/.environment": "normal", "secrets.yaml": "sensitive", "/x/Credentials.json": "sensitive", "/a/.kube/config": "sensitive", "/a/gcloud/x": "sensitive", ".ssh": "normal", "key": "normal",
+}
+
+
+def test_path_sensitivity(spark):
+    assert column(spark, list(PATHS), sensitivity.classify_path) == list(PATHS.values())
+
+
+COMMANDS = {
+    "cat .env": [".env"], "cat ~/.aws/credentials | base64": ["~/.aws/credentials"], "cp '/Users/dev/.ssh/id_ed25519' /tmp/x": ["/Users/dev/.ssh/id_ed25519"], "ls; cat .env && echo done": [".env"], "cargo test --workspace": [],
+    "rustfmt src/main.rs": [], "ls -la --color=auto": [], "diff .env .env": [".env"], 'cat "/Users/my name/.aws/credentials"': ["/Users/my name/.aws/credentials"], "": [], 'x a"b/.env"c': [],
+}
+
+
+def test_paths_named_by_commands(spark):
+    found = column(spark, list(COMMANDS), lambda c: F.transform(sensitivity.named_paths(c), lambda s: s["path"]))
+    assert found == list(COMMANDS.values())
+    assert column(spark, ["cat .env ~/.ssh/id_rsa", "cat .env", "cargo build", "", None], sensitivity.worst_in_command) == ["highly_sensitive", "sensitive", "normal", "normal", "normal"]
+
+
+REDACTED = {
+    "API_KEY=sk-live curl --token abc postgres://me:hunter2@db/app": "API_KEY=[REDACTED] curl --token [REDACTED] postgres://me:[REDACTED]@db/app",
+    "curl -H 'X-Api-Key: private-value' https://example.test": "[REDACTED: credential header]",
+    "curl 'https://example.test/run?access_token=private&mode=fast'": "curl 'https://example.test/run?access_token=[REDACTED]&mode=fast'",
+    "DB_PWD=hunter2 AWS_SECRET_ACCESS_KEY=abc CLIENT_SECRET=def command": "DB_PWD=[REDACTED] AWS_SECRET_ACCESS_KEY=[REDACTED] CLIENT_SECRET=[REDACTED] command",
+    "API_KEY='two secret words' cargo test": "API_KEY=[REDACTED] cargo test",
+    "cargo   test --workspace": "cargo test --workspace",
+    "curl -H 'X-Auth: Bearer eyJhbGciOiJIUzI1NiJ9.payload.sig' --data sk-proj-AbCdEf0123456789": "curl -H 'X-Auth: Bearer [REDACTED]' --data [REDACTED]",
+    "run 'password' x token": "run 'password' [REDACTED] token",
+}
+
+
+def test_redaction(spark):
+    assert column(spark, list(REDACTED), redact.redacted) == list(REDACTED.values())
+    assert column(spark, [None], redact.redacted) == [None]
+
+
+def test_custom_patterns_leave_marks_alone(spark):
+    pattern = redact.compile_patterns("# names\n\n[A-Z]{4,}\n")
+    once = column(spark, ["echo PRIVATE TOKEN=already-secret"], lambda c: redact.redacted(c, pattern))
+    assert once == ["echo [REDACTED: custom] [REDACTED: custom]=[REDACTED]"]
+    assert column(spark, once, lambda c: redact.redacted(c, pattern)) == once
+    for bad in (".*", "(", "x" * 2000, "\n".join("ab"[i % 2] * (i + 1) for i in range(101))):
+        with pytest.raises(Exception):
+            redact.compile_patterns(bad)
+
+
+def test_formats(spark):
+    assert column(spark, [None, 0, 999, 1000, 59_949, 60_000, 61_500], values.duration, "long") == ["—", "0ms", "999ms", "1.0s", "59.9s", "1m00s", "1m01s"]
+    assert column(spark, [None, 59_000, 61_000, 3_661_000], values.session_duration, "long") == ["—", "59s", "1m 1s", "1h 1m"]
+    assert column(spark, [0, 999, 1000, 999_499, 999_500, 999_999, 6_006_377_004, -1500, 2 * 10**12], values.compact, "long") == ["0", "999", "1.0K", "999.5K", "1.0M", "1.0M", "6.0B", "-1.5K", "2.0T"]
+    assert column(spark, [1234567, -1000, 5], values.thousands, "long") == ["1,234,567", "-1,000", "5"]
+    assert column(spark, ["/home/a/x", "/home/a", "/srv"], lambda c: values.short_path(c, "/home/a")) == ["~/x", "~", "/srv"]
+    assert column(spark, ["2024-01-01T00:00:00Z", "2024-01-01T02:00:00.5+02:00", "junk", None], values.rfc3339_to_us) == [1704067200000000, 1704067200500000, None, None]
+
+
+def test_path_prefixes_have_no_wildcards(spark):
+    paths = ["/work/app_1", "/work/app_1/x", "/work/appX1", "/work/app_10", "/WORK/APP_1/x", "/WORK/app_1", "/work/app%1/y", None]
+    assert column(spark, paths, lambda c: values.under_path(c, "/work/app_1/")) == [True, True, False, False, True, False, False, False]
+    assert column(spark, paths, lambda c: values.under_path(c, "/work/app%1")) == [False] * 6 + [True, False]
+    assert column(spark, ["/x", "y"], lambda c: values.under_path(c, "/")) == [True, False]
+
+
+def test_event_details(spark):
+    rows = [("command", '{"command":"ls"}', "ls"), ("prompt", '{"char_count":5}', "5 chars"), ("mcp.call", '{"server":"a","tool":"b"}', "a.b"), ("command", "{broken", ""), ("queue", "{}", ""), ("config.changed", '{"hooks_present":false,"path":"/h/x"}', "OUR HOOKS REMOVED — collection stopped  ~/x")]
+    got = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, k string, p string, want string").select("want", values.event_detail("k", "p", "/h").alias("got")).collect()
+    assert all(r["want"] == r["got"] for r in got)
+
+
+def test_fingerprints_ignore_key_order(spark):
+    rows = [('{"b":1,"a":{"d":[2,1],"c":null}}',), ('{"a": {"c": null, "d": [2, 1]}, "b": 1}',), ('{"a":{"c":null,"d":[1,2]},"b":1}',), (None,), ("broken",)]
+    got = changes.config_fingerprint(spark.createDataFrame(rows, "hooks_json string")).select("fingerprint", "hooks_present").collect()
+    assert got[0] == got[1] != got[2] and got[3] == got[4] and [r[1] for r in got] == [True, True, True, False, False]
