@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,17 +22,19 @@ RANKS = {"normal": 0, "sensitive": 1, "highly_sensitive": 2}
 TOKEN = r"""(?:"[^"]*"?|'[^']*'?|[^ \t\n|;&"'])+"""
 
 
+def _any(names) -> str:
+    return "|".join(re.escape(n) for n in names)
+
+
+# A path's last segment is followed by slashes at most, a folder in it by a slash and more. Names are told without regard to case, folders are not.
+HIGHLY = rf"(?:^|/)(?i:{_any(KEY_NAMES)})/*$|\.(?i:{_any(KEY_EXTENSIONS)})/*$|(?:^|/)(?:{_any(KEY_FOLDERS)})/+[^/]"
+SECRET = rf"(?:^|/)(?i:{_any(SECRET_NAMES)})/*$|(?:^|/)(?i:{_any(SECRET_PREFIXES)})[^/]*/*$|(?:^|/)(?:{_any(SECRET_FOLDERS)})/+[^/]"
+
+
 def classify_path(path) -> Column:
-    """normal, sensitive or highly_sensitive; the first rule that fits decides. Null paths are normal."""
-    parts = F.filter(F.split(F.translate(F.coalesce(_c(path), F.lit("")), "\\", "/"), "/"), lambda p: p != "")
-    name = F.lower(F.try_element_at(parts, F.lit(-1)))
-    folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
-    extension = F.when(name.contains("."), F.element_at(F.split(name, r"\."), -1))
-    highly = name.isin(*KEY_NAMES) | F.coalesce(extension.isin(*KEY_EXTENSIONS), F.lit(False)) | F.arrays_overlap(folders, F.array(*map(F.lit, KEY_FOLDERS)))
-    secret = name.isin(*SECRET_NAMES) | F.arrays_overlap(folders, F.array(*map(F.lit, SECRET_FOLDERS)))
-    for prefix in SECRET_PREFIXES:
-        secret = secret | name.startswith(prefix)
-    return F.when(F.size(parts) == 0, "normal").when(highly, "highly_sensitive").when(secret, "sensitive").otherwise("normal")
+    """normal, sensitive or highly_sensitive; the gravest rule that fits decides. Null paths are normal."""
+    plain = F.translate(_c(path), "\\", "/")
+    return F.when(plain.rlike(HIGHLY), "highly_sensitive").when(plain.rlike(SECRET), "sensitive").otherwise("normal")
 
 
 def sensitivity_rank(sensitivity) -> Column:
