@@ -207,7 +207,7 @@ def find_session(sessions: DataFrame, reference: str) -> DataFrame:
     if reference == "latest":
         return sessions.orderBy(F.col("is_subagent").asc(), F.desc("started_us"), F.desc("id")).limit(1)
     found = sessions.where(F.col("id").cast("string").startswith(reference))
-    return found.withColumn("matches", F.count("*").over(Window.partitionBy(F.lit(1)))) if reference else found.limit(0)
+    return found.withColumn("matches", found.select(F.count("*")).scalar()) if reference else found.limit(0)
 
 
 # ---- receipts: of one session tree, or of all at once

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import AGENT_ALIASES, share
@@ -55,8 +55,8 @@ def ranked(groups: DataFrame, limit: int | None = None) -> DataFrame:
 
 def ranked_with_rest(groups: DataFrame, limit: int) -> DataFrame:
     """The first ``limit`` groups, each with the number of groups that are not shown."""
-    count = groups.agg(F.greatest(F.count("*") - limit, F.lit(0)).alias("more"))
-    return ranked(groups, limit).crossJoin(F.broadcast(count))
+    more = groups.select(F.greatest(F.count("*") - limit, F.lit(0))).scalar()
+    return ranked(groups, limit).withColumn("more", more)
 
 
 def tokens_by_day(usage: DataFrame, tz: str = "UTC") -> DataFrame:
@@ -66,8 +66,8 @@ def tokens_by_day(usage: DataFrame, tz: str = "UTC") -> DataFrame:
 
 
 def with_share(groups: DataFrame, column: str = "total", by: str = "sum") -> DataFrame:
-    """Adds share: percent of the sum, or of the largest."""
-    whole = (F.sum if by == "sum" else F.max)(column).over(Window.partitionBy())
+    """Adds share: percent of the sum, or of the largest. The whole is a scalar subquery, so the rows stay where they are."""
+    whole = groups.select((F.sum if by == "sum" else F.max)(column)).scalar()
     return groups.withColumn("share", share(column, whole))
 
 
