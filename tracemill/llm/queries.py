@@ -25,7 +25,6 @@ def op2_positional_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"),
         decontam.contaminated().alias("contaminated"),
-        F.size("near").cast("long").alias("n_near"),
     )
 
 
@@ -78,4 +77,25 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_entropy_mix, op2_positional_decontam, op3_toxicity_bigru, op4_simhash_bktree, op5_rank_order_langid, op6_ordinal_quality, op7_substring_doubling, op8_url_linkgraph, op9_rp_forest, op10_kd_shards)}
-ORACLE_SQL: dict[str, str] = {}
+#: Where SQL can express the whole result: DuckDB over the same tables.
+ORACLE_SQL: dict[str, str] = {
+    "op2_positional_decontam": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+phrases AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, size, array_to_string(ws[i + 1:i + size], ' ') AS phrase FROM (SELECT item_id, ws, least(len(ws), 13) AS size, unnest(range(greatest(len(ws) - 12, 1))) AS i FROM b WHERE len(ws) > 0)),
+windows AS (SELECT doc_id, size, i, array_to_string(ws[i + 1:i + size], ' ') AS phrase FROM (SELECT doc_id, ws, size, unnest(range(len(ws) - size + 1)) AS i FROM d, (SELECT DISTINCT size FROM phrases) WHERE len(ws) >= size)),
+found AS (SELECT doc_id, item, w.size, i FROM windows w JOIN phrases p ON w.phrase = p.phrase AND w.size = p.size),
+hits AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS place FROM found) GROUP BY 1),
+items AS (SELECT doc_id, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM found GROUP BY 1)
+SELECT d.doc_id, len(ws) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(i.n, 0) AS n_items, sha256(coalesce(i.names, '')) AS items_sha256, coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN hits h ON d.doc_id = h.doc_id LEFT JOIN items i ON d.doc_id = i.doc_id""",
+    "op7_substring_doubling": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(ws[i + 1:i + 13], ' ') AS phrase FROM (SELECT doc_id, ws, unnest(range(len(ws) - 12)) AS i FROM d WHERE len(ws) >= 13)),
+firsts AS (SELECT phrase, min(doc_id) AS first FROM windows GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS place FROM windows JOIN firsts USING (phrase) WHERE first < doc_id),
+words AS (SELECT doc_id, unnest(range(len(ws))) AS place, unnest(ws) AS word FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS text FROM words ANTI JOIN gone USING (doc_id, place) GROUP BY 1)
+SELECT d.doc_id, len(ws) AS n_words, coalesce(g.n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1) g ON d.doc_id = g.doc_id""",
+}
