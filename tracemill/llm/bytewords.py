@@ -12,7 +12,7 @@ import numpy as np
 
 BLANKS = b"\t\n\x0b\x0c\r "
 #: Bytes of text worked on at once, unless one text is longer.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

@@ -57,8 +57,12 @@ def kd_splits(slim: DataFrame, shards: int) -> list[list[dict]]:
     span = {d: max(high - low, 1e-300) for d, (low, high) in width.items()}
     levels: list[list[dict]] = []
     open_nodes = {0: shards}
+    rows = slim.withColumn("node", F.lit(0).cast("long"))
     while any(k > 1 for k in open_nodes.values()):
-        placed = assign(slim, levels).where(F.col("node").isin([n for n, k in open_nodes.items() if k > 1]))
+        # Written level by level, so that every level's jobs have the same short plan; rows of finished leaves are left out.
+        rows = placed = keep(rows if not levels else send_down(rows, levels[-1]), f"shard-level-{len(levels)}")
+        if len(set(open_nodes.values())) > 1:
+            placed = placed.where(F.col("node").isin([n for n, k in open_nodes.items() if k > 1]))
         ranges = placed.groupBy("node").agg(F.sum("size").alias("bytes"), *[f(d).alias(f"{name}_{d}") for d in dims for name, f in (("min", F.min), ("max", F.max))]).collect()
         cuts = []
         for r in ranges:
@@ -102,16 +106,21 @@ def _binned(placed: DataFrame, cuts: DataFrame, dims: int, step: int) -> dict:
     return {r["node"]: r for r in best.select("node", "b.bin", "b.upto", "b.mass").collect()}
 
 
-def assign(slim: DataFrame, levels: list[list[dict]]) -> DataFrame:
-    """Sends every row down the tree; adds ``node``. A level's cuts are fewer than the shards, so they are broadcast."""
-    dims = len([c for c in slim.columns if c[0] == "d" and c[1:].isdigit()])
-    out = slim.withColumn("node", F.lit(0).cast("long"))
+def send_down(rows: DataFrame, cuts: list[dict]) -> DataFrame:
+    """Moves rows with ``node`` one level down the tree. A level's cuts are fewer than the shards, so they are broadcast."""
+    if not cuts:
+        return rows
+    dims = len([c for c in rows.columns if c[0] == "d" and c[1:].isdigit()])
+    joined = rows.join(F.broadcast(_frame(rows.sparkSession, cuts).drop("want", "base")), F.col("node") == F.col("cut"), "left")
+    child = 2 * F.col("node") + F.when(_place(dims) >= F.col("code"), 2).otherwise(1)
+    return joined.withColumn("node", F.when(F.col("cut").isNull(), F.col("node")).otherwise(child)).drop("cut", "dim", "low", "wide", "code")
+
+
+def assign(rows: DataFrame, levels: list[list[dict]]) -> DataFrame:
+    """Sends every row down the whole tree; adds ``node``."""
+    out = rows.withColumn("node", F.lit(0).cast("long"))
     for cuts in levels:
-        if not cuts:
-            continue
-        joined = out.join(F.broadcast(_frame(slim.sparkSession, cuts).drop("want", "base")), F.col("node") == F.col("cut"), "left")
-        child = 2 * F.col("node") + F.when(_place(dims) >= F.col("code"), 2).otherwise(1)
-        out = joined.withColumn("node", F.when(F.col("cut").isNull(), F.col("node")).otherwise(child)).drop("cut", "dim", "low", "wide", "code")
+        out = send_down(out, cuts)
     return out
 
 
