@@ -4,7 +4,7 @@ Among all rates ``0 <= r_i <= cap`` whose words meet each source's target, entro
 nearest to 1 in relative entropy. Its convex dual has one multiplier a source, and the rates are the
 exponential tilt ``r_i = min(cap, exp(lambda_s * size_i / mean_s))``. Newton steps, kept inside a bracket
 that provably holds the root, run over the (source, size) histogram, not over documents. A fixed draw of
-each document then rounds its rate to copies; one shift a source brings the words taken to the target.
+each document then rounds its rate to copies; one shift a source, and at last one document, bring the words taken to the target.
 
 Nulls: a null text has size 0, a null source is a source of its own, ranked last; a null id draws like
 any other value. Equal rows draw alike. A source of no words has target 0 and takes none. An empty
@@ -50,7 +50,7 @@ def targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float
     return level.select("source", "source_size", (F.col("source_size") / F.col("n")).alias("mean"), target.alias("target"))
 
 
-def fit_mix(sized: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: int = 2, rounds: int = 12, tolerance: float = 1e-7) -> DataFrame:
+def fit_mix(sized: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: int = 2, rounds: int = 40, tolerance: float = 1e-6) -> DataFrame:
     """(id, source, size) to one row a source: source, source_size, mean, target, lam, shift."""
     histogram = keep(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-histogram")
     sizes = histogram.groupBy("source").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("size")).alias("source_size"))
@@ -65,29 +65,27 @@ def fit_mix(sized: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: int =
         .na.fill(0.0, ["mean", "low", "high"])
     )
     for _ in range(rounds):
-        for _ in range(3):
-            joined = histogram.join(state.select(F.col("source").alias("s"), "lam", "mean"), F.col("source").eqNullSafe(F.col("s")))
-            tilt = F.exp(F.col("lam") * F.col("size") / F.col("mean"))
-            mass = F.col("n") * F.col("size")
-            sums = joined.groupBy("s").agg(
-                F.sum(mass * F.least(most, tilt)).alias("value"),
-                F.sum(F.when(tilt < most, mass * tilt * F.col("size") / F.col("mean")).otherwise(0.0)).alias("slope"),
-            )
-            over = F.col("value") > F.col("target")
-            stepped = (
-                state.join(sums, F.col("source").eqNullSafe(F.col("s")), "left")
-                .withColumn("gap", F.when(F.col("target") >= cap * F.col("source_size"), 0.0).otherwise(F.coalesce(F.abs(F.col("value") - F.col("target")) / F.col("target"), F.lit(0.0))))
-                .withColumn("low", F.when(over, F.col("low")).otherwise(F.col("lam")))
-                .withColumn("high", F.when(over, F.col("lam")).otherwise(F.col("high")))
-                .withColumn("step", F.col("lam") - F.try_divide(F.col("value") - F.col("target"), F.col("slope")))
-            )
-            inside = (F.col("step") >= F.col("low")) & (F.col("step") <= F.col("high"))
-            lam = F.when(F.col("gap") <= tolerance, F.col("lam")).when(inside, F.col("step")).otherwise((F.col("low") + F.col("high")) / 2)
-            state = stepped.select("source", "source_size", "mean", "target", lam.alias("lam"), "low", "high", "gap")
-        state = checkpoint(state)
+        joined = histogram.join(state.select(F.col("source").alias("s"), "lam", "mean"), F.col("source").eqNullSafe(F.col("s")))
+        tilt = F.exp(F.col("lam") * F.col("size") / F.col("mean"))
+        mass = F.col("n") * F.col("size")
+        sums = joined.groupBy("s").agg(
+            F.sum(mass * F.least(most, tilt)).alias("value"),
+            F.sum(F.when(tilt < most, mass * tilt * F.col("size") / F.col("mean")).otherwise(0.0)).alias("slope"),
+        )
+        over = F.col("value") > F.col("target")
+        stepped = (
+            state.join(sums, F.col("source").eqNullSafe(F.col("s")), "left")
+            .withColumn("gap", F.when(F.col("target") >= cap * F.col("source_size"), 0.0).otherwise(F.coalesce(F.abs(F.col("value") - F.col("target")) / F.col("target"), F.lit(0.0))))
+            .withColumn("low", F.when(over, F.col("low")).otherwise(F.col("lam")))
+            .withColumn("high", F.when(over, F.col("lam")).otherwise(F.col("high")))
+            .withColumn("step", F.col("lam") - F.try_divide(F.col("value") - F.col("target"), F.col("slope")))
+        )
+        inside = (F.col("step") >= F.col("low")) & (F.col("step") <= F.col("high"))
+        lam = F.when(F.col("gap") <= tolerance, F.col("lam")).when(inside, F.col("step")).otherwise((F.col("low") + F.col("high")) / 2)
+        state = checkpoint(stepped.select("source", "source_size", "mean", "target", lam.alias("lam"), "low", "high", "gap"))
         if (state.agg(F.max("gap")).first()[0] or 0.0) <= tolerance:
             break
-    return _with_shift(sized, state.select("source", "source_size", "mean", "target", "lam"), cap)
+    return _with_last(sized, _with_shift(sized, state.select("source", "source_size", "mean", "target", "lam"), cap), cap)
 
 
 def _rate(cap: int):
@@ -131,12 +129,27 @@ def _with_shift(sized: DataFrame, fitted: DataFrame, cap: int) -> DataFrame:
     return checkpoint(fitted.join(best, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("shift", shift).drop("s", "found"))
 
 
+def _with_last(sized: DataFrame, fitted: DataFrame, cap: int) -> DataFrame:
+    """The shift leaves a source at most half a document off. One document, whose size is nearest to what is missing or
+    over, gets a copy more or less, if that brings the source nearer: columns last_id and last_step."""
+    taken = apply_mix(sized, fitted.withColumn("last_id", F.lit(None)).withColumn("last_step", F.lit(0)), cap)
+    sums = taken.groupBy(F.col("source").alias("s")).agg(F.sum(F.col("copies") * F.col("size")).alias("taken"))
+    gaps = checkpoint(fitted.join(sums, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("g"), (F.col("target") - F.coalesce("taken", F.lit(0))).alias("gap")))
+    rows = taken.join(gaps, F.col("source").eqNullSafe(F.col("g")))
+    free = (F.col("size") > 0) & F.when(F.col("gap") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0)
+    off = F.abs(F.col("size") - F.abs("gap"))
+    best = rows.where(free & (off < F.abs("gap")) & F.col("id").isNotNull()).groupBy(F.col("source").alias("s")).agg(F.min(F.struct(off.alias("off"), "id", F.signum("gap").cast("int").alias("step"))).alias("b"))
+    last = best.select("s", F.col("b.id").alias("last_id"), F.col("b.step").alias("last_step"))
+    return checkpoint(fitted.join(last, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"))
+
+
 def apply_mix(sized: DataFrame, fitted: DataFrame, cap: int = 2) -> DataFrame:
     """Adds source_size, target, rate and copies to rows with id, source and size (other columns stay)."""
-    known = fitted.select(F.col("source").alias("_s"), "source_size", "mean", "target", "lam", "shift")
+    known = fitted.select(F.col("source").alias("_s"), "source_size", "mean", "target", "lam", "shift", "last_id", "last_step")
     rated = sized.join(known, F.col("source").eqNullSafe(F.col("_s"))).withColumn("rate", _rate(cap))
     copies = sum(((_at(k, F.col("rate")) < F.col("shift")) & (F.col("size") > 0)).cast("int") for k in range(1, cap + 1))
-    return rated.withColumn("copies", copies).drop("_s", "lam", "mean", "shift")
+    last = F.when(F.col("id") == F.col("last_id"), F.col("last_step")).otherwise(0)
+    return rated.withColumn("copies", copies + last).drop("_s", "lam", "mean", "shift", "last_id", "last_step")
 
 
 def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=(5, 2, 1), share=1.5, cap=2) -> DataFrame:
