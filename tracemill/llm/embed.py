@@ -4,8 +4,8 @@ Equal vectors are one class, which goes through the forest once. ``TREES`` trees
 (the stated bound; it is what is broadcast): a node splits at the median of its members' projections on a random
 direction, and members within ``SPILL`` of the ranks on either side of it go to both children. Every class is sent down
 every tree. Leaves that still pass ``LEAF_MAX`` classes are split again in Spark in the same way, round by round, by a direction drawn
-from the leaf's number and quantiles of all its members, until they are small or so tight (projections within ``TIGHT``) that a
-split would part links; a tight leaf of any size is compared whole, block against block. Inside leaves all pairs are
+from the leaf's number and quantiles of all its members. A clump of near vectors is never cut at its middle: what lies outside its
+band is taken off, until the leaf is small or tight; a tight leaf of any size is compared whole, block against block. Inside leaves all pairs are
 compared in double precision, and links are those at or above the threshold.
 
 A pair may meet in several leaves. Each class carries its leaves, so a pair is counted in the least leaf that both
