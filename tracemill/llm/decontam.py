@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -223,7 +223,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def search(indexed: DataFrame, phrases: list[Phrases]) -> DataFrame:
+def search(indexed: DataFrame, phrases: Iterator[Phrases]) -> DataFrame:
     """Every indexed document with its matches: id, n_words, spans (words inside an occurrence of a window, as half-open
     ranges), items (those with such an occurrence) and near (others, found by proximity)."""
     spark = indexed.sparkSession
@@ -231,22 +231,26 @@ def search(indexed: DataFrame, phrases: list[Phrases]) -> DataFrame:
     lists = "terms array<long>, positions array<int>, "
     none = [F.lit(None).cast("array<struct<start:int,end:int>>"), F.lit(None).cast("array<string>")]
     out = indexed.select("id", "n_words", "terms", "positions", F.lit(0).alias("_"), F.coalesce(none[0], F.array()).alias("spans"), F.coalesce(none[1], F.array()).alias("items"), F.coalesce(none[1], F.array()).alias("near"))
-    if not phrases:
+    block = next(phrases, None)
+    if block is None:
         return out.drop("terms", "positions", "_")
-    for i, block in enumerate(phrases):
-        last = i == len(phrases) - 1
-        shape = f"id {kind}, " + FOUND.replace("spans", ("" if last else lists) + "spans", 1)
-        out = out.mapInArrow(_searched(spark.sparkContext.broadcast(block), last), shape)
-        if not last:
+    while block is not None:
+        following = next(phrases, None)
+        shape = f"id {kind}, " + FOUND.replace("spans", ("" if following is None else lists) + "spans", 1)
+        out = out.mapInArrow(_searched(spark.sparkContext.broadcast(block), following is None), shape)
+        if following is not None:
             out = keep(out, "postings-found").select("id", "n_words", "terms", "positions", F.lit(0).alias("_"), "spans", "items", "near")
+        block = following
     return out
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Indexes the documents for the benchmark's terms and searches them; see ``search``."""
-    phrases = list(blocks(benchmark, item_col, item_text_col, window, block_words))
-    vocabulary = {w: t for p in phrases for w, t in p.vocabulary.items()} if len(phrases) <= 1 else None
-    return search(index(docs, id_col, text_col, vocabulary), phrases)
+    """Indexes the documents for the benchmark's terms and searches them, a block of items at a time; see ``search``."""
+    phrases = blocks(benchmark, item_col, item_text_col, window, block_words)
+    some = list(islice(phrases, 2))
+    # One block's terms are few enough to index no others; for more, every word is indexed, once for all blocks.
+    vocabulary = (some[0].vocabulary if some else {}) if len(some) < 2 else None
+    return search(index(docs, id_col, text_col, vocabulary), chain(some, phrases))
 
 
 def n_hit():
