@@ -12,7 +12,7 @@ A pair may meet in several leaves. Each class carries its leaves, so a pair is c
 share, and no pair leaves its task: a leaf gives a row a linked class, with its number of links and one edge to its local root. The
 union of the edges gives the components.
 
-Vectors that are null, zero, or hold null or non-finite components, and vectors of another length than the first ones, link
+Vectors that are null, zero, or hold null or non-finite components, and vectors of another length than most have, link
 with nothing; each is its own component. Rows with equal ids are one vector id held twice: each row is returned. Other columns are
 ignored. An empty table gives an empty result. Tests measure the recall against brute force.
 """
@@ -245,7 +245,7 @@ def near_duplicates(table: DataFrame, id_col="vec_id", vector_col="embedding", t
     kind = rows.schema["id"].dataType.simpleString()
     absent = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.coalesce(~absent & F.exists("vector", lambda x: x != 0), F.lit(False)) & F.col("id").isNotNull()
-    first = rows.where(usable).select(F.size("vector").alias("d")).first()
+    first = rows.where(usable).groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if first is None:
         return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"), F.lit(True).alias("kept"))
     width = first["d"]
