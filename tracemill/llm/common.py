@@ -51,6 +51,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def by_size(small: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A checkpointed table, marked for broadcast if it has at most ``rows`` rows; a larger one is joined as Spark sees fit,
+    by a shuffle whose skewed parts it can split."""
+    return F.broadcast(small) if small.count() <= rows else small
+
+
 def uniform(*columns, salt: int = 0):
     """A number in [0, 1) that depends only on the columns' values."""
     return F.pmod(F.xxhash64(F.lit(salt), *columns), F.lit(1 << 50)) / F.lit(float(1 << 50))
@@ -94,7 +100,8 @@ def fold(column, parts: int):
 def bounded_sample(rows: DataFrame, group: str, bound: int, key: str, salt: int = 3) -> DataFrame:
     """About ``bound`` rows of each value of ``group``, or all it has: those whose key's hash falls under the group's share.
 
-    The counts are one small aggregation; the choice depends on the keys alone, not on the order of rows."""
+    Only the 1,000 most frequent values are sampled, so that what is broadcast has a bound. The counts are one small aggregation;
+    the choice depends on the keys alone, not on the order of rows."""
     counts = rows.groupBy(group).agg(F.count("*").alias("_n")).withColumnRenamed(group, "_g")
     return rows.join(F.broadcast(counts.orderBy(F.desc("_n"), "_g").limit(1000)), F.col(group) == F.col("_g")).where(uniform(F.col(key), salt=salt) * F.col("_n") < bound).drop("_g", "_n")
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpoint, keep, uniform
+from .common import WORD, by_size, checkpoint, keep, uniform
 
 BINS = 4096
 
@@ -102,7 +102,7 @@ def _at(k: int, rate):
 def _with_shift(sized: DataFrame, fitted: DataFrame, cap: int) -> DataFrame:
     """Finds for each source the shift at which the rounded words come nearest to its target, in two
     passes over a histogram of a fixed number of bins a source."""
-    known = fitted.select(F.col("source").alias("s"), "source_size", "mean", "target", "lam")
+    known = by_size(fitted).select(F.col("source").alias("s"), "source_size", "mean", "target", "lam")
     events = sized.where("size > 0").join(known, F.col("source").eqNullSafe(F.col("s"))).withColumn("rate", _rate(cap))
     events = events.select("s", "size", "target", F.explode(F.array(*[_at(k, F.col("rate")) for k in range(1, cap + 1)])).alias("at"))
     width = 2.0 * cap / BINS
@@ -116,7 +116,7 @@ def _with_shift(sized: DataFrame, fitted: DataFrame, cap: int) -> DataFrame:
         .where("upto >= target and base < target")
         .select("s", "bin", "base")
     )
-    near = events.join(crossing.select(F.col("s").alias("c"), F.col("bin").alias("cbin"), "base"), F.col("s").eqNullSafe(F.col("c")) & (F.col("bin") == F.col("cbin")))
+    near = events.join(by_size(crossing).select(F.col("s").alias("c"), F.col("bin").alias("cbin"), "base"), F.col("s").eqNullSafe(F.col("c")) & (F.col("bin") == F.col("cbin")))
     by_sub = Window.partitionBy("s").orderBy("sub")
     fine = (
         near.groupBy("s", "bin", "sub", "base", "target").agg(F.sum("size").alias("mass"))
@@ -132,10 +132,11 @@ def _with_shift(sized: DataFrame, fitted: DataFrame, cap: int) -> DataFrame:
 def _with_last(sized: DataFrame, fitted: DataFrame, cap: int) -> DataFrame:
     """The shift leaves a source at most half a document off. One document, whose size is nearest to what is missing or
     over, gets a copy more or less, if that brings the source nearer: columns last_id and last_step."""
-    taken = apply_mix(sized, fitted.withColumn("last_id", F.lit(None)).withColumn("last_step", F.lit(0)), cap)
+    kind = sized.schema["id"].dataType.simpleString()
+    taken = apply_mix(sized, fitted.withColumn("last_id", F.lit(None).cast(kind)).withColumn("last_step", F.lit(0)), cap)
     sums = taken.groupBy(F.col("source").alias("s")).agg(F.sum(F.col("copies") * F.col("size")).alias("taken"))
     gaps = checkpoint(fitted.join(sums, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("g"), (F.col("target") - F.coalesce("taken", F.lit(0))).alias("gap")))
-    rows = taken.join(gaps, F.col("source").eqNullSafe(F.col("g")))
+    rows = taken.join(by_size(gaps), F.col("source").eqNullSafe(F.col("g")))
     free = (F.col("size") > 0) & F.when(F.col("gap") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0)
     off = F.abs(F.col("size") - F.abs("gap"))
     best = rows.where(free & (off < F.abs("gap")) & F.col("id").isNotNull()).groupBy(F.col("source").alias("s")).agg(F.min(F.struct(off.alias("off"), "id", F.signum("gap").cast("int").alias("step"))).alias("b"))
@@ -145,7 +146,7 @@ def _with_last(sized: DataFrame, fitted: DataFrame, cap: int) -> DataFrame:
 
 def apply_mix(sized: DataFrame, fitted: DataFrame, cap: int = 2) -> DataFrame:
     """Adds source_size, target, rate and copies to rows with id, source and size (other columns stay)."""
-    known = fitted.select(F.col("source").alias("_s"), "source_size", "mean", "target", "lam", "shift", "last_id", "last_step")
+    known = by_size(fitted).select(F.col("source").alias("_s"), "source_size", "mean", "target", "lam", "shift", "last_id", "last_step")
     rated = sized.join(known, F.col("source").eqNullSafe(F.col("_s"))).withColumn("rate", _rate(cap))
     copies = sum(((_at(k, F.col("rate")) < F.col("shift")) & (F.col("size") > 0)).cast("int") for k in range(1, cap + 1))
     last = F.when(F.col("id") == F.col("last_id"), F.col("last_step")).otherwise(0)
