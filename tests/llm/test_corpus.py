@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tracemill.llm import decontam, embed, langid, mixing, quality, sharding, simhash, substring, toxicity, urlfilter
+from tracemill.llm import decontam, embed, langid, mixing, quality, sharding, shingles, simhash, substring, toxicity, urlfilter
 from tracemill.llm.common import components
 
 #: Extra columns whose names the operators use inside.
@@ -204,6 +204,53 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert {got[i] for i in range(61)} == {0} and {got[k] for k in range(100, 160)} == {100}
 
 
+# ---- shingles
+def shingle_set(text):
+    w = BLANK.findall(lowered(text))
+    return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def alike(a, b):
+    return a == b or 5 * len(a & b) >= 4 * len(a | b)
+
+
+def changed_rows():
+    """Texts of 60 words with up to three words replaced, which no 2 bits of a fingerprint can link, among a common passage."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    common, rows = [word() for _ in range(12)], []
+    for _ in range(12):
+        base = [word() for _ in range(48)] + common
+        for n in (0, 0, 1, 2, 3):
+            w = list(base)
+            for k in rng.sample(range(60), n):
+                w[k] = word()
+            rows.append((len(rows), " ".join(w), "en", "s"))
+    return rows
+
+
+@pytest.mark.parametrize("most", [32, 2])
+def test_shingle_classes(spark, docs, monkeypatch, most):
+    monkeypatch.setattr(shingles.links, "__defaults__", (shingles.LEAST, most))  # 2: nearly all lists are long
+    for frame, given in ((docs, edge_rows()), (make(spark, changed_rows()), changed_rows())):
+        rows = [(i, shingle_set(t)) for i, t, _, _ in given]
+        want = Counter(zip((i for i, _ in rows), slow_classes(rows, alike), strict=True))
+        got = shingles.near_duplicates(frame).select("id", "component").collect()
+        assert Counter((r[0], r[1]) for r in got) == want
+
+
+def test_pipeline_links_texts_with_changed_words(spark):
+    import corpus_pipeline
+
+    rows = [(i, shingle_set(t)) for i, t, _, _ in changed_rows()]
+    left = corpus_pipeline.without_near_duplicates(spark, make(spark, changed_rows()), "").collect()
+    assert sorted(r["doc_id"] for r in left) == sorted(set(slow_classes(rows, alike)))
+
+
+def test_shingles_of_nothing(empty):
+    assert shingles.near_duplicates(empty).count() == 0 and simhash.one_of_each(empty, grouped=shingles.near_duplicates).count() == 0
+
+
 # ---- substring
 def slow_cut(rows, window=13):
     words, first = [(i, BLANK.findall(t or "")) for i, t in rows], {}

@@ -195,7 +195,11 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(id, print) to (id, print, component): the smallest id reachable through links, itself included."""
     distinct = keep(prints.groupBy("print").agg(F.min("id").alias("least")), "prints")
-    joined = keep(components(links(distinct.select("print"), radius)), "print-components")
+    return labelled(prints, distinct, keep(components(links(distinct.select("print"), radius)), "print-components"))
+
+
+def labelled(prints: DataFrame, distinct: DataFrame, joined: DataFrame) -> DataFrame:
+    """Adds component to (id, print), from (print, least) and the components (node, root) of the linked prints."""
     roots = joined.join(distinct, F.col("node") == F.col("print")).groupBy("root").agg(F.min("least").alias("component"))
     member = joined.join(roots, "root").select(F.col("node").alias("print"), "component")
     known = distinct.join(member, "print", "left").select("print", F.coalesce("component", "least").alias("component"))
@@ -212,12 +216,12 @@ def hexadecimal(value):
     return F.lower(F.lpad(F.hex(value), 16, "0"))
 
 
-def one_of_each(docs: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:
-    """One document of every component, in the input's columns: the one with the least id, and of several rows with that
+def one_of_each(docs: DataFrame, id_col="doc_id", text_col="text", grouped=near_duplicates, **options) -> DataFrame:
+    """One document of every component that ``grouped`` finds, in the input's columns: the one with the least id, and of several rows with that
     id the one whose text hashes least. Equal rows of that kind leave one."""
     tag = F.xxhash64(F.col(id_col), F.col(text_col))
     keyed = docs.select(F.struct(F.col(id_col).alias("id"), tag.alias("tag")).alias("id"), F.col(text_col).alias("text"))
-    chosen = near_duplicates(keyed, "id", "text", **options).groupBy("component").agg(F.min("id").alias("first"))
+    chosen = grouped(keyed, "id", "text", **options).groupBy("component").agg(F.min("id").alias("first"))
     first = chosen.select(F.col("first.tag").alias("_tag")).distinct()
     kept = docs.withColumn("_tag", tag).join(first, "_tag", "left_semi")
     # Rows that are equal in id and text meet under one tag; only such rows are put together here.
