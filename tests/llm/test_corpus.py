@@ -130,6 +130,20 @@ def test_near_matches_are_told_apart(spark):
     assert found[2] == ([], []) and found[3] == (["9"], [])
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_near_matches_miss_any_word(spark, parts):
+    item = "alpha beta gamma delta epsilon zeta eta theta"
+    w = item.split()
+    # Each word replaced in turn, by one known nowhere or by one of the item's that another document makes common; then one dropped.
+    texts = [" ".join(["x", *w[:k], new, *w[k + 1 :], "y"]) for k in range(8) for new in ("changed", "alpha")] + [" ".join(w[:k] + w[k + 1 :]) for k in range(8)]
+    hit = len(texts)
+    texts += [" ".join(w[:4] + w[:1] * 4), "gamma " * 30, " ".join(w[:3]) + " pad" * 30 + " " + " ".join(w[3:])]
+    frame = make(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]).repartition(parts)
+    found = {r["id"]: (r["items"], r["near"]) for r in decontam.matches(frame, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()}
+    want = {i: (["9"], []) if " ".join(w) in t else ([], ["9"] if i < hit else []) for i, t in enumerate(texts)}
+    assert found == want
+
+
 def test_decontamination_without_rows(spark, docs, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.matches(empty, none).count() == 0

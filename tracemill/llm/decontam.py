@@ -8,8 +8,10 @@ offsets, from the rarest term on, which ends as soon as no start is left. The do
 index is split by document, and the phrases, a stated query set, go to every segment in blocks of at most
 ``BLOCK_WORDS`` words, so that what is broadcast has a bound; more items mean more passes.
 
-Phrases are the windows of ``WINDOW`` consecutive words of an item, or all of a shorter item's. Near matches: up
-to ``RARE`` of an item's rarest terms, all within ``SLOP`` words of the places they have in the item.
+Phrases are the windows of ``WINDOW`` consecutive words of an item, or all of a shorter item's. Near matches:
+at least ``SHARE`` of an item's distinct terms, whichever are missing, stand within ``SLOP`` words of the places that they have in the
+item. Places are counted from one of its terms that are rarest in all documents: as many as may be missing, and ``RARE`` more, so that
+``RARE`` of them are near one another in any match. The result for a document depends on no partition or batch.
 
 Nulls: a null text has no words, on either side; a null item id is an item of its own. Items without words
 find nothing. Repeated rows are each returned. Long texts are indexed whole. Columns other than id and text
@@ -35,6 +37,8 @@ BLOCK_WORDS = 400_000
 #: Postings joined into one segment.
 SEGMENT = 4_000_000
 RARE, SLOP = 4, 5
+#: The share of an item's distinct terms that makes a near match, as a fraction.
+SHARE = (4, 5)
 
 #: Bytes to bytes: A-Z lower-cased; digits, letters and all bytes of non-ASCII characters stay; the rest parts words.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -65,9 +69,21 @@ class Phrases:
         place = {t: i for i, t in enumerate(self.terms.tolist())}
         self.windows = [(np.array([place[t] for t in w]), sorted(set(ks))) for w, ks in self.starts.items()]
         self.whole = [np.array([place[t] for t in ts]) for ts in self.whole]
-        self.gap = max((len(ts) for ts in self.whole), default=0) + SLOP + 1
+        self.gap = max((len(ts) for ts in self.whole), default=0) + 2 * SLOP + 1
+        self.near: list[tuple] = []
         del self.starts
 
+    def rank(self, counts: dict[int, int]) -> None:
+        """Prepares near matches from the numbers of documents that hold the terms: for each item of two terms or more its distinct
+        terms, their first places, those to start from and how many must be met."""
+        held = np.array([counts.get(t, 0) for t in self.terms.tolist()], np.int64)
+        for k, whole in enumerate(self.whole):
+            numbers, places = np.unique(whole, return_index=True)
+            need = -(-len(numbers) * SHARE[0] // SHARE[1])
+            if len(numbers) > 1:
+                rare = np.argsort(held[numbers], kind="stable")[: len(numbers) - need + min(RARE, need)]
+                self.near.append((k, numbers, places, rare, need))
+
 
 def blocks(benchmark: DataFrame, id_col="item_id", text_col="text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[Phrases]:
     """The benchmark in blocks of bounded size; a single longer item is a block of its own."""
@@ -153,16 +169,21 @@ class Segment:
                 break
         return starts
 
-    def near(self, numbers: np.ndarray) -> np.ndarray:
-        """Places of an item's rarest term about which its other rare terms stand where the item has them."""
-        _, first = np.unique(numbers, return_index=True)
-        rare = first[np.argsort(self.length[numbers[first]], kind="stable")][:RARE]
-        if len(rare) < 2 or not self.length[numbers[rare]].all():
-            return self.at[:0]
-        found = self.postings(numbers[rare[0]])
-        for k in rare[1:]:
-            found = found[_within(self.postings(numbers[k]), found + (k - rare[0]), SLOP)]
-        return found
+    def near(self, numbers: np.ndarray, places: np.ndarray, rare: np.ndarray, need: int) -> np.ndarray:
+        """Places of an item's rare terms about which enough of its terms stand where the item has them."""
+        at = np.concatenate([self.postings(numbers[k]) for k in rare])
+        starts = at - np.repeat(places[rare], self.length[numbers[rare]])
+        order = np.argsort(starts, kind="stable")
+        at, starts = at[order], starts[order]
+        around = np.searchsorted(starts, starts + SLOP, side="right") - np.searchsorted(starts, starts - SLOP)
+        some = around >= len(rare) - (len(numbers) - need)
+        at, starts = at[some], starts[some]
+        hits = np.zeros(len(starts), np.int64)
+        if len(starts):
+            for number, place in zip(numbers, places, strict=True):
+                if self.length[number]:
+                    hits += _within(self.postings(number), starts + place, SLOP)
+        return at[hits >= need]
 
     def documents(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.base, places, side="right") - 1
@@ -201,8 +222,8 @@ def _results(batch: pa.RecordBatch, phrases: Phrases, segment: Segment, last: bo
         for d, s in zip(segment.documents(starts).tolist(), starts.tolist(), strict=True):
             spans[d].append((int(s - segment.base[d]), int(s - segment.base[d]) + len(numbers)))
             items[d].update(phrases.items[k] for k in owners)
-    for k, numbers in enumerate(phrases.whole):
-        for d in set(segment.documents(segment.near(numbers)).tolist()):
+    for k, *item in phrases.near:
+        for d in set(segment.documents(segment.near(*item)).tolist()):
             near[d].add(phrases.items[k])
     merged = [_merged(s) for s in spans]
     order = lambda s: sorted(s, key=lambda x: (x is None, x))
@@ -223,9 +244,21 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def search(indexed: DataFrame, phrases: Iterator[Phrases]) -> DataFrame:
+def frequencies(indexed: DataFrame) -> DataFrame:
+    """(term, n): the number of documents that hold each indexed term."""
+    return keep(indexed.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("n")), "term-counts")
+
+
+def _ranked(block: Phrases | None, counts: DataFrame | None) -> Phrases | None:
+    if block is not None and counts is not None:
+        terms = counts.sparkSession.createDataFrame([(t,) for t in block.terms.tolist()], "term long")
+        block.rank(dict(map(tuple, counts.join(F.broadcast(terms), "term").select("term", "n").collect())))
+    return block
+
+
+def search(indexed: DataFrame, phrases: Iterator[Phrases], proximity: bool = True) -> DataFrame:
     """Every indexed document with its matches: id, n_words, spans (words inside an occurrence of a window, as half-open
-    ranges), items (those with such an occurrence) and near (others, found by proximity)."""
+    ranges), items (those with such an occurrence) and near (others, found by proximity; none without ``proximity``)."""
     spark = indexed.sparkSession
     kind = indexed.schema["id"].dataType.simpleString()
     lists = "terms array<long>, positions array<int>, "
@@ -234,23 +267,24 @@ def search(indexed: DataFrame, phrases: Iterator[Phrases]) -> DataFrame:
     block = next(phrases, None)
     if block is None:
         return out.drop("terms", "positions", "_")
+    counts = frequencies(indexed) if proximity else None
     while block is not None:
         following = next(phrases, None)
         shape = f"id {kind}, " + FOUND.replace("spans", ("" if following is None else lists) + "spans", 1)
-        out = out.mapInArrow(_searched(spark.sparkContext.broadcast(block), following is None), shape)
+        out = out.mapInArrow(_searched(spark.sparkContext.broadcast(_ranked(block, counts)), following is None), shape)
         if following is not None:
             out = keep(out, "postings-found").select("id", "n_words", "terms", "positions", F.lit(0).alias("_"), "spans", "items", "near")
         block = following
     return out
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", window: int = WINDOW, block_words: int = BLOCK_WORDS, proximity: bool = True) -> DataFrame:
     """Indexes the documents for the benchmark's terms and searches them, a block of items at a time; see ``search``."""
     phrases = blocks(benchmark, item_col, item_text_col, window, block_words)
     some = list(islice(phrases, 2))
     # One block's terms are few enough to index no others; for more, every word is indexed, once for all blocks.
     vocabulary = (some[0].vocabulary if some else {}) if len(some) < 2 else None
-    return search(index(docs, id_col, text_col, vocabulary), chain(some, phrases))
+    return search(index(docs, id_col, text_col, vocabulary), chain(some, phrases), proximity)
 
 
 def n_hit():
@@ -264,8 +298,8 @@ def contaminated():
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:
     """The documents that are not contaminated, in the input's columns. The verdict depends on the text alone, so rows are
-    met again by a hash of their id and text."""
+    met again by a hash of their id and text. It rests on exact windows, so near matches are not sought."""
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     keyed = docs.select(key.alias("id"), F.col(text_col).alias("text"))
-    bad = matches(keyed, benchmark, "id", "text", **options).where(contaminated()).select(F.col("id").alias("_key")).distinct()
+    bad = matches(keyed, benchmark, "id", "text", proximity=False, **options).where(contaminated()).select(F.col("id").alias("_key")).distinct()
     return docs.join(bad, key == F.col("_key"), "left_anti")
