@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but these ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of labelled texts a label that a classifier is fitted on at most.
+LEARN_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,12 +41,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: A query's shuffle files go when it ends. What follows reads the table written, so they are of no more use.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def keep(df: DataFrame, what: str) -> DataFrame:
     """Writes ``df`` once to the shared folder and returns a scan of it, so that later jobs neither
-    recompute it nor depend on an executor that may be lost."""
-    path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    recompute it nor depend on an executor that may be lost. Turns ``CLEANUP`` on for the session."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    spark.conf.set(CLEANUP, "true")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """For costly work on rows: a scan of fewer partitions than the cluster has cores is dealt out evenly. Larger scans stay as they are, so
+    only small tables are moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -100,19 +117,29 @@ def fold(column, parts: int):
 def bounded_sample(rows: DataFrame, group: str, bound: int, key: str, salt: int = 3) -> DataFrame:
     """About ``bound`` rows of each value of ``group``, or all it has: those whose key's hash falls under the group's share.
 
-    Only the 1,000 most frequent values are sampled, so that what is broadcast has a bound. The counts are one small aggregation;
-    the choice depends on the keys alone, not on the order of rows."""
-    counts = rows.groupBy(group).agg(F.count("*").alias("_n")).withColumnRenamed(group, "_g")
-    return rows.join(F.broadcast(counts.orderBy(F.desc("_n"), "_g").limit(1000)), F.col(group) == F.col("_g")).where(uniform(F.col(key), salt=salt) * F.col("_n") < bound).drop("_g", "_n")
+    The counts, a row a value, are broadcast if they are few; the choice depends on the keys alone, not on the order of rows."""
+    counts = checkpoint(rows.groupBy(group).agg(F.count("*").alias("_n")).withColumnRenamed(group, "_g"))
+    return rows.join(by_size(counts), F.col(group) == F.col("_g")).where(uniform(F.col(key), salt=salt) * F.col("_n") < bound).drop("_g", "_n")
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, bound: int, parts: int = 5, id_col="doc_id", text_col="text", longest: int = 200_000) -> list[tuple[int, str, int]]:
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, bound: int, parts: int = 5, id_col="doc_id", text_col="text", most_bytes: int = LEARN_BYTES) -> list[tuple[int, str, int]]:
     """(id, text, label), sorted, of about ``bound`` labelled documents a label outside the held-out fold, for fitting.
 
     The ids are few and bounded, so they are broadcast to the documents and no text is shuffled. Where an id has
-    several labels the largest counts. Texts of over ``longest`` characters are not fitted on."""
+    several labels the largest counts. Of each label whole texts are taken in an order that the ids' hashes give, whatever their lengths,
+    as long as they have ``most_bytes`` together; one that does not fit is passed over."""
     usable = labels.where((fold(F.col(id_col), parts) != 0) & F.col(label).isNotNull()).groupBy(id_col).agg(F.max(label).alias("_label"))
-    chosen = bounded_sample(usable, "_label", bound, id_col).select(F.col(id_col).alias("_id"), "_label")
-    found = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
-    rows = found.where(F.coalesce(F.char_length("_text"), F.lit(0)) <= longest).select("_doc", "_text", "_label").collect()
+    chosen = checkpoint(bounded_sample(usable, "_label", bound, id_col).select(F.col(id_col).alias("_id"), "_label"))
+    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
+    found = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
+    size = F.coalesce(F.octet_length("_text"), F.lit(0)).cast("long")
+    sizes = found.select("_doc", "_label", size).collect()
+    fits, used = set(), Counter()
+    for i, value, n in sorted(sizes, key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[2])):
+        if used[value] + n <= most_bytes:
+            used[value] += n
+            fits.add((i, n))
+    if len(fits) < len(set(sizes)):
+        found = found.where(F.col("_doc").isin(sorted({i for i, _ in fits})))
+    rows = [r for r in found.select("_doc", "_text", "_label", size.alias("n")).collect() if (r[0], r[3]) in fits]
     return sorted((r[0], r[1] or "", int(r[2])) for r in rows)

@@ -7,7 +7,8 @@ that provably holds the root, run over the (source, size) histogram, not over do
 each document then rounds its rate to copies; one shift a source, and at last one document, bring the words taken to the target.
 
 Nulls: a null text has size 0, a null source is a source of its own, ranked last; a null id draws like
-any other value. Equal rows draw alike. A source of no words has target 0 and takes none. An empty
+any other value. Documents without words have rate 1, as the tilt says, and one copy, which takes no words. Rows that are equal in source, id and
+size draw alike and get as many copies; those that share only the id do not. A source of no words has target 0. An empty
 table gives an empty result. Columns of the input beyond those named stay in ``row`` untouched.
 """
 
@@ -50,8 +51,11 @@ def targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float
     return level.select("source", "source_size", (F.col("source_size") / F.col("n")).alias("mean"), target.alias("target"))
 
 
-def fit_mix(sized: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: int = 2, rounds: int = 40, tolerance: float = 1e-6) -> DataFrame:
-    """(id, source, size) to one row a source: source, source_size, mean, target, lam, shift."""
+def fit_mix(sized: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: int = 2, tolerance: float = 1e-6) -> DataFrame:
+    """(id, source, size) to one row a source: source, source_size, mean, target, lam, shift.
+
+    Newton steps go on until every source's words are within ``tolerance`` of its target, or its multiplier moves no more. A step
+    that is outside the bracket, or follows one that did not halve the gap, is replaced by the bracket's middle, so the loop ends."""
     histogram = keep(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-histogram")
     sizes = histogram.groupBy("source").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("size")).alias("source_size"))
     histogram = histogram.where("size > 0")
@@ -61,10 +65,10 @@ def fit_mix(sized: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: int =
         .withColumn("lam", F.lit(0.0))
         .withColumn("low", F.col("mean") * F.least(F.lit(0.0), F.log(F.col("target") / F.col("source_size"))))
         .withColumn("high", F.col("mean") * F.log(most))
-        .withColumn("gap", F.lit(1.0))
+        .withColumn("gap", F.lit(2.0))
         .na.fill(0.0, ["mean", "low", "high"])
     )
-    for _ in range(rounds):
+    while True:
         joined = histogram.join(state.select(F.col("source").alias("s"), "lam", "mean"), F.col("source").eqNullSafe(F.col("s")))
         tilt = F.exp(F.col("lam") * F.col("size") / F.col("mean"))
         mass = F.col("n") * F.col("size")
@@ -75,23 +79,25 @@ def fit_mix(sized: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: int =
         over = F.col("value") > F.col("target")
         stepped = (
             state.join(sums, F.col("source").eqNullSafe(F.col("s")), "left")
+            .withColumn("was", F.col("gap"))
             .withColumn("gap", F.when(F.col("target") >= cap * F.col("source_size"), 0.0).otherwise(F.coalesce(F.abs(F.col("value") - F.col("target")) / F.col("target"), F.lit(0.0))))
             .withColumn("low", F.when(over, F.col("low")).otherwise(F.col("lam")))
             .withColumn("high", F.when(over, F.col("lam")).otherwise(F.col("high")))
             .withColumn("step", F.col("lam") - F.try_divide(F.col("value") - F.col("target"), F.col("slope")))
         )
-        inside = (F.col("step") >= F.col("low")) & (F.col("step") <= F.col("high"))
+        inside = (F.col("step") >= F.col("low")) & (F.col("step") <= F.col("high")) & (F.col("gap") <= F.col("was") / 2)
         lam = F.when(F.col("gap") <= tolerance, F.col("lam")).when(inside, F.col("step")).otherwise((F.col("low") + F.col("high")) / 2)
-        state = checkpoint(stepped.select("source", "source_size", "mean", "target", lam.alias("lam"), "low", "high", "gap"))
-        if (state.agg(F.max("gap")).first()[0] or 0.0) <= tolerance:
+        state = checkpoint(stepped.select("source", "source_size", "mean", "target", lam.alias("lam"), "low", "high", "gap", (lam != F.col("lam")).alias("moved")))
+        if state.where((F.col("gap") > tolerance) & F.col("moved")).isEmpty():
             break
+        state = state.drop("moved")
     return _with_last(sized, _with_shift(sized, state.select("source", "source_size", "mean", "target", "lam"), cap), cap)
 
 
 def _rate(cap: int):
     full = F.col("target") >= cap * F.col("source_size")
     tilt = F.exp(F.col("lam") * F.col("size") / F.col("mean"))
-    return F.when(F.col("size") == 0, F.lit(0.0)).when(full, F.lit(float(cap))).otherwise(F.least(F.lit(float(cap)), tilt))
+    return F.when(F.col("size") == 0, F.lit(1.0)).when(full, F.lit(float(cap))).otherwise(F.least(F.lit(float(cap)), tilt))
 
 
 def _at(k: int, rate):
@@ -131,26 +137,33 @@ def _with_shift(sized: DataFrame, fitted: DataFrame, cap: int) -> DataFrame:
 
 def _with_last(sized: DataFrame, fitted: DataFrame, cap: int) -> DataFrame:
     """The shift leaves a source at most half a document off. One document, whose size is nearest to what is missing or
-    over, gets a copy more or less, if that brings the source nearer: columns last_id and last_step."""
+    over, gets a copy more or less, if that brings the source nearer: columns last_id, last_size and last_step. Where several rows are
+    equal to it, all of them do, if that still brings it nearer."""
     kind = sized.schema["id"].dataType.simpleString()
-    taken = apply_mix(sized, fitted.withColumn("last_id", F.lit(None).cast(kind)).withColumn("last_step", F.lit(0)), cap)
+    bare = fitted.withColumn("last_id", F.lit(None).cast(kind)).withColumn("last_size", F.lit(None).cast("long")).withColumn("last_step", F.lit(0))
+    taken = apply_mix(sized, bare, cap)
     sums = taken.groupBy(F.col("source").alias("s")).agg(F.sum(F.col("copies") * F.col("size")).alias("taken"))
     gaps = checkpoint(fitted.join(sums, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("g"), (F.col("target") - F.coalesce("taken", F.lit(0))).alias("gap")))
     rows = taken.join(by_size(gaps), F.col("source").eqNullSafe(F.col("g")))
     free = (F.col("size") > 0) & F.when(F.col("gap") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0)
     off = F.abs(F.col("size") - F.abs("gap"))
-    best = rows.where(free & (off < F.abs("gap")) & F.col("id").isNotNull()).groupBy(F.col("source").alias("s")).agg(F.min(F.struct(off.alias("off"), "id", F.signum("gap").cast("int").alias("step"))).alias("b"))
-    last = best.select("s", F.col("b.id").alias("last_id"), F.col("b.step").alias("last_step"))
+    best = rows.where(free & (off < F.abs("gap")) & F.col("id").isNotNull()).groupBy(F.col("source").alias("s"), "gap").agg(F.min(F.struct(off.alias("off"), "id", "size")).alias("b"))
+    best = checkpoint(best.select("s", "gap", F.col("b.id").alias("last_id"), F.col("b.size").alias("last_size")))
+    equal = sized.join(by_size(best), F.col("source").eqNullSafe(F.col("s")) & (F.col("id") == F.col("last_id")) & (F.col("size") == F.col("last_size")))
+    counted = equal.groupBy("s", "gap", "last_id", "last_size").agg(F.count("*").alias("m"))
+    last = counted.where(F.abs(F.col("m") * F.col("last_size") - F.abs("gap")) < F.abs("gap")).select("s", "last_id", "last_size", F.signum("gap").cast("int").alias("last_step"))
     return checkpoint(fitted.join(last, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"))
 
 
 def apply_mix(sized: DataFrame, fitted: DataFrame, cap: int = 2) -> DataFrame:
     """Adds source_size, target, rate and copies to rows with id, source and size (other columns stay)."""
-    known = by_size(fitted).select(F.col("source").alias("_s"), "source_size", "mean", "target", "lam", "shift", "last_id", "last_step")
+    extra = ["source_size", "mean", "target", "lam", "shift", "last_id", "last_size", "last_step"]
+    known = by_size(fitted).select(F.col("source").alias("_s"), *extra)
     rated = sized.join(known, F.col("source").eqNullSafe(F.col("_s"))).withColumn("rate", _rate(cap))
-    copies = sum(((_at(k, F.col("rate")) < F.col("shift")) & (F.col("size") > 0)).cast("int") for k in range(1, cap + 1))
-    last = F.when(F.col("id") == F.col("last_id"), F.col("last_step")).otherwise(0)
-    return rated.withColumn("copies", copies + last).drop("_s", "lam", "mean", "shift", "last_id", "last_step")
+    copies = sum((_at(k, F.col("rate")) < F.col("shift")).cast("int") for k in range(1, cap + 1))
+    last = F.when((F.col("id") == F.col("last_id")) & (F.col("size") == F.col("last_size")), F.col("last_step")).otherwise(0)
+    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.least(F.lit(cap), F.greatest(F.lit(0), copies + last)))
+    return rated.withColumn("copies", copies).drop("_s", "lam", "mean", "shift", "last_id", "last_size", "last_step")
 
 
 def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=(5, 2, 1), share=1.5, cap=2) -> DataFrame:
