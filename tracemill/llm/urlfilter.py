@@ -1,15 +1,17 @@
 """URL filters: rules, and trust spread over the host graph where no rule fits. DataFrame operations only.
 
 A rule names a host and a path prefix; it fits the host and all its subdomains, and the longest fitting rule decides.
-For the other pages a score of their host decides. Hosts with allowed pages are trusted seeds, those with blocked pages are
-blocked seeds, each by its share of such pages. Trust is a personalised PageRank from the trusted seeds along the edges; distrust is
-one from the blocked seeds against them, since who links to a blocked host is suspect. A host is blocked where
-distrust is over ``BLOCK_SHARE`` of both and more than an even share of all distrust, and allowed otherwise, so that neither a
+For the other pages a score of their host decides. A host is a trusted seed by the share of its pages that rules allow, and a blocked
+seed by the share that rules block. Trust is a personalised PageRank from the trusted seeds along the edges; distrust is
+one from the blocked seeds against them, since who links to a blocked host is suspect. Both are sums over the seeds, not divided by their number,
+so the verdict on a host depends on what is linked to it and not on the size of the table. A host is blocked where
+distrust is over ``BLOCK_SHARE`` of both and at least ``FLOOR``, half of what a host whose pages are all blocked has of its own; it is allowed otherwise, so that neither a
 host which nothing reaches nor one which only shares a large domain with a blocked one is blocked.
 
 Edges: absolute links in ``html`` (href and src) from the page's host to the link's, and, both ways, between a host and the domain
 above it, down to two labels. Repeated edges count once. A step is one join and one aggregation over distinct edges, combined
-before the shuffle; nothing is collected, and every third step is cut off by a checkpoint.
+before the shuffle; nothing is collected, and every ``STEPS`` steps a checkpoint cuts the plan off. Steps go on until what they can still add to any host
+is at most ``TOLERANCE`` of its scores or of ``FLOOR``; as each step brings at most ``DAMPING`` of the one before, they end.
 
 Nulls: a null url, or one without ``://``, has an empty host and path, fits no rule, is no node, and is allowed. A null html has no
 links. Repeated rows are each returned; other columns are ignored. An empty table gives an empty result.
@@ -20,9 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, keep
+from .common import by_size, checkpoint, keep
 
-DAMPING, ROUNDS, TOLERANCE, BLOCK_SHARE = 0.85, 10, 1e-4, 0.5
+DAMPING, STEPS, TOLERANCE, BLOCK_SHARE = 0.85, 4, 0.02, 0.5
+#: A host whose pages are all blocked has 1 - DAMPING of its own.
+FLOOR = (1 - DAMPING) / 2
 #: (rule, verdict); a rule is a host, then a path prefix.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
@@ -68,31 +72,37 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def host_scores(judged: DataFrame, edges: DataFrame) -> DataFrame:
-    """(host, trust, distrust) from (host, verdict) rows, one a page judged by a rule, and distinct (src, dst) edges."""
-    seeds = judged.where("host <> ''").groupBy("host").agg(F.count_if(F.col("verdict") == "allow").alias("good"), F.count_if(F.col("verdict") == "block").alias("bad"))
+    """(host, trust, distrust) from (host, verdict) rows, one a page, whose verdict is null where no rule fits, and distinct (src, dst) edges."""
+    share = lambda v: F.count_if(F.col("verdict") == v) / F.count("*")
+    seeds = judged.where("host <> ''").groupBy("host").agg(share("allow").alias("good"), share("block").alias("bad")).where("good + bad > 0")
     seeds = keep(seeds, "host-seeds")
-    total = seeds.agg(F.sum("good"), F.sum("bad")).first()
-    seeds = seeds.select("host", (F.col("good") / float(total[0] or 1)).alias("good"), (F.col("bad") / float(total[1] or 1)).alias("bad"))
     out = edges.groupBy("src").agg(F.count("*").alias("out"))
     into = edges.groupBy("dst").agg(F.count("*").alias("into"))
     weighted = edges.join(out, "src").join(into, "dst")
     moves = weighted.select(F.col("src").alias("from"), F.col("dst").alias("to"), (1.0 / F.col("out")).alias("t"), F.lit(0.0).alias("d"))
     back = weighted.select(F.col("dst").alias("from"), F.col("src").alias("to"), F.lit(0.0).alias("t"), (1.0 / F.col("into")).alias("d"))
-    moves = keep(moves.unionByName(back), "host-moves")
-    state = seeds.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
-    home = seeds.select("host", (F.col("good") * (1 - DAMPING)).alias("trust"), (F.col("bad") * (1 - DAMPING)).alias("distrust"))
-    before = None
-    for _ in range(ROUNDS):
-        for _ in range(3):
-            sent = moves.join(state, F.col("from") == F.col("host")).select(F.col("to").alias("host"), (F.col("t") * F.col("trust") * DAMPING).alias("trust"), (F.col("d") * F.col("distrust") * DAMPING).alias("distrust"))
-            state = sent.unionByName(home).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
-        state = checkpoint(state)
-        if before is not None:
-            moved = state.alias("n").join(before.alias("o"), "host", "left").agg(F.sum(F.abs(F.col("n.trust") - F.coalesce("o.trust", F.lit(0.0))) + F.abs(F.col("n.distrust") - F.coalesce("o.distrust", F.lit(0.0))))).first()[0]
-            if (moved or 0.0) < TOLERANCE:
-                break
-        before = state
-    return state
+    moves = keep(moves.unionByName(back).groupBy("from", "to").agg(F.sum("t").alias("t"), F.sum("d").alias("d")), "host-moves")
+    # What moves in a step; the scores are the sums of all steps. It shrinks by the damping at least.
+    moving = seeds.select("host", (F.col("good") * (1 - DAMPING)).alias("trust"), (F.col("bad") * (1 - DAMPING)).alias("distrust"))
+    scores = moving
+    while True:
+        arrived = []
+        for _ in range(STEPS):
+            sent = moves.join(moving, F.col("from") == F.col("host"))
+            moving = sent.groupBy(F.col("to").alias("host")).agg(F.sum(F.col("t") * F.col("trust") * DAMPING).alias("trust"), F.sum(F.col("d") * F.col("distrust") * DAMPING).alias("distrust"))
+            arrived.append(moving)
+        rows = scores.select("host", "trust", "distrust", F.lit(0.0).alias("t"), F.lit(0.0).alias("d"))
+        for step in arrived:
+            last = step is arrived[-1]
+            rows = rows.unionByName(step.select("host", "trust", "distrust", *[(F.col(c) if last else F.lit(0.0)).alias(c[0]) for c in ("trust", "distrust")]))
+        state = checkpoint(rows.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("trust", "distrust", "t", "d")]))
+        scores, moving = state.select("host", "trust", "distrust"), state.select("host", F.col("t").alias("trust"), F.col("d").alias("distrust"))
+        rest = DAMPING / (1 - DAMPING)
+        open_ = F.lit(False)
+        for moved, score in (("t", "trust"), ("d", "distrust")):
+            open_ = open_ | (F.col(moved) * rest > TOLERANCE * F.greatest(F.col(score), F.lit(FLOOR)))
+        if state.where(open_).isEmpty():
+            return scores
 
 
 def judged(pages: DataFrame, id_col="page_id", url_col="url", html_col="html", rules=RULES) -> DataFrame:
@@ -102,8 +112,7 @@ def judged(pages: DataFrame, id_col="page_id", url_col="url", html_col="html", r
     edges = keep(host_edges(plain), "host-edges")
     verdict = F.create_map(*[F.lit(x) for r in rules for x in r])
     ruled = plain.select("id", "host", "path").withColumn("rule", rule(F.col("host"), F.col("path"), rules)).withColumn("verdict", verdict[F.col("rule")])
-    scores = host_scores(ruled.where("rule is not null").select("host", "verdict"), edges)
+    scores = host_scores(ruled.select("host", "verdict"), edges)
     share = F.coalesce(F.try_divide("distrust", F.col("trust") + F.col("distrust")), F.lit(0.0))
-    even = 1.0 / max(1, scores.count())
-    by_host = F.when((share > BLOCK_SHARE) & (F.col("distrust") > even), "block").otherwise("allow")
-    return ruled.join(scores, "host", "left").select("id", "host", "path", "rule", F.coalesce("verdict", by_host).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    by_host = F.when((share > BLOCK_SHARE) & (F.col("distrust") >= FLOOR), "block").otherwise("allow")
+    return ruled.join(by_size(scores), "host", "left").select("id", "host", "path", "rule", F.coalesce("verdict", by_host).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
