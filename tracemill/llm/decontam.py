@@ -299,7 +299,12 @@ def contaminated():
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:
     """The documents that are not contaminated, in the input's columns. The verdict depends on the text alone, so rows are
     met again by a hash of their id and text. It rests on exact windows, so near matches are not sought."""
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
-    keyed = docs.select(key.alias("id"), F.col(text_col).alias("text"))
-    bad = matches(keyed, benchmark, "id", "text", proximity=False, **options).where(contaminated()).select(F.col("id").alias("_key")).distinct()
-    return docs.join(bad, key == F.col("_key"), "left_anti")
+    rows = docs.select(F.struct("*").alias("row"), *_keys(id_col, text_col))
+    keyed = docs.select(F.struct(*_keys(id_col, text_col)).alias("id"), F.col(text_col).alias("text"))
+    bad = matches(keyed, benchmark, "id", "text", proximity=False, **options).where(contaminated()).select("id.*").distinct()
+    return rows.join(bad, ["k1", "k2"], "left_anti").select("row.*")
+
+
+def _keys(id_col: str, text_col: str) -> list:
+    """Two independent hashes of a row's id and text."""
+    return [F.xxhash64(F.lit(salt), F.col(id_col), F.col(text_col)).alias(name) for salt, name in ((1, "k1"), (2, "k2"))]

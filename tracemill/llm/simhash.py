@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, keep
+from .common import by_size, components, keep
 
 RADIUS = 2
 SHARD = 256
@@ -203,7 +203,7 @@ def labelled(prints: DataFrame, distinct: DataFrame, joined: DataFrame) -> DataF
     roots = joined.join(distinct, F.col("node") == F.col("print")).groupBy("root").agg(F.min("least").alias("component"))
     member = joined.join(roots, "root").select(F.col("node").alias("print"), "component")
     known = distinct.join(member, "print", "left").select("print", F.coalesce("component", "least").alias("component"))
-    return prints.join(known, "print")
+    return prints.join(by_size(keep(known, "print-classes")), "print")
 
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = 3, seed: int = 42, radius: int = RADIUS) -> DataFrame:
@@ -218,16 +218,17 @@ def hexadecimal(value):
 
 def one_of_each(docs: DataFrame, id_col="doc_id", text_col="text", grouped=near_duplicates, **options) -> DataFrame:
     """One document of every component that ``grouped`` finds, in the input's columns: the one with the least id, and of several rows with that
-    id the one whose text hashes least. Equal rows of that kind leave one."""
-    tag = F.xxhash64(F.col(id_col), F.col(text_col))
+    id the one whose text hashes least; of rows equal in both the one that is least as JSON text. Rows are told apart by two hashes of id and text."""
+    tags = [F.xxhash64(F.lit(salt), F.col(id_col), F.col(text_col)) for salt in (1, 2)]
+    tag = F.struct(tags[0].alias("h1"), tags[1].alias("h2"))
     keyed = docs.select(F.struct(F.col(id_col).alias("id"), tag.alias("tag")).alias("id"), F.col(text_col).alias("text"))
     chosen = grouped(keyed, "id", "text", **options).groupBy("component").agg(F.min("id").alias("first"))
-    first = chosen.select(F.col("first.tag").alias("_tag")).distinct()
-    kept = docs.withColumn("_tag", tag).join(first, "_tag", "left_semi")
+    first = chosen.select("first.tag.*").distinct()
+    kept = docs.select(F.struct("*").alias("row"), tag.alias("tag")).select("row", "tag.*").join(first, ["h1", "h2"], "left_semi")
     # Rows that are equal in id and text meet under one tag; only such rows are put together here.
-    again = keep(kept.groupBy("_tag").agg(F.count("*").alias("n")).where("n > 1").select("_tag"), "repeated-rows")
+    again = keep(kept.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "repeated-rows")
     if again.isEmpty():
-        return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
-    single = kept.join(again, "_tag", "left_anti")
-    merged = kept.join(again, "_tag", "left_semi").groupBy("_tag").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
-    return single.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(merged.select("row.*"))
+        return kept.select("row.*")
+    single = kept.join(again, ["h1", "h2"], "left_anti").select("row")
+    merged = kept.join(again, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return single.unionByName(merged.select("row")).select("row.*")
