@@ -501,3 +501,47 @@ def test_digest_columns(spark):
     want = slow_cut([(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()])
     assert {(r[0], r[1], r[2], r[3]) for r in left.collect()} == {(i, n, g, hashlib.sha256(t.encode()).hexdigest()) for i, n, g, t in want}
     assert len(QUERIES) == 10
+
+
+def brute_links(rows, threshold=0.9):
+    """id to (links, least id reachable) of (id, vector) rows of one length."""
+    x = np.array([v for _, v in rows], float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    close = x @ x.T >= threshold
+    label = np.array([i for i, _ in rows])
+    while True:
+        least = np.where(close, label[None, :], label.max()).min(axis=1)
+        if (least == label).all():
+            break
+        label = least
+    return {i: (int(n) - 1, int(c)) for (i, _), n, c in zip(rows, close.sum(axis=1), label, strict=True)}
+
+
+def test_vectors_of_every_length_link(spark):
+    rng = np.random.default_rng(31)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(50)]
+    short = rng.standard_normal(4)
+    others = [(100, short.tolist()), (101, short.tolist()), (102, (3 * short).tolist()), (103, (-short).tolist()), (104, [2.0]), (105, [3.0]), (106, [-1.0])]
+    got = {r["id"]: (r["n_links"], r["component"]) for r in embed.near_duplicates(spark.createDataFrame(rows + others, "vec_id long, embedding array<double>")).collect()}
+    want = brute_links(rows) | {100: (2, 100), 101: (2, 100), 102: (2, 100), 103: (0, 103), 104: (1, 104), 105: (1, 104), 106: (0, 106)}
+    assert got == want
+
+
+def test_vectors_that_point_the_same_way_are_not_all_compared(spark, monkeypatch):
+    monkeypatch.setattr(embed, "LEAF_MAX", 256)
+    rng = np.random.default_rng(13)
+    compared = []
+    for n in (1500, 3000):
+        # A mean cosine of about 0.83, and a near copy of every tenth vector.
+        base = 2.2 * np.ones(128) / 128**0.5 + rng.standard_normal((n, 128)) / 128**0.5
+        near = base[: n // 10] + 0.15 * rng.standard_normal((n // 10, 128)) / 128**0.5
+        rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, near]))]
+        frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").cache()
+        named = frame.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+        sizes = embed.leaves(embed.classes(named, F.lit(True)), 0.9).groupBy("leaf").count().collect()
+        compared.append(sum(r["count"] * (r["count"] - 1) / 2 for r in sizes) / len(rows))
+        want = brute_links(rows)
+        got = {r["id"]: r["n_links"] for r in embed.near_duplicates(frame).collect()}
+        assert all(got[i] <= want[i][0] for i in got)
+        assert sum(got.values()) >= 0.9 * sum(w for w, _ in want.values()) > 0
+    assert compared[1] < 1.3 * compared[0]  # pairs a row
