@@ -3,8 +3,11 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -545,3 +548,59 @@ def test_vectors_that_point_the_same_way_are_not_all_compared(spark, monkeypatch
         assert all(got[i] <= want[i][0] for i in got)
         assert sum(got.values()) >= 0.9 * sum(w for w, _ in want.values()) > 0
     assert compared[1] < 1.3 * compared[0]  # pairs a row
+
+
+# ---- long texts
+def test_parts_of_a_long_text_give_what_the_whole_gives(monkeypatch):
+    from tracemill.llm import bytewords
+
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefghäß") for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    texts = [" ".join(rng.choice(words) for _ in range(n)) + tail for n in (0, 1, 5, 31, 32, 33, 52, 53, 400, 401, 1999) for tail in ("", " ", "\n\t.")]
+    net = toxicity.Network(np.empty(0, np.uint64))
+    profiles = langid.Profiles({"a": list("abcde"), "b": ["f", "g", " h", "ab"]})
+    for text in texts:
+        raw = text.encode()
+        whole = net._logits([raw])[0]
+        for limit in (40, 300, 1000):
+            assert np.allclose(net.long_logits(raw, limit)[0], whole, atol=1e-5) and len(whole) == len(net.long_logits(raw, limit)[0])
+            assert b"".join(bytewords.pieces(raw, limit)) == raw
+        want = simhash.fingerprint(text), profiles.predict(text, 300), langid.grams(text), quality.features([raw]).tolist(), bytewords.word_hashes([raw, raw])[0].tolist()
+        with monkeypatch.context() as m:
+            m.setattr(simhash, "PIECE", 50)
+            m.setattr(langid, "PART", 50)
+            m.setattr(quality, "CHUNK", 50)
+            m.setattr(bytewords.pieces, "__defaults__", (50, True))
+            m.setattr(bytewords.chunks, "__defaults__", (50,))
+            assert want == (simhash.fingerprint(text), profiles.predict(text, 300), langid.grams(text), quality.features([raw]).tolist(), bytewords.word_hashes([raw, raw])[0].tolist())
+        assert want[0] == slow_print(text)
+
+
+LONG = """
+import resource, sys
+import numpy as np
+from tracemill.llm import decontam, langid, quality, shingles, simhash, substring, toxicity
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+rng = np.random.default_rng(1)
+words = np.array(["".join(map(chr, rng.integers(97, 123, rng.integers(2, 9)))) for _ in range(5000)])
+text = (" ".join(words[rng.integers(0, 5000, 100_000)]) + " ") * 34 if sys.argv[2] == "words" else "ab" * 10_000_000
+raw = text.encode()
+profiles = langid.Profiles({"a": list("abcde"), "b": ["f", "g"]})
+net = toxicity.Network(np.empty(0, np.uint64))
+base = peak()
+none = (np.empty(0, np.int64),) * 2
+{"toxicity": lambda: net.scores([raw]), "langid": lambda: profiles.predict(text, 300), "quality": lambda: quality.features([raw]), "simhash": lambda: simhash.fingerprint_bytes(raw),
+ "shingles": lambda: shingles.sets([raw], 5, none), "substring": lambda: substring._windows([raw], 13), "decontam": lambda: decontam.words(text)}[sys.argv[1]]()
+print(peak() - base)
+"""
+
+
+@pytest.mark.parametrize("kind", ["words", "one"])
+@pytest.mark.parametrize("operator", ["toxicity", "langid", "quality", "simhash", "shingles", "substring", "decontam"])
+def test_a_text_of_20_mb_takes_bounded_memory(operator, kind):
+    if kind == "one" and operator not in ("toxicity", "langid", "simhash"):
+        pytest.skip("exact hashes of one word of 20 MB take memory for it")
+    ran = subprocess.run([sys.executable, "-c", LONG, operator, kind], capture_output=True, text=True, cwd=Path(__file__).resolve().parents[2], timeout=300)
+    assert ran.returncode == 0, ran.stderr
+    assert float(ran.stdout) < 500
+    print(operator, kind, ran.stdout)

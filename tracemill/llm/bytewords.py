@@ -6,6 +6,7 @@ hashes. Windows that differ share a hash with a chance of about 2**-64 a pair.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,9 @@ import numpy as np
 BLANKS = b"\t\n\x0b\x0c\r "
 #: Bytes of text worked on at once, unless one text is longer.
 CHUNK = 1 << 20
+#: How far past its place a cut waits for a blank where words may be cut.
+WAIT = 4096
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -66,10 +70,29 @@ def bounds(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return raw, starts, since, np.searchsorted(ends, starts, side="right")
 
 
+def pieces(raw: bytes, limit: int = CHUNK, whole_words: bool = True) -> Iterator[bytes]:
+    """A text in parts of about ``limit`` bytes that end before a blank. Without ``whole_words`` a part ends at the latest ``WAIT`` bytes after its
+    place, so that a word longer than that may be cut."""
+    begin = 0
+    while len(raw) - begin > limit:
+        cut = _BLANK.search(raw, begin + limit, len(raw) if whole_words else min(len(raw), begin + limit + WAIT))
+        end = cut.start() if cut else len(raw) if whole_words else min(len(raw), begin + limit + WAIT)
+        yield raw[begin:end]
+        begin = end
+    yield raw[begin:]
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every word of the texts, in order, and the number of its text."""
-    raw, starts, since, owner = bounds(texts)
-    return hashed(raw, starts, since), owner
+    """The hash of every word of the texts, in order, and the number of its text. Worked on in parts, so that a long text takes
+    little more memory than what is returned."""
+    found, owner = [], []
+    for begin, end in chunks([len(t) for t in texts]):
+        parts = [texts[begin:end]] if end - begin > 1 else [[p] for p in pieces(texts[begin])]
+        for part in parts:
+            raw, starts, since, of = bounds(part)
+            found.append(hashed(raw, starts, since))
+            owner.append(of + begin)
+    return (np.concatenate(found), np.concatenate(owner)) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
 
 def hashed(raw: np.ndarray, starts: np.ndarray, since: np.ndarray) -> np.ndarray:

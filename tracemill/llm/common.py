@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but these ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of labelled texts a label that a classifier is fitted on at most.
-LEARN_BYTES = 16 << 20
+LEARN_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,11 +55,11 @@ def keep(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """For costly work on rows: a scan of fewer partitions than the cluster has cores is dealt out evenly. Larger scans stay as they are, so
-    only small tables are moved."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(scan: DataFrame) -> DataFrame:
+    """For costly work on the rows of a table just read: a scan of fewer partitions than the cluster has cores is dealt out evenly. Larger
+    ones stay as they are, so only small tables are moved."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

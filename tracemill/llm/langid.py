@@ -16,6 +16,7 @@ an empty result.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
@@ -29,6 +30,20 @@ from .common import bounded_sample
 
 TOP = 300
 LEARN = 1500
+#: Characters of a text worked on at a time.
+PART = 1 << 18
+_OTHER = re.compile(r"\W")
+
+
+def _parts(text: str) -> Iterator[str]:
+    """A text in parts of about ``PART`` characters, each ending before one that is no letter, if there is one in the next 4,096."""
+    begin = 0
+    while len(text) - begin > PART:
+        cut = _OTHER.search(text, begin + PART, begin + PART + 4096)
+        end = cut.start() if cut else min(len(text), begin + PART + 4096)
+        yield text[begin:end]
+        begin = end
+    yield text[begin:]
 
 
 @cache
@@ -74,14 +89,20 @@ class Profiles:
         return np.concatenate([x[x != 0], two + b, three[x[1:-1] != 0] + (b + b * b)])
 
     def predict(self, text: str | None, top: int) -> tuple[str, float]:
-        points = _points(text) if text else np.zeros(1, np.uint32)
-        if len(points) < 3 or not self.languages:
+        found, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        for part in _parts(text or "") if self.languages else ():
+            points = _points(part)
+            if len(points) >= 3:
+                codes = np.sort(self.codes(points))
+                new = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+                more, n = codes[new].astype(np.int64), np.diff(np.concatenate([new, [len(codes)]]))
+                if len(found):
+                    more, place = np.unique(np.concatenate([found, more]), return_inverse=True)
+                    n = np.bincount(place, np.concatenate([counts, n])).astype(np.int64)
+                found, counts = more, n
+        if not len(found):
             return "und", 0.0
-        codes = np.sort(self.codes(points))
-        new = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-        counts = np.diff(np.concatenate([new, [len(codes)]]))
-        order = np.argsort(-counts, kind="stable")[:top]
-        mine = codes[new[order]].astype(np.int64)
+        mine = found[np.argsort(-counts, kind="stable")[:top]]
         at = np.searchsorted(self.known, mine)
         at[self.known[np.minimum(at, len(self.known) - 1)] != mine] = len(self.known)
         ranks = self.ranks[:, at]
@@ -93,7 +114,10 @@ class Profiles:
 def grams(text: str) -> Counter:
     """The n-grams of one text with their counts, a blank for either end of a word."""
     counts: Counter = Counter()
-    for word, n in Counter("".join(map(chr, _points(text))).split("\0")).items():
+    words: Counter = Counter()
+    for part in _parts(text):
+        words.update("".join(map(chr, _points(part))).split("\0"))
+    for word, n in words.items():
         if word:
             padded = f" {word} "
             for size in (1, 2, 3):

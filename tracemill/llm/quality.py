@@ -5,8 +5,8 @@ P(grade <= k) = logistic(threshold_k - weights . x). x counts the text's words a
 places, as log(1 + n), scaled to length 1. From the model come the expected grade and the tail probability
 P(grade >= ``least``) by which documents are selected.
 
-It is fitted on the driver with at most about ``LEARN`` labelled documents a grade (the stated bound of the sample),
-outside the held-out fold, by full-batch Adam steps in numpy. Every document is scored on its whole text.
+It is fitted on the driver with at most about ``LEARN`` labelled documents a grade, of at most ``common.LEARN_BYTES`` together (the stated
+bounds of the sample), outside the held-out fold, by full-batch Adam steps in numpy. Every document is scored on its whole text.
 
 Nulls: a null text is an empty one, whose x is 0, so that the thresholds alone decide. Null ratings teach nothing; several ratings of
 one document count as the largest. With fewer than two grades nothing can be told apart: every document gets the one grade (0
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import chunks, word_hashes
+from .bytewords import CHUNK, chunks, word_hashes
 from .common import labelled_texts
 
 BUCKETS = 1 << 12
@@ -40,15 +40,24 @@ def features(texts: list[bytes]) -> np.ndarray:
         edges = np.searchsorted(owner, np.arange(end - begin + 1))
         places = (hashes >> np.uint64(40)).astype(np.int64) & (BUCKETS - 1)
         for i in range(end - begin):
-            raw = np.frombuffer(b" " + texts[begin + i] + b" ", np.uint8).astype(np.int64)
-            grams = ((raw[:-2] * 961 + raw[1:-1] * 31 + raw[2:]) * 40503 >> 4) & (BUCKETS - 1)
             if edges[i] < edges[i + 1]:
-                x = np.bincount(grams, minlength=BUCKETS) + np.bincount(places[edges[i] : edges[i + 1]], minlength=BUCKETS)
+                x = _grams(texts[begin + i]) + np.bincount(places[edges[i] : edges[i + 1]], minlength=BUCKETS)
                 x = np.log1p(x.astype(np.float32))
                 out[begin + i] = x / np.linalg.norm(x)
     return out
 
 
+def _grams(text: bytes) -> np.ndarray:
+    """The counts of the byte trigrams of a text with a blank at either end, worked on in parts."""
+    counts = np.zeros(BUCKETS, np.int64)
+    for at in range(0, len(text) + 2, CHUNK):
+        part = (b" " if not at else b"") + text[max(at - 1, 0) : at + CHUNK + 1] + (b" " if at + CHUNK + 1 > len(text) else b"")
+        raw = np.frombuffer(part, np.uint8).astype(np.int64)
+        if len(raw) > 2:
+            counts += np.bincount(((raw[:-2] * 961 + raw[1:-1] * 31 + raw[2:]) * 40503 >> 4) & (BUCKETS - 1), minlength=BUCKETS)
+    return counts
+
+
 def _logistic(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
 

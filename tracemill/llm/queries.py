@@ -6,18 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, embed, langid, mixing, quality, sharding, simhash, substring, toxicity, urlfilter
-from .common import fold, table
+from .common import fold, spread, table
 
 SHARDS = 24
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op1_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_plan(table(spark, sf_dir, "documents"))
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "rate", "copies")
 
 
 def op2_positional_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontam.matches(_texts(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     return found.select(
         F.col("id").alias("doc_id"),
         "n_words",
@@ -32,12 +36,12 @@ def op3_toxicity_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     network = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     held_out = F.coalesce(fold(F.col("id"), 5) == 0, F.lit(False))
-    scored = toxicity.score(docs, network)
+    scored = toxicity.score(_texts(spark, sf_dir), network)
     return scored.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op4_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    linked = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    linked = simhash.near_duplicates(_texts(spark, sf_dir))
     return linked.select(F.col("id").alias("doc_id"), simhash.hexadecimal(F.col("print")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
@@ -45,13 +49,13 @@ def op5_rank_order_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     profiles = langid.learn(docs.where(fold(F.col("doc_id"), 4) != 2))
     held_out = F.coalesce(fold(F.col("id"), 4) == 2, F.lit(False))
-    return langid.predict(docs, profiles).select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "lang_pred", "score")
+    return langid.predict(_texts(spark, sf_dir), profiles).select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "lang_pred", "score")
 
 
 def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    graded = quality.grade(docs.select("doc_id", "text"), model)
+    graded = quality.grade(_texts(spark, sf_dir), model)
     held_out = F.coalesce(fold(F.col("row.doc_id"), 5) == 0, F.lit(False))
     return graded.select("row.doc_id", held_out.alias("held_out"), "expected_grade", F.col("tail").alias("tail_probability"), (F.col("tail") >= quality.ACCEPT).alias("accepted"))
 

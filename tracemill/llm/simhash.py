@@ -26,12 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytewords import pieces
 from .common import by_size, components, keep
 
 RADIUS = 2
 SHARD = 256
-#: Shingles hashed and counted at a time.
-BLOCK = 1 << 15
+#: Bytes of a text whose shingles are hashed and counted at a time.
+PIECE = 1 << 18
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -40,21 +41,27 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprint_bytes(raw: bytes, shingle: int = 3, seed: int = 42) -> int:
-    words = raw.lower().split()  # bytes: A-Z only, and the six ASCII blanks
-    if not words:
-        return 0
-    count = max(1, len(words) - shingle + 1)
-    bits = np.zeros(64, np.int64)
-    digest = xxhash.xxh64_intdigest
-    for start in range(0, count, BLOCK):
-        part = words[start : min(count, start + BLOCK) + shingle - 1]
-        grams = [b" ".join(part)] if count == 1 else map(b" ".join, zip(*(part[k:] for k in range(shingle)), strict=False))
-        hashes = np.array([digest(g, seed) for g in grams], np.uint64)
-        # Byte by byte: bit k of a hash is column k of its little-endian bits.
-        bits += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    bits, count, held = np.zeros(64, np.int64), 0, []
+    for piece in pieces(raw, PIECE):
+        # Bytes: A-Z only, and the six ASCII blanks. The last words are needed again by the next piece's first shingles.
+        words = held + piece.lower().split()
+        if len(words) >= shingle:
+            bits += _counted(map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False)), seed)
+            count += len(words) - shingle + 1
+        held = words[-(shingle - 1) :] if shingle > 1 else []
+    if not count and held:
+        bits, count = _counted([b" ".join(held)], seed), 1
     return int(((2 * bits > count).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64))
 
 
+def _counted(grams, seed: int) -> np.ndarray:
+    """How many of the shingles' hashes have each bit."""
+    digest = xxhash.xxh64_intdigest
+    hashes = np.array([digest(g, seed) for g in grams], np.uint64)
+    # Byte by byte: bit k of a hash is column k of its little-endian bits.
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
 def _fingerprints(shingle: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -8,15 +8,16 @@ the number of windows gives the text's score.
 
 Labels belong to texts, not windows, so training is by multiple instances: after some epochs on windows drawn at random,
 the windows that the network itself finds most toxic stand for their texts. It is fitted on the driver with about
-``LEARN`` labelled documents a label (the stated bound of the sample); a fifth of them is kept for the last regression.
+``LEARN`` labelled documents a label, of at most ``common.LEARN_BYTES`` together (the stated bounds of the sample); a fifth of them is kept for the last regression.
 
 Nulls: a null text is an empty one; it has no window and is scored by the biases. Null labels teach nothing; of several labels of a document the
 largest counts. With one label or none the score is that label's share, (n1 + 1) / (n + 2). Texts of any length are scored
-whole. Repeated rows are each returned; other columns are ignored. An empty table gives an empty result.
+whole, a part at a time. Repeated rows are each returned; other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import bounds, chunks, hashed, mixed
+from .bytewords import bounds, chunks, hashed, mixed, pieces
 from .common import fold, labelled_texts
 from .decontam import TABLE
 
@@ -33,6 +34,8 @@ WIDE, UNITS = 8, 8
 BUCKETS, VOCABULARY, OFTEN = 1 << 12, 1 << 12, 4
 LEARN = 1500
 CHUNK = 1 << 20
+#: In texts of over ``CHUNK`` bytes a longer word is taken in parts of this many bytes.
+_GIANT = re.compile(rb"[^ ]{4096}")
 
 
 class Words:
@@ -251,13 +254,40 @@ class Network:
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        out = np.empty(len(texts))
+        figures = np.empty((len(texts), 4))
         for begin, end in chunks([len(t) for t in texts], CHUNK):
-            words = Words(texts[begin:end])
-            first, size, text = windows(words.owner, end - begin)
-            figures = self.figures(self.logits(self.inputs(words), first, size), text, end - begin)
-            out[begin:end] = 1 / (1 + np.exp(-np.clip(self.final[0] + figures @ self.final[1:], -30, 30)))
-        return out
+            long = end - begin == 1 and len(texts[begin]) > CHUNK
+            logits, text = self.long_logits(texts[begin]) if long else self._logits(texts[begin:end])
+            figures[begin:end] = self.figures(logits, text, end - begin)
+        return 1 / (1 + np.exp(-np.clip(self.final[0] + figures @ self.final[1:], -30, 30)))
+
+    def _logits(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        words = Words(texts)
+        first, size, text = windows(words.owner, len(texts))
+        return self.logits(self.inputs(words), first, size), text
+
+    def long_logits(self, text: bytes, limit: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
+        """The logits of all windows of one text, worked on in parts of about ``limit`` bytes. From a part's last window on its words go in front
+        of the next part, so that every window, the text's last one included, has all its words."""
+        out, held, done = [np.empty(0, np.float32)], b"", False
+        parts = pieces(text.translate(TABLE), limit, whole_words=False)
+        part = next(parts)
+        while part is not None:
+            following = next(parts, None)
+            held += b" " + _GIANT.sub(rb"\g<0> ", part)
+            words = Words([held])
+            n = len(words.starts)
+            starts = list(range(STRIDE if done else 0, n - WINDOW + 1, STRIDE))
+            if following is None and not done and n <= WINDOW:
+                starts = [0] if n else []
+            elif following is None and (n - WINDOW) % STRIDE:
+                starts.append(n - WINDOW)
+            out.append(self.logits(self.inputs(words), np.array(starts, np.int64), np.full(len(starts), min(n, WINDOW))))
+            if n >= WINDOW:
+                held, done = held[int(words.starts[(n - WINDOW) // STRIDE * STRIDE]) :], True
+            part = following
+        logits = np.concatenate(out)
+        return logits, np.zeros(len(logits), np.int64)
 
 
 def train(texts: list[bytes], labels: list[int], shares: tuple[float, float] = (1.0, 1.0), seed: int = 11, batch: int = 256, epochs: int = 6, drawn: int = 16_000) -> Network:
