@@ -604,3 +604,43 @@ def test_a_text_of_20_mb_takes_bounded_memory(operator, kind):
     assert ran.returncode == 0, ran.stderr
     assert float(ran.stdout) < 500
     print(operator, kind, ran.stdout)
+
+
+def slow_shards(rows, shards):
+    """The tree on (id, size, dims, crc) rows by sorting, with ids told apart by nothing: shard sizes a cut at each exact median would give."""
+    todo, out = [(rows, 0, shards)], {}
+    low = [min(r[2][i] for r in rows) for i in range(len(rows[0][2]))]
+    span = [max(max(r[2][i] for r in rows) - low[i], 1e-300) for i in range(len(low))]
+    while todo:
+        mine, first, k = todo.pop()
+        if k == 1 or not mine:
+            out |= {r[0]: first for r in mine}
+            continue
+        wide = [(max(r[2][i] for r in mine) - min(r[2][i] for r in mine)) / span[i] for i in range(len(span))]
+        dim = max(range(len(wide)), key=lambda i: (wide[i], -i))
+        mine = sorted(mine, key=lambda r: (r[2][dim], r[3]))
+        want, upto, cut = sum(r[1] for r in mine) * (k // 2) / k, 0, 0
+        while cut < len(mine) and want - upto > mine[cut][1] / 2:
+            upto, cut = upto + mine[cut][1], cut + 1
+        todo += [(mine[:cut], first, k // 2), (mine[cut:], first + k // 2, k - k // 2)]
+    return out
+
+
+def test_shards_are_those_of_exact_medians(spark):
+    rng = random.Random(17)
+    # Sizes with a heavy tail: nearly all texts are small beside the largest.
+    rows = [(i, "".join(rng.choice("abcdef ") for _ in range(int(10 * rng.paretovariate(1.0)) % 200_000)), "en", "s") for i in range(400)]
+    rows.append((400, "x" * 2_000_000, "en", "s"))
+    docs = make(spark, rows)
+    got = {r["id"]: r["shard"] for r in sharding.shard_plan(docs, shards=7, dims=()).collect()}
+    raw = [(i, len(t) + 8, (float(len(t) + 8),), zlib.crc32(t.encode())) for i, t, _, _ in rows]
+    want = slow_shards(raw, 7)
+    assert sum(got[i] == want[i] for i in want) >= 0.99 * len(want) and got[400] == want[400] == 6
+
+
+def test_shards_by_the_thousand_have_a_short_plan(spark):
+    rows = [(i, f"text {i % 977} " * (i % 7), "en", "s") for i in range(3000)]
+    placed = sharding.shard_plan(make(spark, rows), shards=2000)
+    assert len(placed._jdf.queryExecution().analyzed().toString()) < 20_000
+    got = placed.collect()
+    assert len(got) == 3000 and len({r["shard"] for r in got}) > 1000 and all(0 <= r["shard"] < 2000 for r in got)

@@ -68,7 +68,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def by_size(small: DataFrame, rows: int = 100_000) -> DataFrame:
+#: Rows of a small table that is broadcast at most.
+BROADCAST_ROWS = 100_000
+
+
+def by_size(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A checkpointed table, marked for broadcast if it has at most ``rows`` rows; a larger one is joined as Spark sees fit,
     by a shuffle whose skewed parts it can split."""
     return F.broadcast(small) if small.count() <= rows else small

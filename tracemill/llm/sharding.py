@@ -2,10 +2,13 @@
 
 Starting from all rows, a node that is to hold k shards is cut along its widest metadata dimension at the
 weighted quantile floor(k/2)/k of its bytes, until every leaf holds one shard. The quantile is found in
-three distributed histogram passes: over the dimension, over the texts' checksums where the value
-ties, and over the ids where texts tie, so that a group of equal texts stays together unless the cut falls
+three distributed histogram passes of ``BINS`` bins over the order of the dimension, told apart to a 16-millionth of the node's range however
+skewed it is, then of the texts' checksums where it ties, and of the ids where texts tie, so that a group of equal texts stays together unless the cut falls
 inside it, and a group of any size can be cut.
 
+A node is its first shard and its number of shards, so a leaf needs no table. The nodes of a level are cut all at once; their cuts, a row a node, are
+computed in Spark and never collected. All levels see slim rows, which are written once a level, so every level's plan is as short as the first.
+
 Nulls: a null text has no bytes, a null dimension counts as the smallest value. Repeated rows (equal in
 id and text) share a place in every order, and go to one shard. More shards than rows leave shards
 empty. An empty table gives an empty result. Other columns stay in ``row``.
@@ -15,13 +18,15 @@ from __future__ import annotations
 
 import math
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, uniform
+from .common import BROADCAST_ROWS, checkpoint, keep, uniform
 
-BINS = 4096
+#: A row's place has 24 bits of the dimension, 12 of the checksum and 12 of the id; a histogram pass tells ``BITS`` of them apart.
+TIE = 1 << 12
+BITS, PASSES = 16, 3
+BINS = 1 << BITS
 #: Rows in one sorting group of a shard, as a mean.
 ROWS_A_BUCKET = 20_000
 
@@ -45,114 +50,98 @@ def prepared(docs: DataFrame, id_col="doc_id", text_col="text", dims=("n_chars",
     crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
     values = [_dimension(docs, d) for d in dims if d in docs.columns]
     # Where the dimension ties the checksum orders the rows, and where texts tie the id; 12 bits of each.
-    ties = F.floor(crc / F.lit(2.0**32) * BINS) * BINS + F.floor(uniform(F.col(id_col), crc, salt=7) * BINS)
+    ties = F.floor(crc / F.lit(2.0**32) * TIE) * TIE + F.floor(uniform(F.col(id_col), crc, salt=7) * TIE)
     return docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), size.alias("size"), crc.alias("crc"), ties.cast("long").alias("ties"), *[v.alias(f"d{i}") for i, v in enumerate([size.cast("double"), *values])])
 
 
-def kd_splits(slim: DataFrame, shards: int) -> list[list[dict]]:
-    """The tree's cuts, level by level; a level has at most one row a node, and there are fewer nodes than shards."""
-    spark = slim.sparkSession
-    dims = [c for c in slim.columns if c[0] == "d" and c[1:].isdigit()]
-    width = {d: (low or 0.0, high or 0.0) for d, low, high in zip(dims, *[iter(slim.agg(*[f(d) for d in dims for f in (F.min, F.max)]).first())] * 2, strict=True)}
-    span = {d: max(high - low, 1e-300) for d, (low, high) in width.items()}
-    levels: list[list[dict]] = []
-    open_nodes = {0: shards}
-    rows = slim.withColumn("node", F.lit(0).cast("long"))
-    while any(k > 1 for k in open_nodes.values()):
-        # Written level by level, so that every level's jobs have the same short plan; rows of finished leaves are left out.
-        rows = placed = keep(rows if not levels else send_down(rows, levels[-1]), f"shard-level-{len(levels)}")
-        if len(set(open_nodes.values())) > 1:
-            placed = placed.where(F.col("node").isin([n for n, k in open_nodes.items() if k > 1]))
-        ranges = placed.groupBy("node").agg(F.sum("size").alias("bytes"), *[f(d).alias(f"{name}_{d}") for d in dims for name, f in (("min", F.min), ("max", F.max))]).collect()
-        cuts = []
-        for r in ranges:
-            dim = max(dims, key=lambda d: (r[f"max_{d}"] - r[f"min_{d}"]) / span[d])
-            k = open_nodes[r["node"]]
-            cuts.append({"node": r["node"], "dim": int(dim[1:]), "low": r[f"min_{dim}"], "wide": max(r[f"max_{dim}"] - r[f"min_{dim}"], 1e-300), "want": r["bytes"] * (k // 2) / k, "base": 0, "code": 0})
-        for step in range(3):
-            if not cuts:
-                break
-            found = _binned(placed, _frame(spark, cuts), len(dims), step)
-            for cut in cuts:
-                # The first bin at which the node's bytes reach the share wanted; the last one if none does.
-                hit = found[cut["node"]]
-                cut["code"], cut["base"] = cut["code"] * BINS + hit["bin"], cut["base"] + hit["upto"] - hit["mass"]
-                if step == 2 and cut["want"] - cut["base"] > hit["mass"] / 2:
-                    cut["code"] += 1
-        levels.append(cuts)
-        open_nodes = {child: part for n, k in open_nodes.items() for child, part in (((2 * n + 1, k // 2), (2 * n + 2, k - k // 2)) if k > 1 else ((n, k),))}
-    return levels
-
-
-def _frame(spark, cuts: list[dict]) -> DataFrame:
-    names = {"node": pa.int64(), "dim": pa.int32(), "low": pa.float64(), "wide": pa.float64(), "want": pa.float64(), "base": pa.int64(), "code": pa.int64()}
-    return spark.createDataFrame(pa.Table.from_pylist(cuts, schema=pa.schema(list(names.items())))).withColumnRenamed("node", "cut")
-
-
-def _place(dims: int):
-    """A row's place in its node's order: 12 bits of the dimension, then the ties."""
-    value = F.element_at(F.array(*[F.col(f"d{i}") for i in range(dims)]), F.col("dim") + 1)
-    return F.least(F.lit(BINS - 1), F.floor((value - F.col("low")) / F.col("wide") * BINS)).cast("long") * (BINS * BINS) + F.col("ties")
-
-
-def _binned(placed: DataFrame, cuts: DataFrame, dims: int, step: int) -> dict:
-    """For each node the bin in which the share wanted is reached: one histogram pass, a row a node to the driver."""
-    rows = placed.join(F.broadcast(cuts), F.col("node") == F.col("cut")).withColumn("at", F.shiftright(_place(dims), 12 * (2 - step)))
-    rows = rows.where(F.shiftright("at", 12) == F.col("code")).withColumn("bin", F.col("at").bitwiseAND(F.lit(BINS - 1)))
-    order = Window.partitionBy("node").orderBy("bin")
-    filled = rows.groupBy("node", "want", "base", "bin").agg(F.sum("size").alias("mass")).withColumn("upto", F.sum("mass").over(order))
-    short = F.col("base") + F.col("upto") < F.col("want")
-    best = filled.groupBy("node").agg(F.min(F.struct(short.alias("short"), F.when(short, -F.col("bin")).otherwise(F.col("bin")).alias("k"), "bin", "upto", "mass")).alias("b"))
-    return {r["node"]: r for r in best.select("node", "b.bin", "b.upto", "b.mass").collect()}
-
-
-def send_down(rows: DataFrame, cuts: list[dict]) -> DataFrame:
-    """Moves rows with ``node`` one level down the tree. A level's cuts are fewer than the shards, so they are broadcast."""
-    if not cuts:
-        return rows
-    dims = len([c for c in rows.columns if c[0] == "d" and c[1:].isdigit()])
-    joined = rows.join(F.broadcast(_frame(rows.sparkSession, cuts).drop("want", "base")), F.col("node") == F.col("cut"), "left")
-    child = 2 * F.col("node") + F.when(_place(dims) >= F.col("code"), 2).otherwise(1)
-    return joined.withColumn("node", F.when(F.col("cut").isNull(), F.col("node")).otherwise(child)).drop("cut", "dim", "low", "wide", "code")
-
-
-def assign(rows: DataFrame, levels: list[list[dict]]) -> DataFrame:
-    """Sends every row down the whole tree; adds ``node``."""
-    out = rows.withColumn("node", F.lit(0).cast("long"))
-    for cuts in levels:
-        out = send_down(out, cuts)
-    return out
-
-
-def _leaves(shards: int) -> dict[int, int]:
-    """Leaf node to shard, left to right."""
-    leaves: list[int] = []
-    stack = [(0, shards)]
-    while stack:
-        node, k = stack.pop()
-        if k == 1:
-            leaves.append(node)
-        else:
-            stack += [(2 * node + 2, k - k // 2), (2 * node + 1, k // 2)]
-    return {node: i for i, node in enumerate(leaves)}
+def _dims(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c[0] == "d" and c[1:].isdigit()]
+
+
+def _few(cuts: DataFrame, nodes: int) -> DataFrame:
+    """A level's cuts, marked for broadcast if there are few; there is at most one a node."""
+    return F.broadcast(cuts) if nodes <= BROADCAST_ROWS else cuts
+
+
+def level_cuts(rows: DataFrame, spans: dict[str, float], nodes: int) -> DataFrame:
+    """(first, shards, dim, low, wide, code) of every node that is to hold several shards: rows whose place is ``code`` or more go right."""
+    dims = list(spans)
+    open_ = rows.where("shards > 1")
+    ranges = open_.groupBy("first", "shards").agg(F.sum("size").alias("bytes"), *[f(d).alias(f"{name}_{d}") for d in dims for name, f in (("min", F.min), ("max", F.max))])
+    options = F.array(*[F.struct(((F.col(f"max_{d}") - F.col(f"min_{d}")) / spans[d]).alias("share"), F.lit(-i).alias("nth"), F.col(f"min_{d}").alias("low"), (F.col(f"max_{d}") - F.col(f"min_{d}")).alias("wide")) for i, d in enumerate(dims)])
+    best = ranges.withColumn("best", F.array_max(options))
+    left = F.floor(F.col("shards") / 2)
+    zero = F.lit(0).cast("long")
+    cuts = best.select("first", "shards", (-F.col("best.nth")).alias("dim"), F.col("best.low").alias("low"), F.greatest("best.wide", F.lit(1e-300)).alias("wide"), (F.col("bytes") * left / F.col("shards")).alias("want"), zero.alias("base"), zero.alias("code"))
+    known = ["first", "shards", "dim", "low", "wide", "want", "base", "code"]
+    for step in range(PASSES):
+        at = F.shiftright(_place(dims), BITS * (PASSES - 1 - step))
+        placed = open_.drop("shards").join(_few(cuts, nodes), "first").select(*known, "size", at.alias("at")).where(F.shiftright("at", BITS) == F.col("code"))
+        binned = placed.groupBy(*known, F.col("at").bitwiseAND(F.lit(BINS - 1)).alias("bin")).agg(F.sum("size").alias("mass"))
+        filled = binned.select("*", F.sum("mass").over(Window.partitionBy("first").orderBy("bin")).alias("upto"))
+        # The first bin at which the node's bytes reach the share wanted; the last one if none does.
+        short = F.col("base") + F.col("upto") < F.col("want")
+        nearest = F.struct(short.alias("short"), F.when(short, -F.col("bin")).otherwise(F.col("bin")).alias("k"), "bin", "upto", "mass")
+        hit = filled.groupBy(*known).agg(F.min(nearest).alias("hit"))
+        base = F.col("base") + F.col("hit.upto") - F.col("hit.mass")
+        code = F.col("code") * BINS + F.col("hit.bin")
+        if step == PASSES - 1:
+            code = code + (F.col("want") - base > F.col("hit.mass") / 2).cast("long")
+        cuts = checkpoint(hit.select(*known[:-2], base.alias("base"), code.alias("code")))
+    return cuts.drop("want", "base")
+
+
+def _place(dims: list[str]):
+    """A row's place in its node's order: 24 bits of the dimension, then the ties."""
+    value = F.element_at(F.array(*[F.col(d) for d in dims]), F.col("dim") + 1)
+    most = TIE * TIE - 1
+    return F.least(F.lit(most), F.greatest(F.lit(0), F.floor((value - F.col("low")) / F.col("wide") * (most + 1)))).cast("long") * (TIE * TIE) + F.col("ties")
+
+
+def send_down(rows: DataFrame, cuts: DataFrame, nodes: int) -> DataFrame:
+    """Moves rows (first, shards) one level down the tree; leaves stay."""
+    joined = rows.join(_few(cuts.withColumnsRenamed({"first": "_first", "shards": "_shards"}), nodes), F.col("first") == F.col("_first"), "left")
+    left = F.floor(F.col("shards") / 2).cast("int")
+    right = F.coalesce(_place(_dims(rows)) >= F.col("code"), F.lit(False))
+    leaf = F.col("_first").isNull()
+    moved = joined.withColumn("_left", left).withColumn("first", F.when(right, F.col("first") + left).otherwise(F.col("first")))
+    shards = F.when(leaf, F.col("shards")).when(right, F.col("shards") - F.col("_left")).otherwise(F.col("_left"))
+    return moved.withColumn("shards", shards).drop("_first", "_shards", "_left", "dim", "low", "wide", "code")
+
+
+def kd_tree(slim: DataFrame, shards: int) -> tuple[list[tuple[DataFrame, int]], DataFrame]:
+    """The cuts level by level, each with a bound of its nodes, and the slim rows in their leaves. The widest node halves with every level."""
+    dims = _dims(slim)
+    ends = slim.agg(*[f(d) for d in dims for f in (F.min, F.max)]).first()
+    spans = {d: max((ends[2 * i + 1] or 0.0) - (ends[2 * i] or 0.0), 1e-300) for i, d in enumerate(dims)}
+    rows, levels = slim.withColumn("first", F.lit(0)).withColumn("shards", F.lit(shards)), []
+    for level in range((shards - 1).bit_length()):
+        nodes = min(shards, 1 << level)
+        levels.append((level_cuts(rows, spans, nodes), nodes))
+        rows = keep(send_down(rows, *levels[-1]), f"shard-level-{level}")
+    return levels, rows
 
 
 def kd_shards(slim: DataFrame, shards: int, to_place: DataFrame | None = None) -> DataFrame:
     """Adds shard and slot to the rows of ``prepared``. slot numbers the rows of a shard from 0 without gaps,
     by bucket of the id's hash, then id: no task sorts a whole shard."""
-    cuts = kd_splits(slim, shards)
-    rows = slim.count()
-    leaf = F.create_map(*[F.lit(x) for node, i in _leaves(shards).items() for x in (node, i)])
-    buckets = max(1, math.ceil(rows / ROWS_A_BUCKET))
+    levels, leaves = kd_tree(slim, shards)
+    buckets = max(1, math.ceil(slim.count() / shards / ROWS_A_BUCKET))
+    if to_place is not None:
+        rows = to_place.withColumn("first", F.lit(0)).withColumn("shards", F.lit(shards))
+        for cuts, nodes in levels:
+            rows = send_down(rows, cuts, nodes)
+    else:
+        rows = leaves
 
     def placed(df):
-        return assign(df, cuts).withColumn("shard", leaf[F.col("node")].cast("int")).withColumn("bucket", F.floor(uniform("id", "crc", salt=11) * buckets).cast("long")).drop("node")
+        return df.withColumnRenamed("first", "shard").drop("shards").withColumn("bucket", F.floor(uniform("id", "crc", salt=11) * buckets).cast("long"))
 
-    counted = placed(slim).groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    counted = placed(leaves).groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     upto = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counted.select("shard", "bucket", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("offset"))
     within = Window.partitionBy("shard", "bucket").orderBy("id", "crc")
-    numbered = placed(slim if to_place is None else to_place).withColumn("nth", F.row_number().over(within))
+    numbered = placed(rows).withColumn("nth", F.row_number().over(within))
     return numbered.join(offsets, ["shard", "bucket"]).withColumn("slot", (F.col("nth") - 1 + F.col("offset")).cast("long")).drop("nth", "offset", "bucket")
 
 
