@@ -292,6 +292,26 @@ def test_repeats_are_cut(docs, empty):
     assert substring.without_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("window", [3, 6, 13, 14, 26, 60])
+def test_levels_double_up_to_any_window(spark, window):
+    rng = random.Random(window)
+    word = lambda: rng.choice("abcdefghijklmnopqrstuvwxyz") + rng.choice("abc")
+    passages = [[word() for _ in range(n)] for n in (2, 5, 8, 13, 20, 30, 70, 90)]
+    rows = []
+    for i in range(60):
+        w = [x for _ in range(rng.randint(0, 3)) for x in [*(word() for _ in range(rng.randint(0, 20))), *rng.choice(passages)]]
+        rows.append((i // 2 * 2 if i > 55 else i, " ".join(w)))
+    rows += [(70, rows[3][1]), (71, rows[3][1] + " more"), (None, rows[3][1]), (72, None)]
+    frame = make(spark, [(i, t, "en", "s") for i, t in rows]).repartition(5)
+    got = Counter(tuple(r) for r in substring.without_repeats(frame, window=window).collect())
+    known = [(i, t) for i, t in rows if i is not None]
+    want = slow_cut(known, window)
+    want[(None, len(rows[3][1].split()), 0, rows[3][1])] += 1
+    assert got == want
+    lengths = substring.levels(window)
+    assert lengths[-1] == window and all(b in (2 * a, 2 * a - 1) for a, b in zip(lengths, lengths[1:], strict=False))
+
+
 # ---- learned operators
 def test_languages(spark, docs, empty):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
@@ -579,6 +599,7 @@ def test_parts_of_a_long_text_give_what_the_whole_gives(monkeypatch):
 LONG = """
 import resource, sys
 import numpy as np
+import pyarrow as pa
 from tracemill.llm import decontam, langid, quality, shingles, simhash, substring, toxicity
 peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
 rng = np.random.default_rng(1)
@@ -590,7 +611,7 @@ net = toxicity.Network(np.empty(0, np.uint64))
 base = peak()
 none = (np.empty(0, np.int64),) * 2
 {"toxicity": lambda: net.scores([raw]), "langid": lambda: profiles.predict(text, 300), "quality": lambda: quality.features([raw]), "simhash": lambda: simhash.fingerprint_bytes(raw),
- "shingles": lambda: shingles.sets([raw], 5, none), "substring": lambda: substring._windows([raw], 13), "decontam": lambda: decontam.words(text)}[sys.argv[1]]()
+ "shingles": lambda: shingles.sets([raw], 5, none), "substring": lambda: list(substring._first_level(7, 13)(iter([pa.record_batch([pa.array([1]), pa.array([text])], ["id", "text"])]))), "decontam": lambda: decontam.words(text)}[sys.argv[1]]()
 print(peak() - base)
 """
 

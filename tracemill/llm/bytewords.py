@@ -101,12 +101,12 @@ def hashed(raw: np.ndarray, starts: np.ndarray, since: np.ndarray) -> np.ndarray
     return mixed(np.add.reduceat(_VALUE[raw] * _powers(int(since.max()) + 1)[since], starts))
 
 
-def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
-    """The hash of every window of ``width`` words (windows across texts included)."""
+def window_hashes(hashes: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
+    """The hash of every window of ``width`` words (windows across texts included). Each salt gives hashes of their own."""
     n = len(hashes) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    factor = mixed(np.arange(1, width + 1, dtype=np.uint64) * _B) | np.uint64(1)
+    factor = mixed(np.arange(1 + 1000 * salt, width + 1 + 1000 * salt, dtype=np.uint64) * _B) | np.uint64(1)
     out = np.zeros(n, np.uint64)
     for k in range(width):
         out += hashes[k : n + k] * factor[k]
