@@ -292,8 +292,9 @@ def test_repeats_are_cut(docs, empty):
     assert substring.without_repeats(empty).count() == 0
 
 
-@pytest.mark.parametrize("window", [3, 6, 13, 14, 26, 60])
-def test_levels_double_up_to_any_window(spark, window):
+@pytest.mark.parametrize(("window", "few"), [(3, 100), (6, 0), (13, 0), (14, 100), (26, 0), (60, 100)])
+def test_levels_double_up_to_any_window(spark, window, few, monkeypatch):
+    monkeypatch.setattr(substring, "BROADCAST_ROWS", few)
     rng = random.Random(window)
     word = lambda: rng.choice("abcdefghijklmnopqrstuvwxyz") + rng.choice("abc")
     passages = [[word() for _ in range(n)] for n in (2, 5, 8, 13, 20, 30, 70, 90)]

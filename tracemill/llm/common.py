@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
@@ -55,6 +56,27 @@ def keep(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def passing(df: DataFrame, what: str) -> DataFrame:
+    """As ``keep``, for a large table that ``discard`` deletes once what is made of it has been written. It is a table of a
+    database in the shared folder, so that plain SQL can drop it."""
+    spark = df.sparkSession
+    base = "tracemill_" + re.sub(r"\W", "_", spark.sparkContext.applicationId)
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {base} LOCATION '{shared_folder(spark)}/{base}'")
+    name = f"{base}.{re.sub(r'[^A-Za-z0-9]', '_', what)}_{uuid.uuid4().hex}"
+    spark.conf.set(CLEANUP, "true")
+    df.write.format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    out._tracemill_table = name
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``passing`` wrote; others are left alone."""
+    for table_ in tables:
+        if name := getattr(table_, "_tracemill_table", None):
+            table_.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """For costly work on the rows of a table just read: a scan of fewer partitions than the cluster has cores is dealt out evenly. Larger
     ones stay as they are, so only small tables are moved."""

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, checkpoint, keep, uniform
+from .common import BROADCAST_ROWS, checkpoint, discard, keep, passing, uniform
 
 #: A row's place has 24 bits of the dimension, 12 of the checksum and 12 of the id; a histogram pass tells ``BITS`` of them apart.
 TIE = 1 << 12
@@ -118,7 +118,8 @@ def kd_tree(slim: DataFrame, shards: int) -> tuple[list[tuple[DataFrame, int]],
     for level in range((shards - 1).bit_length()):
         nodes = min(shards, 1 << level)
         levels.append((level_cuts(rows, spans, nodes), nodes))
-        rows = keep(send_down(rows, *levels[-1]), f"shard-level-{level}")
+        above, rows = rows, passing(send_down(rows, *levels[-1]), f"shard-level-{level}")
+        discard(above)
     return levels, rows
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import chunks, window_hashes, word_hashes
-from .common import keep
+from .common import BROADCAST_ROWS, discard, keep, passing
 
 WINDOW = 13
 #: Windows of fewer words are repeated in most texts, so no level is shorter, unless the windows wanted are.
@@ -169,7 +169,7 @@ def _cut(window: int):
 def _repeated(rows: DataFrame, values: list[str], name: str) -> DataFrame:
     """(values, first): what two ids or more hold, with the smallest; one aggregation, combined before its shuffle."""
     ends = rows.groupBy(*values).agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    return keep(ends.where("first < last").select(*values, "first"), name)
+    return passing(ends.where("first < last").select(*values, "first"), name)
 
 
 def without_repeats(docs: DataFrame, id_col="doc_id", text_col="text", window: int = WINDOW) -> DataFrame:
@@ -184,27 +184,35 @@ def without_repeats(docs: DataFrame, id_col="doc_id", text_col="text", window: i
     some = copied.where("first < id").select("id", F.lit(1).alias("copy")).unionByName(text_key.select("id", F.lit(-1).alias("copy")))
     copies = keep(some.groupBy("id").agg(F.sum("copy").alias("copy")).where("copy >= 0").select("id"), "substring-copies")
 
+    # Copies are left out as candidates, since their originals are none, and no window starts in copies alone. Few are left out at once.
+    few = copies.count() <= BROADCAST_ROWS
+    open_ = known.join(F.broadcast(copies), "id", "left_anti") if few else known
     lengths = levels(window)
     if len(lengths) > 1:
-        rows = keep(known.mapInArrow(_first_level(lengths[0], lengths[1]), f"value long, id {kind}"), "substring-level-0")
+        rows = passing(open_.mapInArrow(_first_level(lengths[0], lengths[1]), f"value long, id {kind}"), "substring-level-0")
     else:
-        rows = _extended(known.join(copies, "id", "left_anti").withColumn("survive", F.lit(None).cast("array<long>")), lengths, 0, kind)
+        rows = _extended(open_.withColumn("survive", F.lit(None).cast("array<long>")), lengths, 0, kind)
     for k in range(1, len(lengths)):
-        survive = rows.select("id", "value").join(_repeated(rows, ["value"], f"substring-repeats-{k - 1}").select("value"), "value")
-        survive = survive.join(copies, "id", "left_anti").groupBy("id").agg(F.collect_set("value").alias("survive"))
-        candidates = keep(survive, f"substring-candidates-{k}")
+        again = _repeated(rows, ["value"], f"substring-repeats-{k - 1}")
+        survive = rows.select("id", "value").join(again.select("value"), "value")
+        survive = survive if few else survive.join(copies, "id", "left_anti")
+        candidates = passing(survive.groupBy("id").agg(F.collect_set("value").alias("survive")), f"substring-candidates-{k}")
+        discard(rows, again)
         rows = _extended(known.join(candidates, "id"), lengths, k, kind)
-        if k + 1 < len(lengths) and rows.isEmpty():
+        discard(candidates)
+        if rows.isEmpty():
             break
 
-    # The copies were left out as candidates, but their originals were not, and no window starts in copies alone.
-    held = rows.join(_repeated(rows, ["value", "check"], "substring-repeats"), ["value", "check"]).where("first < id")
+    again = _repeated(rows, ["value", "check"], "substring-repeats")
+    held = rows.join(again, ["value", "check"]).where("first < id")
+    held = held if few else held.join(copies, "id", "left_anti")
     repeats = held.groupBy("id").agg(F.collect_set(F.struct("value", "check")).alias("repeated")).withColumn("copy", F.lit(False))
     none = F.lit(None).cast("array<struct<value:long,check:long>>")
     verdicts = keep(repeats.unionByName(copies.select("id", none.alias("repeated"), F.lit(True).alias("copy"))), "substring-verdicts")
+    discard(rows, again)
     judged = chosen.join(verdicts, "id", "left").select("id", "text", "repeated", F.coalesce("copy", F.lit(False)).alias("copy"))
     return judged.mapInArrow(_cut(window), f"id {kind}, n_words long, n_removed long, kept string")
 
 
 def _extended(candidates: DataFrame, lengths: list[int], k: int, kind: str) -> DataFrame:
-    return keep(candidates.select("id", "text", "survive").mapInArrow(_next_level(lengths, k), f"value long, check long, id {kind}"), f"substring-level-{k}")
+    return passing(candidates.select("id", "text", "survive").mapInArrow(_next_level(lengths, k), f"value long, check long, id {kind}"), f"substring-level-{k}")
