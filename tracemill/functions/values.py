@@ -20,7 +20,9 @@ def uuid5(name, namespace: str = NAMESPACE) -> Column:
     """UUID version 5 of a text, in lower case with hyphens; null for null."""
     digest = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(_c(name), "UTF-8")))
     variant = F.substring(F.lit("89ab"), (F.conv(F.substring(digest, 17, 1), 16, 10).cast("int") % 4) + 1, F.lit(1))
-    return F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("5"), F.substring(digest, 14, 3)), F.concat(variant, F.substring(digest, 18, 3)), F.when(digest.isNotNull(), F.substring(digest, 21, 12)))
+    third, fourth = F.concat(F.lit("5"), F.substring(digest, 14, 3)), F.concat(variant, F.substring(digest, 18, 3))
+    # concat_ws alone would give '' for a null.
+    return F.when(digest.isNotNull(), F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), third, fourth, F.substring(digest, 21, 12)))
 
 
 def event_id(agent, key) -> Column:
@@ -116,12 +118,19 @@ def compact(number) -> Column:
     return F.concat(F.when(_c(number) < 0, "-").otherwise(""), out)
 
 
+# What is shown for these kinds of events, and for a change of the configuration by whether the hooks are there.
+SENTENCES = {"collection.paused": "collection PAUSED by the user", "collection.resumed": "collection resumed"}
+HOOKS_SHOWN = {"true": "hooks present", "false": "OUR HOOKS REMOVED \u2014 collection stopped"}
+CHANGED = "changed"
+
+
 def event_detail(kind, payload, home: str = "") -> Column:
     """One line on an event; empty where the payload says nothing or is no JSON."""
     k = _c(kind)
     get = lambda name: F.coalesce(F.get_json_object(_c(payload), "$." + name), F.lit(""))
-    hooks = get("hooks_present")
-    state = F.when(hooks == "true", "hooks present").when(hooks == "false", "OUR HOOKS REMOVED \u2014 collection stopped").otherwise("changed")
+    state = F.lit(CHANGED)
+    for value, shown in HOOKS_SHOWN.items():
+        state = F.when(get("hooks_present") == value, shown).otherwise(state)
     text = (
         F.when(k.isin("file.read", "file.write"), get("path"))
         .when(k == "command", get("command"))
@@ -129,8 +138,8 @@ def event_detail(kind, payload, home: str = "") -> Column:
         .when(k == "unknown", get("label"))
         .when(k == "prompt", F.concat(get("char_count"), F.lit(" chars")))
         .when(k == "mcp.call", F.concat(get("server"), F.lit("."), get("tool")))
-        .when(k == "collection.paused", "collection PAUSED by the user")
-        .when(k == "collection.resumed", "collection resumed")
         .when(k == "config.changed", F.concat(state, F.lit("  "), short_path(get("path"), home)))
     )
+    for name, sentence in SENTENCES.items():
+        text = text.when(k == name, sentence)
     return F.when(F.try_parse_json(_c(payload)).isNull(), "").otherwise(F.coalesce(text, F.lit("")))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def _first(df: DataFrame, keys: list, order: str) -> DataFrame:
-    """The row with the least ``order`` of each key: an aggregation, combined before its shuffle, not a sort."""
+    """The row with the least ``order`` of each key, in one shuffle, before which rows of a key are combined. Spark sorts the rows by key on either side
+    of it, since a whole row is no buffer for hash aggregation; joining back the least orders would move and sort the same rows."""
     names = [f"_k{i}" for i in range(len(keys))]
     keyed = df.select(*[k.alias(n) for k, n in zip(keys, names, strict=True)], F.struct("*").alias("_row"), F.col(order).alias("_at"))
     return keyed.groupBy(*names).agg(F.min_by("_row", "_at").alias("_row")).select("_row.*")
@@ -21,7 +22,7 @@ def dedupe_events(events: DataFrame, order: str = "ingest_seq") -> DataFrame:
 def repair_parents(events: DataFrame, order: str = "ingest_seq") -> DataFrame:
     """(session_id, parent_session_id): the last parent told by first sightings, else the first told by a repeated one."""
     first = events.groupBy("id").agg(F.min(order).alias("_first"))
-    told = events.where("parent_session_id is not null").join(first, "id").select("session_id", "parent_session_id", order, (F.col(order) == F.col("_first")).alias("fresh"))
+    told = events.where("parent_session_id is not null and session_id is not null").join(first, "id").select("session_id", "parent_session_id", order, (F.col(order) == F.col("_first")).alias("fresh"))
     return told.groupBy("session_id").agg(F.coalesce(F.max_by("parent_session_id", F.when(F.col("fresh"), F.col(order))), F.min_by("parent_session_id", F.when(~F.col("fresh"), F.col(order)))).alias("parent_session_id"))
 
 
@@ -48,15 +49,16 @@ def build_projects(events: DataFrame) -> DataFrame:
 
 
 def build_sessions(events: DataFrame, order: str = "ingest_seq") -> DataFrame:
-    """One row a session, in one aggregation. What was told last by arrival stands; the status is the last lifecycle event's; the
+    """One row a session, in one aggregation; events of no session make none. What was told last by arrival stands; the status is the last lifecycle event's; the
     duration runs from the least timestamp of all."""
     seen = lambda c: F.when(F.col(c).isNotNull(), F.col(order))
     optional = [c for c in ("transcript_path", "git_branch", "surface", "parent_session_id") if c in events.columns]
     life = F.when(F.col("kind").isin("session.started", "session.ended"), F.col(order))
     ended = F.when(F.col("kind") == "session.ended", F.col(order))
-    out = events.groupBy(F.col("session_id").alias("id")).agg(
+    once = [c for c in ("external_session_id",) if c in events.columns]
+    out = events.where("session_id is not null").groupBy(F.col("session_id").alias("id")).agg(
         F.min_by("agent_id", order).alias("agent_id"),
-        F.min_by("project_id", seen("project_id")).alias("project_id"),
+        *[F.min_by(c, seen(c)).alias(c) for c in ("project_id", *once)],
         F.min("timestamp_us").alias("started_us"),
         F.max_by("timestamp_us", ended).alias("ended_us"),
         F.max_by("kind", life).alias("_last"),
@@ -67,7 +69,7 @@ def build_sessions(events: DataFrame, order: str = "ingest_seq") -> DataFrame:
 
 
 def session_projects(events: DataFrame) -> DataFrame:
-    return events.where("project_id is not null").groupBy("session_id", "project_id").agg(F.min("timestamp_us").alias("first_seen_us"), F.max("timestamp_us").alias("last_seen_us"), F.count("*").alias("event_count"))
+    return events.where("project_id is not null and session_id is not null").groupBy("session_id", "project_id").agg(F.min("timestamp_us").alias("first_seen_us"), F.max("timestamp_us").alias("last_seen_us"), F.count("*").alias("event_count"))
 
 
 def demote_unstarted(sessions: DataFrame, events: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
-"""What every normalizer shares: the event row, first-wins keys, pairing of calls with their results, the tool classifier."""
+"""What every normalizer shares: the event row with its deterministic ids, and the tool classifier."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import event_id, project_id, rfc3339_to_us, session_id
@@ -31,13 +31,6 @@ def as_events(df: DataFrame, *, agent: str | Column, key: Column, kind: str | Co
     )
 
 
-def first_in_file(df: DataFrame, key: Column) -> DataFrame:
-    """The first row of each key in a file, by line and then by place in the line: an aggregation, no sort."""
-    order = F.struct("line_no", F.col("place") if "place" in df.columns else F.lit(0))
-    rows = df.select(F.col("file").alias("_f"), key.alias("_k"), F.struct("*").alias("_row"), order.alias("_at")).where("_k is not null")
-    return rows.groupBy("_f", "_k").agg(F.min_by("_row", "_at").alias("_row")).select("_row.*")
-
-
 def classify_tool_call(calls: DataFrame) -> DataFrame:
     """Adds kind and payload to rows with name, file_path, notebook_path, command and description."""
     name, path = F.col("name"), F.coalesce("file_path", "notebook_path")
@@ -58,17 +51,3 @@ def classify_tool_call(calls: DataFrame) -> DataFrame:
         .otherwise(fields(("tool", name)))
     )
     return calls.withColumn("kind", kind).withColumn("payload", payload)
-
-
-def pair_tool_outcomes(calls: DataFrame, results: DataFrame, clamp_negative: bool = False) -> DataFrame:
-    """Each call (file, call_id, line_no, at_us, tool, ...) with the first result (file, call_id, line_no, at_us, failed) that follows it before the
-    next call of that id. A negative span is unknown, or 0 where ``clamp_negative``."""
-    order = ["line_no", "is_result"]
-    both = calls.select("file", "call_id", "line_no", "at_us", F.lit(0).alias("is_result"), F.struct("*").alias("call"), F.lit(None).cast("boolean").alias("failed"))
-    both = both.unionByName(results.select("file", "call_id", "line_no", "at_us", F.lit(1).alias("is_result"), "failed"), allowMissingColumns=True)
-    w = Window.partitionBy("file", "call_id").orderBy(*order)
-    lagged = both.withColumn("before", F.lag("is_result").over(w)).withColumn("call", F.lag("call").over(w)).where("is_result = 1 and before = 0")
-    span = F.col("at_us") - F.col("call.at_us")
-    ms = F.floor(span / 1000).cast("long")
-    duration = F.when(span >= 0, ms).otherwise(F.lit(0).cast("long")) if clamp_negative else F.when(span >= 0, ms)
-    return lagged.select("call", F.col("line_no").alias("result_line"), F.col("at_us").alias("result_us"), "failed", F.when(span.isNotNull(), duration).alias("duration_ms"))

@@ -122,6 +122,11 @@ def notable_access(files: DataFrame, references: DataFrame, limit: int | None =
     return out.orderBy(F.desc(sensitivity_rank("sensitivity")), F.desc("timestamp_us"), "what", "path", "session_id").limit(limit)
 
 
+def file_evidence(files: DataFrame, events: DataFrame) -> DataFrame:
+    """File events with the evidence of their event."""
+    return files.join(events.select("id", "evidence"), "id")
+
+
 def daily_snapshot(usage: DataFrame, files: DataFrame, events: DataFrame, day: date, tz: str = "UTC") -> DataFrame:
     """Tokens, sessions and sensitive accesses of a day."""
     low, high = range_between(day, day, tz)

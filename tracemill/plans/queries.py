@@ -122,7 +122,7 @@ query("SELECT id, CASE WHEN command LIKE 'cat %' THEN 'sensitive' WHEN command L
 _NOTABLE = f"SELECT timestamp_us, agent_id, session_id, project_id, concat('file.', operation) AS what, path, {_SENSE} AS sensitivity, 'transcript' AS evidence FROM file_events WHERE {_SENSE} <> 'normal' UNION ALL SELECT timestamp_us, agent_id, session_id, project_id, 'command' AS what, path, sensitivity, 'derived' AS evidence FROM ({_REFS})"
 query(f"SELECT * FROM ({_NOTABLE}) ORDER BY CASE sensitivity WHEN 'highly_sensitive' THEN 2 ELSE 1 END DESC, timestamp_us DESC, what, path, session_id LIMIT 100", "notable_access")(lambda v: reports.notable_access(_files(v), _references(v), 100))
 query(f"SELECT CAST((SELECT sum({TOTAL}) FROM token_usage WHERE timestamp_us >= {FROM} AND timestamp_us < {FROM} + 86400000000) AS BIGINT) AS tokens, (SELECT count(DISTINCT session_id) FROM spine WHERE timestamp_us >= {FROM} AND timestamp_us < {FROM} + 86400000000) AS sessions, (SELECT count(*) FROM file_events WHERE {_SENSE} <> 'normal' AND timestamp_us >= {FROM} AND timestamp_us < {FROM} + 86400000000) AS sensitive", "daily_snapshot")(lambda v: reports.daily_snapshot(v.token_usage, v.file_events, v.spine, date(2024, 1, 8)))
-query("SELECT f.id, f.path, s.evidence FROM file_events f JOIN spine s ON f.id = s.id", "file_evidence")(lambda v: v.file_events.join(v.spine.select("id", "evidence"), "id").select("id", "path", "evidence"))
+query("SELECT f.id, f.path, s.evidence FROM file_events f JOIN spine s ON f.id = s.id", "file_evidence")(lambda v: reports.file_evidence(v.file_events, v.spine).select("id", "path", "evidence"))
 
 # ---- dedup, folds
 query("SELECT id, min(timestamp_us) AS timestamp_us FROM spine GROUP BY id", "dedupe_events")(lambda v: dedupe.dedupe_events(v.spine.unionByName(v.spine.withColumn("ingest_seq", F.col("ingest_seq") + 1_000_000_000).withColumn("timestamp_us", F.col("timestamp_us") + 5))).select("id", "timestamp_us"))
@@ -378,3 +378,113 @@ query(f"SELECT id FROM {_S2} WHERE status = 'ended' OR {AS_OF} - ended_us >= 360
 query("SELECT concat('{\"timestamp\":\"', strftime(make_timestamp(timestamp_us), '%Y-%m-%dT%H:%M:%S.%fZ'), '\",\"agent\":\"', agent_id, '\",\"kind\":\"', kind, '\",\"evidence\":\"', evidence, '\",\"event\":{\"k\":', CAST(k AS VARCHAR), '}}') AS value FROM spine", "export_jsonl")(lambda v: sinks.export_rows(v.spine))
 query("SELECT agent_id, count(*) AS n FROM spine GROUP BY agent_id", "ad_hoc_sql")(lambda v: sinks.sql(v.spark, "SELECT agent_id, count(*) AS n FROM adhoc_spine GROUP BY agent_id", {"adhoc_spine": v.spine}))
 query("SELECT id, 'codex' AS side FROM token_usage WHERE agent_id = 'codex' UNION ALL SELECT id, NULL FROM token_usage WHERE agent_id <> 'codex'", "union_sources")(lambda v: union_all([v.token_usage.where("agent_id = 'codex'").select("id", F.lit("codex").alias("side")), v.token_usage.where("agent_id <> 'codex'").select("id")]))
+
+
+# ---- whole paths: from lines to events, projections and sessions
+def _uuid_sql(name: str) -> str:
+    """UUID version 5 of a text in SQL; null for null."""
+    digest = f"sha1(unhex('{values.NAMESPACE.replace('-', '')}') || encode({name}))"
+    variant = f"substr('89ab', CAST(('0x' || substr({digest}, 17, 1)) AS INTEGER) % 4 + 1, 1)"
+    return f"(substr({digest}, 1, 8) || '-' || substr({digest}, 9, 4) || '-5' || substr({digest}, 14, 3) || '-' || {variant} || substr({digest}, 18, 3) || '-' || substr({digest}, 21, 12))"
+
+
+def _own_lines(v):
+    """The stand-in transcripts with keys of their own in every file; every fifth user's records name no session, and every other user's no folder."""
+    user = F.col("file").cast("long")
+    keyed = F.regexp_replace("value", F.lit('"(id|tool_use_id)":"([mc])'), F.concat(F.lit('"$1":"'), "file", F.lit("-$2")))
+    nameless = F.when(user % 5 == 0, F.regexp_replace(keyed, '"sessionId":"[^"]*",?', "")).otherwise(keyed)
+    bare = F.when(user % 2 == 0, F.regexp_replace(nameless, '"cwd":"[^"]*",?', "")).otherwise(nameless)
+    return _transcript_lines(v).withColumn("value", F.regexp_replace(bare, ",}", "}"))
+
+
+_AGENT_KEY = "'{agent}' || chr(31) || CAST({user} AS VARCHAR)"
+_CLAUDE, _CODEX = (_uuid_sql(_AGENT_KEY.format(agent=a, user="user_id")) for a in ("claude-code", "codex"))
+_LIFE = f"(SELECT *, CASE WHEN line_no = 0 OR k % 3 = 0 THEN 'session.started' ELSE 'session.ended' END AS life FROM {_LINED} WHERE line_no = 0 OR event_type = 'error')"
+
+
+@query(f"""SELECT {_CLAUDE} AS id, 'claude-code' AS agent_id, CAST(user_id AS VARCHAR) AS external_session_id, CAST(NULL AS VARCHAR) AS parent_session_id, CASE WHEN user_id % 2 <> 0 THEN {_uuid_sql("'/work/a'")} END AS project_id,
+ min(timestamp_us) AS started_us, CAST(NULL AS BIGINT) AS ended_us, 'unknown' AS status, coalesce(bool_and(CASE WHEN event_type = 'view' AND nth = 1 THEN event_id % 5 = 0 END), FALSE) AS is_subagent
+ FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, k ORDER BY line_no) AS nth FROM {_LINED}) WHERE user_id % 5 <> 0 AND event_type IN ('view', 'click', 'signup') GROUP BY user_id
+ UNION ALL SELECT {_CODEX}, 'codex', CAST(user_id AS VARCHAR), CASE WHEN user_id % 7 <> user_id THEN {_uuid_sql(_AGENT_KEY.format(agent="codex", user="(user_id % 7)"))} END, {_uuid_sql("'/w'")},
+ min(timestamp_us), max(timestamp_us) FILTER (life = 'session.ended'), CASE arg_max(life, timestamp_us) WHEN 'session.started' THEN 'active' ELSE 'ended' END, user_id % 7 <> user_id FROM {_LIFE} GROUP BY user_id""")
+def lines_to_sessions(v):
+    """Log lines of both kinds to events, to sessions with their parents and subagent flags."""
+    events = union_all([transcripts.transcript_events(_own_lines(v)), rollouts.rollout_events(_rollout_lines(v))])
+    events = dedupe.dedupe_events(events, "timestamp_us")
+    sessions = dedupe.build_sessions(events, "timestamp_us")
+    flags = reports.subagent_flags(sessions, hooks.project_tokens(events))
+    columns = ["id", "agent_id", "external_session_id", "parent_session_id", "project_id", "started_us", "ended_us", "status", "is_subagent"]
+    return sessions.join(flags, "id").select(*columns)
+
+
+query(f"SELECT DISTINCT {_uuid_sql("'/work/a'")} AS id FROM ev WHERE user_id % 2 <> 0 AND event_type IN ('view', 'click', 'signup')", "lines_to_projects")(lambda v: dedupe.build_projects(transcripts.transcript_events(_own_lines(v))).select("id"))
+query(f"SELECT {_uuid_sql("agent_id || chr(31) || CAST(id AS VARCHAR)")} AS event_id, id, CAST(NULL AS VARCHAR) AS none FROM spine", "event_ids")(lambda v: v.spine.select(values.event_id("agent_id", F.col("id").cast("string")).alias("event_id"), "id", values.event_id("agent_id", F.lit(None).cast("string")).alias("none")))
+
+_ALL_TRANSCRIPT = " UNION ALL ".join([
+    f"SELECT CAST(user_id AS VARCHAR) AS session, timestamp_us, 'token.usage' AS kind FROM {_FIRST.format(k='k')} WHERE nth = 1",
+    f"SELECT CAST(user_id AS VARCHAR), timestamp_us, CASE k % 4 WHEN 0 THEN 'file.read' WHEN 1 THEN 'command' WHEN 2 THEN 'mcp.call' ELSE 'tool.call' END FROM {_FIRST.format(k='k % 10')} WHERE nth = 1",
+    f"SELECT CAST(p.user_id AS VARCHAR), l.timestamp_us, 'tool.outcome' FROM ({_PAIRED}) p JOIN {_LINED} l ON l.user_id = p.user_id AND l.line_no = p.line",
+    f"SELECT CAST(user_id AS VARCHAR), timestamp_us, 'permission.mode' FROM (SELECT user_id, timestamp_us, k % 3 AS m, lag(k % 3) OVER (PARTITION BY user_id ORDER BY line_no) AS p FROM {_LINED} WHERE event_type = 'click') WHERE p IS NULL OR p <> m",
+    "SELECT CAST(user_id AS VARCHAR), timestamp_us, 'queue' FROM ev WHERE event_type = 'signup'",
+])
+_shown = lambda events: events.select(F.col("external_session_id").alias("session"), "timestamp_us", "kind")
+query(_ALL_TRANSCRIPT, "transcript_events")(lambda v: _shown(transcripts.transcript_events(_transcript_lines(v))))
+_ALL_ROLLOUT = " UNION ALL ".join([
+    f"SELECT CAST(user_id AS VARCHAR) AS session, timestamp_us, life AS kind FROM {_LIFE}",
+    f"SELECT CAST(user_id AS VARCHAR), timestamp_us, 'token.usage' FROM (SELECT *, row_number() OVER (PARTITION BY user_id, k ORDER BY line_no) AS nth FROM {_LINED} WHERE event_type = 'view' AND line_no > 0) WHERE nth = 1",
+    f"SELECT CAST(user_id AS VARCHAR), timestamp_us, 'command' FROM {_LINED}, range(2) WHERE event_type = 'click' AND line_no > 0",
+    f"SELECT CAST(user_id AS VARCHAR), timestamp_us, 'file.write' FROM {_LINED}, range(2) WHERE event_type = 'purchase' AND k % 2 = 0 AND line_no > 0",
+])
+query(_ALL_ROLLOUT, "rollout_events")(lambda v: _shown(rollouts.rollout_events(_rollout_lines(v))))
+
+
+def _tool_lines(v):
+    """Rollouts of tool calls and their outputs."""
+    at = "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\") AS timestamp"
+    call = "concat('c', CAST(k % 10 AS STRING)) AS call_id"
+    value = f"""CASE WHEN line_no = 0 THEN to_json(struct({at}, 'session_meta' AS type, named_struct('id', CAST(user_id AS STRING), 'cwd', '/w') AS payload))
+      WHEN event_type IN ('view', 'click') THEN to_json(struct({at}, 'response_item' AS type, struct('function_call' AS type, concat('fn', CAST(k % 3 AS STRING)) AS name, {call}) AS payload))
+      ELSE to_json(struct({at}, 'response_item' AS type, struct('function_call_output' AS type, {call}, array(named_struct('text', IF(k % 2 = 0, 'Script failed: 1', 'Script completed'))) AS output) AS payload)) END"""
+    return _lined(v).selectExpr("CAST(user_id AS STRING) AS file", "CAST(line_no AS BIGINT) AS line_no", f"{value} AS value")
+
+
+query(f"SELECT CAST(user_id AS VARCHAR) AS session, timestamp_us, concat('fn', CAST(k % 3 AS VARCHAR)) AS tool FROM {_LINED} WHERE line_no > 0 AND event_type IN ('view', 'click')", "rollout_tool_calls")(
+    lambda v: rollouts.rollout_tool_calls(rollouts.rollout_context(_tool_lines(v))).select(F.col("external_session_id").alias("session"), "timestamp_us", F.get_json_object("payload", "$.tool").alias("tool"))
+)
+query(f"""SELECT CAST(user_id AS VARCHAR) AS session, timestamp_us, concat('fn', CAST(pk % 3 AS VARCHAR)) AS tool, concat('c', CAST(k % 10 AS VARCHAR)) AS tool_use_id, greatest(timestamp_us - pt, 0) // 1000 AS duration_ms, k % 2 = 0 AS failed
+ FROM (SELECT *, lag(event_type) OVER w AS pe, lag(k) OVER w AS pk, lag(timestamp_us) OVER w AS pt FROM {_LINED} WHERE line_no > 0 WINDOW w AS (PARTITION BY user_id, k % 10 ORDER BY line_no)) WHERE event_type NOT IN ('view', 'click') AND pe IN ('view', 'click')""", "rollout_outcomes")(
+    lambda v: rollouts.rollout_outcomes(rollouts.rollout_context(_tool_lines(v))).select(F.col("external_session_id").alias("session"), "timestamp_us", F.from_json("payload", "tool string, tool_use_id string, duration_ms bigint, failed boolean").alias("p")).select("session", "timestamp_us", "p.*")
+)
+
+# ---- projections of transcripts
+_of = lambda project, *columns: lambda v: project(transcripts.transcript_events(_transcript_lines(v))).select("timestamp_us", *columns)
+query(f"SELECT timestamp_us, 'anthropic' AS provider, 'x' AS model, concat('m', CAST(k AS VARCHAR)) AS request_id, event_id AS input_tokens, k AS output_tokens, event_id % 5 = 0 AS is_subagent FROM {_FIRST.format(k='k')} WHERE nth = 1", "project_tokens")(_of(hooks.project_tokens, "provider", "model", "request_id", "input_tokens", "output_tokens", "is_subagent"))
+query(f"SELECT timestamp_us, 'read' AS operation, '/a/b' AS path, 'Read' AS tool, 'normal' AS sensitivity FROM {_FIRST.format(k='k % 10')} WHERE nth = 1 AND k % 4 = 0", "project_files")(_of(hooks.project_files, "operation", "path", "tool", "sensitivity"))
+query(f"SELECT timestamp_us, 'srv' AS server, 'find' AS tool FROM {_FIRST.format(k='k % 10')} WHERE nth = 1 AND k % 4 = 2", "project_mcp")(_of(hooks.project_mcp, "server", "tool"))
+query(f"SELECT l.timestamp_us, CASE ck % 4 WHEN 0 THEN 'Read' WHEN 1 THEN 'Bash' WHEN 2 THEN 'mcp__srv__find' ELSE 'Glob' END AS tool, (l.timestamp_us - called) // 1000 AS duration_ms, l.k % 2 = 0 AS failed FROM ({_PAIRED}) p JOIN {_LINED} l ON l.user_id = p.user_id AND l.line_no = p.line", "project_outcomes")(_of(hooks.project_outcomes, "tool", "duration_ms", "failed"))
+
+# ---- files, formats, zones
+_BUCKETS = "(SELECT event_id, user_id % 4 AS bucket, row_number() OVER (PARTITION BY user_id % 4 ORDER BY timestamp_us, event_id) - 1 AS line_no FROM ev)"
+
+
+@query(f"SELECT event_id, line_no FROM {_BUCKETS}")
+def read_lines(v):
+    """Files with a line an event, read back with their line numbers."""
+    where = scratch(v.spark, "lines")
+    rows = v.spark.sql(f"SELECT * FROM {_BUCKETS.replace('FROM ev', 'FROM {ev}')}", ev=v.ev)
+    rows.repartition(4, "bucket").sortWithinPartitions("bucket", "line_no").select("bucket", "event_id").write.partitionBy("bucket").json(where)
+    lines = logs.read_jsonl_lines(v.spark, where, pattern="*.json")
+    return lines.select(F.get_json_object("value", "$.event_id").cast("long").alias("event_id"), "line_no")
+
+
+query("SELECT id, CASE WHEN duration_ms IS NULL THEN '—' WHEN duration_ms < 60000 THEN printf('%ds', duration_ms // 1000) WHEN duration_ms < 3600000 THEN printf('%dm %ds', duration_ms // 60000, duration_ms // 1000 % 60) ELSE printf('%dh %dm', duration_ms // 3600000, duration_ms // 60000 % 60) END AS shown FROM (SELECT id, duration_ms * 1000 AS duration_ms FROM tool_outcomes)", "format_session_duration")(lambda v: v.tool_outcomes.select("id", values.session_duration(F.col("duration_ms") * 1000).alias("shown")))
+query("SELECT id, CASE WHEN starts_with(path, '/work/p1') THEN concat('~', substr(path, 9)) ELSE path END AS shown FROM file_events", "short_path")(lambda v: v.file_events.select("id", values.short_path("path", "/work/p1").alias("shown")))
+query(f"SELECT strftime(make_timestamp(timestamp_us - 18000000000), '%Y-%m-%d') AS label, {SUMS} FROM token_usage WHERE timestamp_us < 1709251200000000 GROUP BY 1", "tokens_by_day_new_york")(lambda v: tokens.tokens_by_day(v.token_usage.where("timestamp_us < 1709251200000000"), "America/New_York"))
+
+
+@query("SELECT concat('{\"timestamp\":\"', strftime(make_timestamp(timestamp_us), '%Y-%m-%dT%H:%M:%S.%fZ'), '\",\"agent\":\"', agent_id, '\",\"kind\":\"', kind, '\",\"evidence\":\"', evidence, '\",\"event\":{\"k\":', CAST(k AS VARCHAR), '}}') AS value FROM spine")
+def export_files(v):
+    """The export, written to files and read back."""
+    where = scratch(v.spark, "export")
+    sinks.export_jsonl(v.spine, where)
+    return v.spark.read.text(where)

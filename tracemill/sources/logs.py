@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import scratch
+
 HOOK_SCHEMA = (
     "v int, source string, sent_at bigint, hook_version string, payload struct<hook_event_name:string, session_id:string, transcript_path:string, cwd:string, tool_name:string,"
     " tool_input:struct<file_path:string, notebook_path:string, command:string, description:string>, tool_use_id:string, prompt:string, source:string, reason:string, message:string, trigger:string>"
@@ -15,19 +17,31 @@ HOOK_SOURCES = ("claude-code", "codex", "github-copilot")
 TABLES = ("events", "token_usage", "file_events", "command_events", "command_path_references", "mcp_events", "tool_outcomes", "projects", "repositories", "sessions", "session_projects", "config_snapshots")
 
 
-def read_jsonl_lines(spark: SparkSession, root: str, limit_files: int | None = None, modified_after: str | None = None) -> DataFrame:
-    """(file, line_no, value) of every .jsonl file below ``root``; lines are numbered from 0 in file order however a file
-    is split. Only the first ``limit_files`` in path order, if given."""
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl")
+#: Rows of a table that is broadcast at most.
+FEW = 100_000
+
+
+def read_jsonl_lines(spark: SparkSession, root: str, limit_files: int | None = None, modified_after: str | None = None, pattern: str = "*.jsonl") -> DataFrame:
+    """(file, line_no, value, modified) of every file of that name below ``root``; lines are numbered from 0 in file order however a file
+    is split. Only the first ``limit_files`` in path order, if given.
+
+    A first pass counts the lines of each block of a file, a row a block. A block is read by one task in order, so a line's number is the
+    number of lines in the blocks before and its place among the task's rows; no text is moved, and one large file is read by many tasks."""
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after)
-    lines = reader.text(root).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.col("_metadata.file_modification_time").alias("modified"), F.monotonically_increasing_id().alias("_at"))
-    order = Window.partitionBy("file").orderBy("_block", "_at")
-    out = lines.withColumn("line_no", (F.row_number().over(order) - 1).cast("long")).drop("_block", "_at")
+    meta = {"file": "file_path", "_block": "file_block_start", "modified": "file_modification_time"}
+    lines = reader.text(root).select("value", *[F.col(f"_metadata.{m}").alias(n) for n, m in meta.items()], F.monotonically_increasing_id().alias("_at"))
+    counted = lines.groupBy("file", "_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    where = scratch(spark, "blocks")
+    counted.select("file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")).write.parquet(where)
+    blocks = spark.read.parquet(where)
     if limit_files is not None:
-        chosen = out.select("file").distinct().orderBy("file").limit(limit_files)
-        out = out.join(chosen, "file", "left_semi")
-    return out
+        blocks = blocks.join(blocks.select("file").distinct().orderBy("file").limit(limit_files), "file", "left_semi")
+    blocks = F.broadcast(blocks) if blocks.count() <= FEW else blocks
+    numbered = lines.join(blocks, ["file", "_block"])
+    return numbered.select("file", (F.col("_before") + F.col("_at") - F.col("_first")).cast("long").alias("line_no"), "value", "modified")
 
 
 def parse_lines(lines: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
