@@ -221,3 +221,65 @@ def test_export(spark, tmp_path):
     sinks.export_jsonl(spark.createDataFrame(rows, "id string, timestamp_us long, agent_id string, kind string, evidence string, project_path string, payload string"), str(tmp_path / "out"), single_file=True)
     told = [json.loads(r[0]) for r in spark.read.text(str(tmp_path / "out")).collect()]
     assert [t["event"]["char_count"] for t in told] == [2, 1] and told[1]["project"] == "/p" and told[0]["timestamp"].startswith("1970-01-01T00:00:01")
+
+
+def test_appends_look_at_their_own_dates_and_are_compacted(spark, tmp_path):
+    schema = "id string, timestamp_us long, evidence string, payload string"
+    day = 86_400_000_000
+    rows = lambda *r: spark.createDataFrame(list(r), schema)
+    path = str(tmp_path / "spine")
+    sinks.append_events(rows(("a", 10 * day, "hook", "1"), ("b", 10 * day, "hook", "1")), path)
+    sinks.append_events(rows(("a", 11 * day, "log", "2"), ("b", 10 * day, "hook", "1"), ("c", 11 * day, "log", "2")), path)
+    stored = lambda: spark.read.parquet(f"{path}/events")
+    assert sorted((r["id"], r["payload"]) for r in stored().collect()) == [("a", "1"), ("b", "1"), ("c", "2")]
+    sinks.append_events(rows(("a", 20 * day, "log", "3")), path)  # too far away to be seen
+    assert stored().count() == 4
+    sinks.append_events(rows(("a", 30 * day, "log", "4"), ("d", 30 * day, "log", "4")), path, around=None)
+    assert stored().where("id = 'a'").count() == 2
+    sinks.compact(spark, path, "1970-01-01", "1970-02-28")
+    assert sorted((r["id"], r["payload"]) for r in stored().collect()) == [("a", "1"), ("b", "1"), ("c", "2"), ("d", "4")]
+    ranged = tokens.in_range(stored(), 11 * day, 12 * day)
+    assert [r["id"] for r in ranged.collect()] == ["c"] and "PartitionFilters: [isnotnull(event_date" in ranged._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ids_of_nothing_are_null(spark):
+    records = [assistant("m1", at="2024-01-01T00:00:00Z"), {"type": "assistant", "timestamp": "2024-01-01T00:00:01Z", "message": {"id": "m2", "usage": {"input_tokens": 1}}}]
+    events = transcripts.transcript_events(lines(spark, *records)).withColumn("ingest_seq", F.col("line_no"))
+    rows = events.orderBy("line_no").collect()
+    assert [r["parent_session_id"] for r in rows] == [None, None] and rows[1]["session_id"] is None and rows[1]["project_id"] is None
+    assert rows[0]["session_id"] is not None and rows[0]["project_id"] is not None
+    sessions = dedupe.build_sessions(events).collect()
+    assert [(r["id"], r["parent_session_id"]) for r in sessions] == [(rows[0]["session_id"], None)]
+    assert dedupe.build_projects(events).count() == 1 and dedupe.session_projects(events).count() == 1
+    flags = reports.subagent_flags(dedupe.build_sessions(events), hooks.project_tokens(events)).collect()
+    assert [r["is_subagent"] for r in flags] == [False]
+
+
+@pytest.mark.parametrize("edges", [[(i, i - 1) for i in range(1, 40)], [(1, 2), (2, 3), (3, 1), (4, 1), (5, 4), (6, 6)], [(1, 9), (2, 1), (3, 1)]])
+def test_closures_of_chains_cycles_and_missing_parents(spark, edges):
+    parent = dict(edges)
+    ids = sorted({x for e in edges for x in e})
+    want = set()
+    for member in ids:
+        at, depth, seen = member, 0, set()
+        while at is not None and at not in seen:
+            seen.add(at)
+            want.add((at, member, depth))
+            at, depth = parent.get(at), depth + 1
+    rows = spark.createDataFrame([(i, parent.get(i)) for i in ids], "id long, parent_session_id long")
+    got = {tuple(r) for r in repositories.session_descendants(rows).collect()}
+    assert got == want
+    some = {tuple(r) for r in repositories.session_descendants(rows, rows.where("id in (1, 3)")).collect()}
+    assert some == {w for w in want if w[0] in (1, 3)}
+
+
+def test_deep_paths_keep_their_repository(spark):
+    paths = spark.createDataFrame([(1, "/d0/" + "/".join(f"x{i}" for i in range(80))), (2, "/other")], "id long, path string")
+    got = repositories.resolve_repositories(paths, spark.createDataFrame([("/d0",)], "root string")).collect()
+    assert {r["id"]: r["repository_root"] for r in got} == {1: "/d0", 2: None}
+
+
+def test_logs_are_read_once(spark):
+    data = lines(spark, assistant())
+    for events in (transcripts.transcript_events(data), rollouts.rollout_events(data)):
+        assert events._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1

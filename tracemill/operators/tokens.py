@@ -12,10 +12,18 @@ UNKNOWN = "(unknown)"
 
 
 def in_range(df: DataFrame, from_us: int | None = None, to_us: int | None = None, column: str = "timestamp_us") -> DataFrame:
-    """Half-open: from_us <= t < to_us."""
+    """Half-open: from_us <= t < to_us. Of a table stored by event_date only the dates of the range are read."""
+    day = 86_400_000_000
+    by_date = column == "timestamp_us" and "event_date" in df.columns
+    date = lambda us: F.lit(max(-(10**6), min(10**6, us // day))).cast("int")
+    number = F.datediff(F.col("event_date"), F.lit("1970-01-01").cast("date")) if by_date else None
     if from_us is not None:
         df = df.where(F.col(column) >= from_us)
-    return df if to_us is None else df.where(F.col(column) < to_us)
+        df = df.where(number >= date(from_us)) if by_date else df
+    if to_us is not None:
+        df = df.where(F.col(column) < to_us)
+        df = df.where(number <= date(to_us)) if by_date else df
+    return df
 
 
 def agent_filter(df: DataFrame, names=()) -> DataFrame:

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import threading
+from datetime import timedelta
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import us_to_rfc3339
+from .scratch import scratch
 
-KEY_PARTS = 64
+#: Days before and after its own in which a batch looks for its ids.
+AROUND = 1
+_SQL = threading.Lock()
 
 
 def export_rows(activity: DataFrame) -> DataFrame:
@@ -24,44 +30,68 @@ def export_jsonl(activity: DataFrame, path: str, single_file: bool = False) -> N
     export_rows(ordered.coalesce(1) if single_file else ordered).write.mode("overwrite").text(path)
 
 
-def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+def _stored(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
     try:
-        return spark.read.schema(schema).parquet(path)
+        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
     except AnalysisException as e:  # nothing is stored yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return None
 
 
-def append_events(events: DataFrame, path: str) -> None:
+def _first_of_each(events: DataFrame) -> DataFrame:
+    return events.groupBy("id").agg(F.min_by(F.struct("*"), F.struct("timestamp_us", "evidence")).alias("_row")).select("_row.*")
+
+
+def append_events(events: DataFrame, path: str, around: int | None = AROUND) -> None:
     """Appends events whose ids are not stored yet, by event date.
 
-    Ids are looked up in a table of keys alone, parted by their hash, since one id may carry two dates. Events are written before
-    their keys, and a batch also looks at the stored events of its own dates: one that failed between the two writes and is tried
-    again, with the same rows and dates, adds nothing twice."""
+    Ids are looked up among the stored events of the batch's own dates and ``around`` days on either side, so a batch reads one column of a few
+    dates however much is stored; a batch that failed and is tried again has the same dates and adds nothing twice. One id carries two dates
+    only where a hook and a log tell different times, or a record without a time is read from a file changed since: with ``around`` None all dates are
+    looked at, and ``compact`` removes what was let through. One writer at a time: two may append the same id."""
     spark = events.sparkSession
-    first = events.groupBy("id").agg(F.min_by(F.struct("*"), F.struct("timestamp_us", "evidence")).alias("_row")).select("_row.*")
-    fresh = first.withColumn("key_part", F.pmod(F.xxhash64("id"), F.lit(KEY_PARTS)).cast("int")).withColumn("event_date", F.to_date(F.timestamp_micros("timestamp_us"))).persist()
-    try:
-        out = fresh
-        if (keys := _stored(spark, f"{path}/event_keys", "id string, key_part int")) is not None:
-            out = out.join(keys, ["key_part", "id"], "left_anti")
-        if (stored := _stored(spark, f"{path}/events", "id string, event_date date")) is not None:
-            dates = [r[0] for r in fresh.select("event_date").distinct().collect()]
-            out = out.join(stored.where(F.col("event_date").isin(dates)).select("id"), "id", "left_anti")
-        out.drop("key_part").write.mode("append").partitionBy("event_date").parquet(f"{path}/events")
-        fresh.select("id", "key_part").write.mode("append").partitionBy("key_part").parquet(f"{path}/event_keys")
-    finally:
-        fresh.unpersist()
+    where = scratch(spark, "batch")
+    _first_of_each(events).withColumn("event_date", F.to_date(F.timestamp_micros("timestamp_us"))).write.parquet(where)
+    out = fresh = spark.read.parquet(where)
+    if (stored := _stored(spark, f"{path}/events", "id string, event_date date")) is not None:
+        if around is not None:
+            dates = {r[0] + timedelta(days=d) for r in fresh.select("event_date").distinct().collect() if r[0] for d in range(-around, around + 1)}
+            stored = stored.where(F.col("event_date").isin(sorted(dates)) | F.col("event_date").isNull())
+        out = out.join(stored.select("id"), "id", "left_anti")
+    out.write.mode("append").partitionBy("event_date").parquet(f"{path}/events")
+
+
+def compact(spark: SparkSession, path: str, first: str, last: str, files: int = 1) -> None:
+    """Rewrites the dates from ``first`` to ``last``: the small files of a date become ``files``, and of an id the first event stays. The new
+    files are written aside, and then take the place of the dates they belong to; no writer may append to these dates meanwhile."""
+    stored = _stored(spark, f"{path}/events")
+    if stored is None:
+        return
+    where = scratch(spark, "compacted")
+    stored = stored.where(F.col("event_date").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    dates = lambda rows: {r[0] for r in rows.select("event_date").distinct().collect()}
+    before = dates(stored)
+    chosen = _first_of_each(stored)
+    part = F.pmod(F.xxhash64("id"), F.lit(files))
+    chosen.repartition("event_date", part).write.parquet(where)
+    kept = spark.read.parquet(where)
+    kept.repartition("event_date", part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(f"{path}/events")
+    for date in sorted(before - dates(kept)):  # all its events are stored under other dates
+        kept.drop("event_date").limit(0).write.mode("overwrite").parquet(f"{path}/events/event_date={date}")
 
 
 def sql(spark: SparkSession, text: str, tables: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Any one query over the tables. It stands inside another query, so what is no query does not parse; files cannot be named."""
-    for name, df in (tables or {}).items():
-        df.createOrReplaceTempView(name)
-    before = spark.conf.get("spark.sql.runSQLOnFiles", "true")
-    spark.conf.set("spark.sql.runSQLOnFiles", "false")
-    try:
-        return spark.sql("SELECT * FROM (\n" + text + "\n)")
-    finally:
-        spark.conf.set("spark.sql.runSQLOnFiles", before)
+    """Any one query over the tables. It stands inside another query, so what is no query does not parse; files cannot be named.
+
+    The tables are named for this query alone. Files are kept out by a session setting, held for as long as the text is analysed; calls of this
+    function take turns."""
+    named = ", ".join(f"{n} AS (SELECT * FROM {{{n}}})" for n in tables or {})
+    body = text.replace("{", "{{").replace("}", "}}") if tables else text
+    with _SQL:
+        before = spark.conf.get("spark.sql.runSQLOnFiles", "true")
+        spark.conf.set("spark.sql.runSQLOnFiles", "false")
+        try:
+            return spark.sql(f"{'WITH ' + named if named else ''} SELECT * FROM (\n{body}\n)", **(tables or {}))
+        finally:
+            spark.conf.set("spark.sql.runSQLOnFiles", before)

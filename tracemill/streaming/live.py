@@ -36,11 +36,11 @@ def start_stream(events: DataFrame, sink: str, checkpoint: str, paused=None, ava
 
 
 def reprocess(spark: SparkSession, transcripts: str | None, rollouts: str | None, sink: str, modified_after: str | None = None, patterns=()) -> None:
-    """Reads every log changed since a time again, whole, and appends what is missing."""
+    """Reads every log changed since a time again, whole, and appends what is missing, whatever its stored date."""
     if transcripts:
-        append_events(redact_events(transcript_events(read_jsonl_lines(spark, transcripts, modified_after=modified_after)), patterns), sink)
+        append_events(redact_events(transcript_events(read_jsonl_lines(spark, transcripts, modified_after=modified_after)), patterns), sink, around=None)
     if rollouts:
-        append_events(redact_events(rollout_events(read_jsonl_lines(spark, rollouts, modified_after=modified_after)), patterns), sink)
+        append_events(redact_events(rollout_events(read_jsonl_lines(spark, rollouts, modified_after=modified_after)), patterns), sink, around=None)
 
 
 def finished_sessions(sessions: DataFrame, files: DataFrame, as_of_us: int) -> DataFrame:
