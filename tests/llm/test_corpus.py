@@ -248,7 +248,7 @@ def changed_rows():
 
 @pytest.mark.parametrize("most", [32, 2])
 def test_shingle_classes(spark, docs, monkeypatch, most):
-    monkeypatch.setattr(shingles.links, "__defaults__", (shingles.LEAST, most))  # 2: nearly all lists are long
+    monkeypatch.setattr(shingles.joined, "__defaults__", (shingles.LEAST, most))  # 2: nearly all lists are long
     monkeypatch.setattr(shingles, "BLOCK", 2 * most)
     monkeypatch.setattr(shingles._overlap, "__defaults__", (16,))
     for frame, given in ((docs, edge_rows()), (make(spark, changed_rows()), changed_rows())):
