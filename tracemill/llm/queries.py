@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embed, langid, mixing, quality, sharding, simhash, substring, toxicity, urlfilter
+from . import decontam, embed, langid, lines, mixing, quality, sharding, simhash, substring, toxicity, urlfilter
 from .common import fold, spread, table
 
 SHARDS = 24
@@ -80,7 +80,25 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_entropy_mix, op2_positional_decontam, op3_toxicity_bigru, op4_simhash_bktree, op5_rank_order_langid, op6_ordinal_quality, op7_substring_doubling, op8_url_linkgraph, op9_rp_forest, op10_kd_shards)}
+def op12_line_mphf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = lines.without_common_lines(_texts(spark, sf_dir))
+    return left.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OPERATORS = [
+    op1_entropy_mix,
+    op2_positional_decontam,
+    op3_toxicity_bigru,
+    op4_simhash_bktree,
+    op5_rank_order_langid,
+    op6_ordinal_quality,
+    op7_substring_doubling,
+    op8_url_linkgraph,
+    op9_rp_forest,
+    op10_kd_shards,
+    op12_line_mphf,
+]
+QUERIES = {f.__name__: f for f in OPERATORS}
 #: Where SQL can express the whole result: DuckDB over the same tables.
 ORACLE_SQL: dict[str, str] = {
     "op2_positional_decontam": r"""
@@ -102,4 +120,12 @@ words AS (SELECT doc_id, unnest(range(len(ws))) AS place, unnest(ws) AS word FRO
 kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS text FROM words ANTI JOIN gone USING (doc_id, place) GROUP BY 1)
 SELECT d.doc_id, len(ws) AS n_words, coalesce(g.n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
 FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1) g ON d.doc_id = g.doc_id""",
+    "op12_line_mphf": r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(range(len(ls))) AS place, unnest(ls) AS line FROM d),
+k AS (SELECT doc_id, place, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+common AS (SELECT key FROM k WHERE key <> '' GROUP BY 1 HAVING count(DISTINCT doc_id) >= 10),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY place) AS text FROM k ANTI JOIN common USING (key) GROUP BY 1)
+SELECT d.doc_id, len(ls) AS n_lines, len(ls) - coalesce(n, 0) AS n_dropped, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id""",
 }
