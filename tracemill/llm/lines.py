@@ -228,5 +228,6 @@ def without_common_lines(docs: DataFrame, id_col="doc_id", text_col="text", docu
     index = line_index(pairs)
     common = passing(common_lines(pairs, index, documents).groupBy("id").agg(F.collect_list(F.struct("h1", "h2")).alias("common")), "line-common")
     discard(pairs, index)
-    marked = chosen.join(common.withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id")), "left")
+    # The lists grow with the corpus, so texts and lists are sorted alike at every size; a broadcast would only serve small tables.
+    marked = chosen.join(common.withColumnRenamed("id", "_id").hint("merge"), F.col("id").eqNullSafe(F.col("_id")), "left")
     return marked.select("id", "text", "common").mapInArrow(_cut(least), f"id {kind}, n_lines long, n_dropped long, kept string")
