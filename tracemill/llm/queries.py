@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embed, langid, lines, mixing, quality, sharding, simhash, substring, toxicity, urlfilter
+from . import decontam, embed, langid, lines, mixing, negatives, quality, sharding, simhash, substring, toxicity, urlfilter
 from .common import fold, spread, table
 
 SHARDS = 24
@@ -85,6 +85,11 @@ def op12_line_mphf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op13_lemp_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
+
+
 OPERATORS = [
     op1_entropy_mix,
     op2_positional_decontam,
@@ -97,6 +102,7 @@ OPERATORS = [
     op9_rp_forest,
     op10_kd_shards,
     op12_line_mphf,
+    op13_lemp_negatives,
 ]
 QUERIES = {f.__name__: f for f in OPERATORS}
 #: Where SQL can express the whole result: DuckDB over the same tables.
@@ -128,4 +134,11 @@ common AS (SELECT key FROM k WHERE key <> '' GROUP BY 1 HAVING count(DISTINCT do
 kept AS (SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY place) AS text FROM k ANTI JOIN common USING (key) GROUP BY 1)
 SELECT d.doc_id, len(ls) AS n_lines, len(ls) - coalesce(n, 0) AS n_dropped, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id""",
+    "op13_lemp_negatives": """
+WITH r AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.id AS anchor_id, a.label = b.label AS same, b.id AS other, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM r a JOIN r b ON a.id % 50 = 0 AND a.id <> b.id AND len(a.v) = len(b.v)),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3""",
 }
