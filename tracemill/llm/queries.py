@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embed, langid, lines, mixing, negatives, quality, sharding, simhash, substring, toxicity, urlfilter
+from . import decontam, embed, langid, lines, mixing, negatives, quality, sharding, simhash, spelling, substring, toxicity, urlfilter
 from .common import fold, spread, table
 
 SHARDS = 24
@@ -80,6 +80,10 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_fst_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(_texts(spark, sf_dir), deletes=199))
+
+
 def op12_line_mphf(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = lines.without_common_lines(_texts(spark, sf_dir))
     return left.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -101,6 +105,7 @@ OPERATORS = [
     op8_url_linkgraph,
     op9_rp_forest,
     op10_kd_shards,
+    op11_fst_spelling,
     op12_line_mphf,
     op13_lemp_negatives,
 ]
