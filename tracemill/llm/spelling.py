@@ -151,8 +151,8 @@ def _composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def pairs():
         if len(held) > 1:
             m, lo, hi = now[2:]
-            # Only the middles are compared: what stands before and behind is the same in a partition.
-            for a, b in one_edit(list(held), hi - lo, 0, hi - lo):
+            # Only the middles are compared: what stands before and behind is the same in a partition. The next letter tells whether a first difference comes later.
+            for a, b in one_edit(list(held), hi - lo + (hi < m), 0, hi - lo):
                 out.extend(((*held[a], *held[b]), (*held[b], *held[a])))
 
     for batch in batches:
@@ -202,7 +202,8 @@ def near_words(words: DataFrame, group: int = GROUP, region: int = REGION) -> Da
     every = ready[0]
     for more in ready[1:]:
         every = every.unionByName(more)
-    middle = F.substr("word", F.col("lo") + 1, F.char_length("word") - F.col("lo") - F.col("m") + F.col("hi"))
+    behind = F.greatest(F.col("m") - F.col("hi") - 1, F.lit(0))
+    middle = F.substr("word", F.col("lo") + 1, F.char_length("word") - F.col("lo") - behind)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     dealt = every.select("k1", "k2", "m", "lo", "hi", middle.alias("middle"), "word", "n").repartition(tasks, "k1", "k2").sortWithinPartitions("k1", "k2", "middle")
     found = passing(dealt.mapInArrow(_composed, "word string, n long, near string, near_n long"), "spelling-near")
