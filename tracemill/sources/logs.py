@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .linefiles import BLOCK, count_blocks, reachable, read_blocks
 from .scratch import scratch
 
 HOOK_SCHEMA = (
@@ -21,27 +22,64 @@ TABLES = ("events", "token_usage", "file_events", "command_events", "command_pat
 FEW = 100_000
 
 
-def read_jsonl_lines(spark: SparkSession, root: str, limit_files: int | None = None, modified_after: str | None = None, pattern: str = "*.jsonl") -> DataFrame:
-    """(file, line_no, value, modified) of every file of that name below ``root``; lines are numbered from 0 in file order however a file
-    is split. Only the first ``limit_files`` in path order, if given.
-
-    A first pass counts the lines of each block of a file, a row a block. A block is read by one task in order, so a line's number is the
-    number of lines in the blocks before and its place among the task's rows; no text is moved, and one large file is read by many tasks."""
+def read_jsonl_lines(
+    spark: SparkSession,
+    root: str,
+    limit_files: int | None = None,
+    modified_after: str | None = None,
+    pattern: str = "*.jsonl",
+    only: DataFrame | None = None,
+    block: int = BLOCK,
+) -> DataFrame:
+    """(file, line_no, value, modified) of every file of that name below ``root``; lines are numbered from 0 in file order. Only the first
+    ``limit_files`` in path order, and only those whose paths ``only`` holds in its column file, if given.
+
+    Files are listed once, with their sizes; what is appended later is not read. A first pass counts the lines of each block of bytes, and a row a
+    block, with the number of lines before it, is written. The lines are read from these rows, so a large file is many tasks, no text is moved or joined, and no
+    setting changes what a block holds. Where tasks cannot open the files by position (a store that only Spark reaches), Spark's own reader writes the lines once with their
+    block and place, and they are numbered from that table."""
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after)
+    found = reader.format("binaryFile").load(root).select("path", F.col("_metadata.file_path").alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    if only is not None:
+        found = found.join(only.select(F.col("file").alias("path")).distinct(), "path", "left_semi")
+    if limit_files is not None:
+        found = found.orderBy("file").limit(limit_files)
+    files = spark.read.schema(found.schema).parquet(_written(spark, found, "files"))
+    some = files.select("path").first()
+    if some is not None and not reachable(some[0]):
+        return _through_spark(reader, root, files)
+    begin = F.col("block") * F.lit(block)
+    blocks = files.where("size > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / F.lit(block)))))
+    blocks = blocks.select("path", "file", "size", "modified", begin.alias("begin"), F.least(begin + F.lit(block), F.col("size")).alias("end"))
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    counted = blocks.repartition(tasks).mapInArrow(count_blocks, "path string, file string, size long, modified timestamp, begin long, end long, n long")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    known = _written(spark, counted.withColumn("before", before).where("n > 0"), "blocks")
+    # One row a task, as far as there are rows: a block is work of seconds, and its row a few bytes.
+    rows = spark.read.parquet(known)
+    return rows.repartition(min(max(1, rows.count()), 100_000)).mapInArrow(read_blocks, "file string, line_no long, value string, modified timestamp")
+
+
+def _written(spark: SparkSession, df: DataFrame, what: str) -> str:
+    where = scratch(spark, what)
+    df.write.parquet(where)
+    return where
+
+
+def _through_spark(reader, root: str, files: DataFrame) -> DataFrame:
+    """The lines as Spark's reader cuts them, written once, since another scan may cut the files elsewhere."""
+    spark = files.sparkSession
     meta = {"file": "file_path", "_block": "file_block_start", "modified": "file_modification_time"}
-    lines = reader.text(root).select("value", *[F.col(f"_metadata.{m}").alias(n) for n, m in meta.items()], F.monotonically_increasing_id().alias("_at"))
+    lines = reader.format("text").load(root).select("value", *[F.col(f"_metadata.{m}").alias(n) for n, m in meta.items()], F.monotonically_increasing_id().alias("_at"))
+    lines = spark.read.parquet(_written(spark, lines.join(files.select("file"), "file", "left_semi"), "lines"))
     counted = lines.groupBy("file", "_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    where = scratch(spark, "blocks")
-    counted.select("file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")).write.parquet(where)
-    blocks = spark.read.parquet(where)
-    if limit_files is not None:
-        blocks = blocks.join(blocks.select("file").distinct().orderBy("file").limit(limit_files), "file", "left_semi")
+    blocks = spark.read.parquet(_written(spark, counted.select("file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")), "blocks"))
     blocks = F.broadcast(blocks) if blocks.count() <= FEW else blocks
-    numbered = lines.join(blocks, ["file", "_block"])
-    return numbered.select("file", (F.col("_before") + F.col("_at") - F.col("_first")).cast("long").alias("line_no"), "value", "modified")
+    number = (F.col("_before") + F.col("_at") - F.col("_first")).cast("long")
+    return lines.join(blocks, ["file", "_block"]).select("file", number.alias("line_no"), "value", "modified")
 
 
 def parse_lines(lines: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
