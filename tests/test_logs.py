@@ -147,13 +147,6 @@ def test_the_live_and_the_reread_row_are_one(spark):
     assert hooks.normalize_hooks(schema).first()["id"] == told["id"]
 
 
-def test_pause_drops_batches(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.json").write_text(json.dumps(frames(1)[0]))
-    live.start_stream(live.stream_events(live.hook_stream(spark, str(tmp_path / "in"))), str(tmp_path / "sink"), str(tmp_path / "state"), paused=lambda: True, available_now=True).awaitTermination()
-    assert not (tmp_path / "sink").exists()
-
-
 def test_reprocessing_changes_nothing(spark, tmp_path):
     (tmp_path / "logs").mkdir()
     (tmp_path / "logs" / "a.jsonl").write_text("\n".join(json.dumps(assistant(f"m{i}")) for i in range(5)))
@@ -223,7 +216,7 @@ def test_export(spark, tmp_path):
     assert [t["event"]["char_count"] for t in told] == [2, 1] and told[1]["project"] == "/p" and told[0]["timestamp"].startswith("1970-01-01T00:00:01")
 
 
-def test_appends_look_at_their_own_dates_and_are_compacted(spark, tmp_path):
+def test_appends_look_at_all_dates_and_are_compacted(spark, tmp_path):
     schema = "id string, timestamp_us long, evidence string, payload string"
     day = 86_400_000_000
     rows = lambda *r: spark.createDataFrame(list(r), schema)
@@ -232,10 +225,9 @@ def test_appends_look_at_their_own_dates_and_are_compacted(spark, tmp_path):
     sinks.append_events(rows(("a", 11 * day, "log", "2"), ("b", 10 * day, "hook", "1"), ("c", 11 * day, "log", "2")), path)
     stored = lambda: spark.read.parquet(f"{path}/events")
     assert sorted((r["id"], r["payload"]) for r in stored().collect()) == [("a", "1"), ("b", "1"), ("c", "2")]
-    sinks.append_events(rows(("a", 20 * day, "log", "3")), path)  # too far away to be seen
-    assert stored().count() == 4
-    sinks.append_events(rows(("a", 30 * day, "log", "4"), ("d", 30 * day, "log", "4")), path, around=None)
-    assert stored().where("id = 'a'").count() == 2
+    sinks.append_events(rows(("a", 20 * day, "log", "3")), path)
+    sinks.append_events(rows(("a", 30 * day, "log", "4"), ("d", 30 * day, "log", "4")), path)
+    assert stored().where("id = 'a'").count() == 1
     sinks.compact(spark, path, "1970-01-01", "1970-02-28")
     assert sorted((r["id"], r["payload"]) for r in stored().collect()) == [("a", "1"), ("b", "1"), ("c", "2"), ("d", "4")]
     ranged = tokens.in_range(stored(), 11 * day, 12 * day)

@@ -52,10 +52,12 @@ def posture_in_force(facts: DataFrame, postures: DataFrame) -> DataFrame:
     return both.withColumn("mode", F.last("mode", ignorenulls=True).over(w)).where("is_fact = 1").drop("is_fact")
 
 
-def activity_windows(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """Spans of a session without a pause of ``gap``; the same call works on a stream with a watermark."""
-    span = F.session_window(F.timestamp_micros("timestamp_us"), gap)
-    return events.groupBy("session_id", span.alias("w")).agg(F.count("*").alias("events")).select("session_id", F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), "events")
+def activity_windows(events: DataFrame, gap: str = "30 minutes", lateness: str = "1 hour") -> DataFrame:
+    """Spans of a session without a pause of ``gap``. On a stream a span is given once it is over and the watermark has passed it."""
+    timed = events.withColumn("at", F.timestamp_micros("timestamp_us"))
+    timed = timed.withWatermark("at", lateness) if timed.isStreaming else timed
+    spans = timed.groupBy("session_id", F.session_window("at", gap).alias("w")).agg(F.count("*").alias("events"))
+    return spans.select("session_id", F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), "events")
 
 
 def collection_gaps(pauses: DataFrame, host: str = "host") -> DataFrame:
