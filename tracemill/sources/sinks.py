@@ -156,8 +156,8 @@ def spine_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 def compact(spark: SparkSession, path: str, first: str, last: str, files: int = 1) -> None:
     """Rewrites the dates from ``first`` to ``last``: the small files of a date become ``files``, and of an id the first event stays. The new
-    files are written aside, and then take the place of the dates they belong to; no writer may append to these dates meanwhile. The states of
-    sessions and the ledger become one file each; an attempt that fails between leaves states twice, which changes nothing."""
+    files are written aside, and then take the place of the dates they belong to; no writer may append to these dates meanwhile, and frames made before are
+    made anew. The states of sessions and the ledger become one file each; an attempt that fails between leaves states twice, which changes nothing."""
     stored = _stored(spark, f"{path}/events")
     if stored is None:
         return
