@@ -10,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_corpus import BLANK, make, slow_url
-from tracemill.llm import langid, mixing, quality, urlfilter
-from tracemill.llm.common import fold, labelled_texts, table
+from tracemill.llm import decontam, langid, mixing, quality, urlfilter
+from tracemill.llm.common import fold, labelled_texts, spread, table
 from tracemill.llm.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -72,6 +72,15 @@ def test_registered_mix_meets_its_targets(spark):
     assert all(abs(taken[s] - target[s]) <= most[s] / 2 for s in target)
 
 
+def test_a_source_without_words_has_target_0(spark):
+    rows = [(1, None, "en", "y"), (2, "", "en", "y"), (3, "a b c", "en", "x"), (4, "d", "en", None)]
+    got = {r["id"]: r for r in mixing.mix_plan(make(spark, rows)).collect()}
+    assert len(got) == 4 and all((got[i]["target"], got[i]["source_size"], got[i]["copies"]) == (0, 0, 1) for i in (1, 2))
+    assert got[3]["target"] > 0 and mixing.repeated(make(spark, rows)).count() >= 4
+    blank = mixing.mix_plan(make(spark, rows[:2])).collect()
+    assert [(r["target"], r["copies"]) for r in blank] == [(0, 1), (0, 1)]
+
+
 # ---- urls
 def brute_scores(edges, good, bad, damping=0.85):
     hosts = sorted({h for e in edges for h in e} | set(good) | set(bad))
@@ -149,6 +158,85 @@ def test_samples_are_bounded_by_bytes_not_by_length(spark):
     assert {r[0] for r in some if len(r[1]) == 100} == {i for i in usable if i % 3}
 
 
+def test_an_id_on_many_rows_gives_one_text(spark):
+    docs = spark.range(2000).selectExpr("7L as doc_id", "concat(repeat('x', 10000), id % 1500) as text", "'en' as lang", "'s' as source")
+    docs = docs.unionByName(docs.limit(0)).unionByName(spark.createDataFrame([(8, "other", "en", "s")], docs.schema))
+    labels = spark.createDataFrame([(7, 1), (7, 1), (8, 0)], "doc_id long, toxic int")
+    got = labelled_texts(docs, labels, "toxic", 1000)
+    assert [(i, len(t) > 9000, v) for i, t, v in got] == [(7, True, 1), (8, False, 0)]
+    assert got == labelled_texts(docs.repartition(3), labels, "toxic", 1000)
+
+
+@pytest.mark.parametrize("shared", range(5))
+def test_languages_of_rows_that_share_an_id_are_learned(spark, shared):
+    rows = spark.range(3000).selectExpr(f"{shared}L as doc_id", "concat('the word ', id) as text", "'en' as lang")
+    equal = spark.range(3000).selectExpr(f"{shared}L as doc_id", "'das Wort' as text", "'de' as lang")
+    known = langid.learn(rows.unionByName(equal), per_language=100)
+    assert known.languages == ["de", "en"] and known.predict("the word", langid.TOP)[0] == "en"
+
+
+def test_a_single_row_group_is_dealt_to_every_core(spark, tmp_path):
+    spark.range(4000).selectExpr("id", "sha2(cast(id as string), 512) as text").coalesce(1).write.parquet(str(tmp_path / "t"))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        scan = spark.read.parquet(str(tmp_path / "t"))
+        assert scan.rdd.getNumPartitions() > 1
+        held = spread(scan).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(held) == spark.sparkContext.defaultParallelism and max(r["count"] for r in held) < 2000
+
+
+def brute_near(documents, items):
+    """(document, item) by the definition, place by place."""
+    holders = Counter(t for words in documents.values() for t in set(words))
+    out = set()
+    for item, terms in items.items():
+        place = {t: terms.index(t) for t in terms}
+        need = math.ceil(len(place) * 4 / 5)
+        if len(place) < 2:
+            continue
+        order = sorted(place, key=lambda t: (holders[t], decontam.term(t)))
+        rare = order[: len(place) - need + min(decontam.RARE, need)]
+        size = min(len(terms), decontam.WINDOW)
+        windows = {tuple(terms[s : s + size]) for s in range(len(terms) - size + 1)}
+        for d, words in documents.items():
+            if any(tuple(words[s : s + size]) in windows for s in range(len(words) - size + 1)):
+                continue
+            where = defaultdict(list)
+            for at, w in enumerate(words):
+                where[w].append(at)
+            starts = [at - place[t] for t in rare for at in where[t]]
+            for s in starts:
+                around = sum(abs(s - other) <= decontam.SLOP for other in starts)
+                if around >= len(rare) - (len(place) - need) and sum(any(abs(s + p - at) <= decontam.SLOP for at in where[t]) for t, p in place.items()) >= need:
+                    out.add((d, item))
+                    break
+    return out
+
+
+def test_near_benchmark_items_against_brute_force(spark):
+    documents = {r["doc_id"]: decontam.words(r["text"]) for r in table(spark, SF_DIR, "documents").collect()}
+    items = {str(r["item_id"]): decontam.words(r["text"]) for r in table(spark, SF_DIR, "benchmark").collect()}
+    got = {(r["doc_id"], r["item_id"]) for r in QUERIES["near_benchmark_items"](spark, SF_DIR).collect()}
+    assert got == brute_near(documents, items)
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(400)]
+    item = {str(k): [rng.choice(words) for _ in range(rng.randint(2, 30))] for k in range(20)}
+    texts = {}
+    for d in range(120):
+        base = list(rng.choice(list(item.values())))
+        for _ in range(rng.randint(0, 5)):
+            at = rng.randrange(len(base))
+            base[at : at + rng.randint(0, 1)] = rng.choice([[], ["odd"], [rng.choice(words)]])
+            base = base or ["none"]
+        texts[d] = [rng.choice(words) for _ in range(rng.randint(0, 40))] + base + [rng.choice(words) for _ in range(rng.randint(0, 40))]
+    frame = make(spark, [(d, " ".join(w), "en", "s") for d, w in texts.items()])
+    found = decontam.matches(frame, spark.createDataFrame([(int(k), " ".join(w)) for k, w in item.items()], "item_id long, text string"))
+    brute = brute_near({d: decontam.words(" ".join(w)) for d, w in texts.items()}, {k: decontam.words(" ".join(w)) for k, w in item.items()})
+    assert {(r["id"], n) for r in found.collect() for n in r["near"]} == brute and len(brute) > 20
+
+
 def test_registered_language_query_is_the_out_of_place_distance(spark):
     docs = table(spark, SF_DIR, "documents")
     profiles = langid.learn(docs.where(fold(F.col("doc_id"), 4) != 2))

@@ -78,10 +78,12 @@ def discard(*tables: DataFrame) -> None:
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """For costly work on the rows of a table just read: a scan of fewer partitions than the cluster has cores is dealt out evenly. Larger
-    ones stay as they are, so only small tables are moved."""
+    """For costly work on the rows of a table just read: a small one is dealt out evenly over the cluster's cores.
+
+    A scan of about as many splits as there are cores was cut to serve them, below the size that files allow; such splits need not hold rows, since those of a row
+    group are read together. Where there are more, the splits have their full size, and the table stays as it is."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < 2 * cores else scan
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -140,32 +142,35 @@ def fold(column, parts: int):
     return F.crc32(column.cast("string").cast("binary")) % parts
 
 
-def bounded_sample(rows: DataFrame, group: str, bound: int, key: str, salt: int = 3) -> DataFrame:
-    """About ``bound`` rows of each value of ``group``, or all it has: those whose key's hash falls under the group's share.
+def bounded_sample(rows: DataFrame, group: str, bound: int, *key: str, salt: int = 3) -> DataFrame:
+    """About ``bound`` of the rows of each value of ``group`` that differ in ``key``, or all of them: those whose hash falls under the group's share. Rows equal in
+    group and key count once, so a group that has rows is never left without.
 
     The counts, a row a value, are broadcast if they are few; the choice depends on the keys alone, not on the order of rows."""
-    counts = checkpoint(rows.groupBy(group).agg(F.count("*").alias("_n")).withColumnRenamed(group, "_g"))
-    return rows.join(by_size(counts), F.col(group) == F.col("_g")).where(uniform(F.col(key), salt=salt) * F.col("_n") < bound).drop("_g", "_n")
+    draw = F.xxhash64(F.lit(salt), *key)
+    counts = checkpoint(rows.groupBy(group).agg(F.count_distinct(draw).alias("_n")).withColumnRenamed(group, "_g"))
+    drawn = rows.join(by_size(counts), F.col(group) == F.col("_g")).where(uniform(*[F.col(k) for k in key], salt=salt) * F.col("_n") < bound)
+    return drawn.withColumn("_draw", draw).dropDuplicates([group, "_draw"]).drop("_g", "_n", "_draw")
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, bound: int, parts: int = 5, id_col="doc_id", text_col="text", most_bytes: int = LEARN_BYTES) -> list[tuple[int, str, int]]:
     """(id, text, label), sorted, of about ``bound`` labelled documents a label outside the held-out fold, for fitting.
 
     The ids are few and bounded, so they are broadcast to the documents and no text is shuffled. Where an id has
-    several labels the largest counts. Of each label whole texts are taken in an order that the ids' hashes give, whatever their lengths,
-    as long as they have ``most_bytes`` together; one that does not fit is passed over."""
+    several labels the largest counts; where it has several texts, the one with the least hash. Of each label whole texts are taken in an order that the ids' hashes give,
+    as long as they have ``most_bytes`` together; one that does not fit is passed over, and so is always one that is longer than that. The driver gets a row of numbers an id, and then the texts that fit."""
     usable = labels.where((fold(F.col(id_col), parts) != 0) & F.col(label).isNotNull()).groupBy(id_col).agg(F.max(label).alias("_label"))
     chosen = checkpoint(bounded_sample(usable, "_label", bound, id_col).select(F.col(id_col).alias("_id"), "_label"))
-    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
+    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"), F.xxhash64(F.col(text_col)).alias("_hash"))
     found = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
     size = F.coalesce(F.octet_length("_text"), F.lit(0)).cast("long")
-    sizes = found.select("_doc", "_label", size).collect()
-    fits, used = set(), Counter()
-    for i, value, n in sorted(sizes, key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[2])):
+    sizes = found.groupBy("_doc", "_label").agg(F.min(F.struct("_hash", size.alias("n"))).alias("one")).select("_doc", "_label", "one._hash", "one.n").collect()
+    fits, used = [], Counter()
+    for i, value, h, n in sorted(sizes, key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0])):
         if used[value] + n <= most_bytes:
             used[value] += n
-            fits.add((i, n))
-    if len(fits) < len(set(sizes)):
-        found = found.where(F.col("_doc").isin(sorted({i for i, _ in fits})))
-    rows = [r for r in found.select("_doc", "_text", "_label", size.alias("n")).collect() if (r[0], r[3]) in fits]
-    return sorted((r[0], r[1] or "", int(r[2])) for r in rows)
+            fits.append((i, h))
+    wanted = docs.sparkSession.createDataFrame(fits, f"_id {chosen.schema['_id'].dataType.simpleString()}, _one long")
+    held = found.drop("_id").join(F.broadcast(wanted), (F.col("_doc") == F.col("_id")) & (F.col("_hash") == F.col("_one")))
+    rows = held.groupBy("_doc", "_label").agg(F.min("_text").alias("_text")).collect()
+    return sorted((r["_doc"], r["_text"] or "", int(r["_label"])) for r in rows)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import bounded_sample, spread
 
 TOP = 300
 LEARN = 1500
@@ -111,12 +111,15 @@ class Profiles:
         return self.languages[best], float(1.0 - costs[best] / (top * len(mine)))
 
 
-def grams(text: str) -> Counter:
-    """The n-grams of one text with their counts, a blank for either end of a word."""
-    counts: Counter = Counter()
+def _words(text: str) -> Counter:
     words: Counter = Counter()
     for part in _parts(text):
         words.update("".join(map(chr, _points(part))).split("\0"))
+    return words
+
+
+def _grams(words: Counter) -> Counter:
+    counts: Counter = Counter()
     for word, n in words.items():
         if word:
             padded = f" {word} "
@@ -127,19 +130,25 @@ def grams(text: str) -> Counter:
     return counts
 
 
+def grams(text: str) -> Counter:
+    """The n-grams of one text with their counts, a blank for either end of a word."""
+    return _grams(_words(text))
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The n-grams of each language, counted over the different words of a batch."""
     for batch in batches:
         total: dict[str, Counter] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            total.setdefault(lang, Counter()).update(grams(text or ""))
-        rows = [(l, g, n) for l, c in total.items() for g, n in c.items()]
+            total.setdefault(lang, Counter()).update(_words(text or ""))
+        rows = [(l, g, n) for l, words in total.items() for g, n in _grams(words).items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], ["lang", "gram", "n"])
 
 
 def learn(docs: DataFrame, text_col="text", lang_col="lang", id_col="doc_id", top: int = TOP, per_language: int = LEARN) -> Profiles:
     """Counts n-grams over a sample of bounded size and ranks them in Spark; the driver gets ``top`` rows a language."""
     labelled = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
-    sample = bounded_sample(labelled, "lang", per_language, "id").select("lang", "text")
+    sample = spread(bounded_sample(labelled, "lang", per_language, "id", "text")).select("lang", "text")
     counts = sample.mapInArrow(_counted, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     ranked: dict[str, list[str]] = {}

@@ -63,7 +63,7 @@ def fit_mix(sized: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: int =
     state = checkpoint(
         targets(sizes, weights, share, cap)
         .withColumn("lam", F.lit(0.0))
-        .withColumn("low", F.col("mean") * F.least(F.lit(0.0), F.log(F.col("target") / F.col("source_size"))))
+        .withColumn("low", F.col("mean") * F.least(F.lit(0.0), F.log(F.try_divide("target", "source_size"))))  # a source of no words: 0
         .withColumn("high", F.col("mean") * F.log(most))
         .withColumn("gap", F.lit(2.0))
         .na.fill(0.0, ["mean", "low", "high"])
