@@ -408,10 +408,11 @@ _LIFE = f"(SELECT *, CASE WHEN line_no = 0 OR k % 3 = 0 THEN 'session.started' E
  UNION ALL SELECT {_CODEX}, 'codex', CAST(user_id AS VARCHAR), CASE WHEN user_id % 7 <> user_id THEN {_uuid_sql(_AGENT_KEY.format(agent="codex", user="(user_id % 7)"))} END, {_uuid_sql("'/w'")},
  min(timestamp_us), max(timestamp_us) FILTER (life = 'session.ended'), CASE arg_max(life, timestamp_us) WHEN 'session.started' THEN 'active' ELSE 'ended' END, user_id % 7 <> user_id FROM {_LIFE} GROUP BY user_id""")
 def lines_to_sessions(v):
-    """Log lines of both kinds to events, to sessions with their parents and subagent flags."""
-    events = union_all([transcripts.transcript_events(_own_lines(v)), rollouts.rollout_events(_rollout_lines(v))])
-    events = dedupe.dedupe_events(events, "timestamp_us")
-    sessions = dedupe.build_sessions(events, "timestamp_us")
+    """Log lines of both kinds to the stored spine, each log parsed once, and from it to sessions with their parents and subagent flags."""
+    where = scratch(v.spark, "sessions")
+    for events in (transcripts.transcript_events(_own_lines(v)), rollouts.rollout_events(_rollout_lines(v))):
+        sinks.append_events(events, where, now_us=AS_OF)
+    events, sessions = sinks.spine_tables(v.spark, where).values()
     flags = reports.subagent_flags(sessions, hooks.project_tokens(events))
     columns = ["id", "agent_id", "external_session_id", "parent_session_id", "project_id", "started_us", "ended_us", "status", "is_subagent"]
     return sessions.join(flags, "id").select(*columns)
@@ -488,3 +489,6 @@ def export_files(v):
     where = scratch(v.spark, "export")
     sinks.export_jsonl(v.spine, where)
     return v.spark.read.text(where)
+
+
+from . import spine_queries  # noqa: E402, F401  registers its queries, with what stands above

@@ -96,13 +96,13 @@ def state_report(run) -> list[dict]:
     return out
 
 
-def reprocess(spark: SparkSession, transcripts: str | None, rollouts: str | None, sink: str, modified_after: str | None = None, patterns=(), now_us: int | None = None) -> None:
+def reprocess(spark: SparkSession, transcripts: str | None, rollouts: str | None, sink: str, modified_after: str | None = None, patterns=(), now_us: int | None = None, pattern: str = "*.jsonl") -> None:
     """Reads every log changed since a time again, whole, and appends what is missing, whatever its stored date. The sessions in these logs are noted as tried, and
     as reconciled if they have ended or their log is idle for an hour."""
     now_us = time.time_ns() // 1000 if now_us is None else now_us
     for root, read in ((transcripts, transcript_events), (rollouts, rollout_events)):
         if root:
-            _reread(spark, read_jsonl_lines(spark, root, modified_after=modified_after), read, sink, patterns, now_us)
+            _reread(spark, read_jsonl_lines(spark, root, modified_after=modified_after, pattern=pattern), read, sink, patterns, now_us)
 
 
 def _reread(spark: SparkSession, lines: DataFrame, read, sink: str, patterns, now_us: int) -> None:
