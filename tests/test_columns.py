@@ -1,5 +1,6 @@
 """Column functions on tables of cases."""
 
+import random
 import uuid
 
 import pytest
@@ -13,6 +14,14 @@ def column(spark, rows, f, kind="string"):
     return [r[0] for r in spark.createDataFrame([(i, r) for i, r in enumerate(rows)], f"i int, x {kind}").select("i", f("x").alias("y")).orderBy("i").select("y").collect()]
 
 
+def test_patterns_are_java(spark):
+    assert redact.compile_patterns("(?<word>secret)[0-9]+\n\\p{Lu}{3}") == ["(?<word>secret)[0-9]+", "\\p{Lu}{3}"]
+    assert column(spark, ["a secret12 b"], lambda c: redact.redact_custom(c, ["(?<word>secret)[0-9]+"])) == ["a [REDACTED: custom] b"]
+    for bad in ("(?P<word>x)", "[a", "x*", "(a|)"):
+        with pytest.raises(ValueError, match="pattern"):
+            redact.compile_patterns(bad)
+
+
 def test_ids_are_uuid5(spark):
     texts = ["/work/a", "", "é\u2603", "x" * 500]
     assert column(spark, texts, values.project_id) == [str(uuid.uuid5(uuid.UUID(values.NAMESPACE), t)) for t in texts]
@@ -25,6 +34,56 @@ PATHS = {
 }
 
 
+def ruled(path):
+    """The rule of path sensitivity, step by step."""
+    parts = [p for p in path.replace("\\", "/").split("/") if p]
+    if not parts:
+        return "normal"
+    name, folders = parts[-1], parts[:-1]
+    low, extension = name.lower(), name.rpartition(".")[2].lower() if "." in name else ""
+    if low in sensitivity.KEY_NAMES or extension in sensitivity.KEY_EXTENSIONS or set(folders) & set(sensitivity.KEY_FOLDERS):
+        return "highly_sensitive"
+    return "sensitive" if low in sensitivity.SECRET_NAMES or low.startswith(sensitivity.SECRET_PREFIXES) or set(folders) & set(sensitivity.SECRET_FOLDERS) else "normal"
+
+
+def ruled_words(command):
+    """The words of a command that look like sensitive paths, letter by letter."""
+    words, word, quote, begun = [], "", None, False
+    for c in command + "\n":
+        if quote:
+            quote, word = (None, word) if c == quote else (quote, word + c)
+            if quote is None:
+                continue
+        elif c in "\"'":
+            quote, begun = c, True
+        elif c in " \t\n|;&":
+            words, word, begun = words + [word], "", False
+        else:
+            word += c
+    words.append(word.removesuffix("\n") if quote else word)
+    found = []
+    for w in words:
+        w = w.strip("\"'(),")
+        if w and not w.startswith("-") and ("/" in w or "." in w) and ruled(w) != "normal" and (w, ruled(w)) not in found:
+            found.append((w, ruled(w)))
+    return found
+
+
+def test_path_rule_at_random(spark):
+    rng = random.Random(7)
+    pieces = [".env", ".ssh", ".kube", "id_rsa", "ID_RSA", "a.pem", "Credentials", "secrets", "x", ".", "/", "//", "\\", "\n", " ", "key", ".git-credentials", "gcloud", ".env.", "`"]
+    paths = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 6))) for _ in range(3000)] + [f"{p}\n" for p in pieces]
+    assert column(spark, paths, sensitivity.classify_path) == [ruled(p) for p in paths]
+
+
+def test_command_rule_at_random(spark):
+    rng = random.Random(8)
+    pieces = ["cat", " ", " ", "\t", "|", ";", "&", '"', "'", "`", "(", ")", ",", ".env", "/.ssh/x", "a.pem", "-", "x", "/", ".env.local", "\n"]
+    commands = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 9))) for _ in range(4000)]
+    got = [[tuple(w) for w in r] for r in column(spark, commands, sensitivity.named_paths)]
+    assert got == [ruled_words(c) for c in commands]
+
+
 def test_path_sensitivity(spark):
     assert column(spark, list(PATHS), sensitivity.classify_path) == list(PATHS.values())
 

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .values import _c
@@ -55,14 +54,18 @@ def redact_builtin(column) -> Column:
 
 
 def compile_patterns(text: str) -> list[str]:
-    """One Java regular expression a line; blank lines and lines that start with # are ignored. A bad one fails them all."""
+    """One Java regular expression a line; blank lines and lines that start with # are ignored. A bad one fails them all: each is tried once by Spark, which will use it."""
     found = [line.strip() for line in text.splitlines() if line.strip() and not line.strip().startswith("#")]
     if len(found) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} patterns")
     for p in found:
         if len(p.encode()) > MAX_PATTERN_BYTES:
             raise ValueError("a pattern is too long")
-        if re.compile(re.sub(r"\\p\{\w+\}", r"\\w", p)).match("") is not None:
+        try:
+            empty = SparkSession.builder.getOrCreate().range(1).select(F.lit("").rlike(p)).first()[0]
+        except PySparkException as e:
+            raise ValueError(f"the pattern {p!r} is no Java regular expression") from e
+        if empty:
             raise ValueError(f"the pattern {p!r} matches an empty text")
     return found
 

@@ -26,9 +26,9 @@ def _any(names) -> str:
     return "|".join(re.escape(n) for n in names)
 
 
-# A path's last segment is followed by slashes at most, a folder in it by a slash and more. Names are told without regard to case, folders are not.
-HIGHLY = rf"(?:^|/)(?i:{_any(KEY_NAMES)})/*$|\.(?i:{_any(KEY_EXTENSIONS)})/*$|(?:^|/)(?:{_any(KEY_FOLDERS)})/+[^/]"
-SECRET = rf"(?:^|/)(?i:{_any(SECRET_NAMES)})/*$|(?:^|/)(?i:{_any(SECRET_PREFIXES)})[^/]*/*$|(?:^|/)(?:{_any(SECRET_FOLDERS)})/+[^/]"
+# A path's last segment is followed by slashes at most, a folder in it by a slash and more; \z, as $ would also stand before a final line break. Names are told without regard to case, folders are not.
+HIGHLY = rf"(?:^|/)(?i:{_any(KEY_NAMES)})/*\z|\.(?i:{_any(KEY_EXTENSIONS)})/*\z|(?:^|/)(?:{_any(KEY_FOLDERS)})/+[^/]"
+SECRET = rf"(?:^|/)(?i:{_any(SECRET_NAMES)})/*\z|(?:^|/)(?i:{_any(SECRET_PREFIXES)})[^/]*/*\z|(?:^|/)(?:{_any(SECRET_FOLDERS)})/+[^/]"
 
 
 def classify_path(path) -> Column:
@@ -44,7 +44,7 @@ def sensitivity_rank(sensitivity) -> Column:
 def named_paths(command) -> Column:
     """The command's sensitive path-like words, once each, in order: array<struct<path, sensitivity>>."""
     tokens = F.regexp_extract_all(F.coalesce(_c(command), F.lit("")), F.lit(TOKEN), F.lit(0))
-    bare = F.transform(tokens, lambda t: F.regexp_replace(F.regexp_replace(t, r"""\"([^\"]*)\"?|'([^']*)'?""", "$1$2"), r"""^["'(),`]+|["'(),`]+$""", ""))
+    bare = F.transform(tokens, lambda t: F.regexp_replace(F.regexp_replace(t, r"""\"([^\"]*)\"?|'([^']*)'?""", "$1$2"), r"""^["'(),]+|["'(),]+\z""", ""))
     paths = F.array_distinct(F.filter(bare, lambda t: (t != "") & ~t.startswith("-") & (t.contains("/") | t.contains("."))))
     return F.filter(F.transform(paths, lambda p: F.struct(p.alias("path"), classify_path(p).alias("sensitivity"))), lambda s: s["sensitivity"] != "normal")
 

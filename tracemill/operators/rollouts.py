@@ -34,7 +34,8 @@ def _is_exec() -> Column:
 
 def _scripts() -> Column:
     """The calls in an exec script: from_json ends with the first object and ignores the script after it."""
-    tails = F.slice(F.split("p.input", r"tools\.exec_command\("), 2, 1_000_000)
+    parts = F.split("p.input", r"tools\.exec_command\(")
+    tails = F.slice(parts, 2, F.size(parts))
     return F.filter(F.transform(tails, lambda t: F.from_json(t, "cmd string, workdir string")), lambda c: c["cmd"].isNotNull())
 
 
