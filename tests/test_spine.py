@@ -220,3 +220,29 @@ def test_followed_logs_are_repaired_as_they_grow(spark, tmp_path):
     later = spark.read.parquet(f"{sink}/events").agg(F.max("created_at_us")).first()[0] + 2 * live.IDLE_US
     live.reprocess(spark, str(tmp_path / "logs"), None, sink, now_us=later)
     assert sinks.spine_tables(spark, sink)["sessions"].where(F.col("reconciled_at_us") == later).count() == 2
+
+
+# ---- gaps and ranks
+@pytest.mark.parametrize("width", [1, 7, 1000])
+def test_activity_around_gaps_does_not_depend_on_the_buckets(spark, width):
+    rng = random.Random(width)
+    events = [(rng.choice("ab"), rng.randrange(200)) for _ in range(60)] + [(None, 5), ("a", None), ("c", 3)]
+    gaps = [(rng.choice("ab"), a, a + rng.choice([0, 1, 3, 40, 90])) for a in (rng.randrange(190) for _ in range(25))] + [("a", 100, None), ("c", 4, 9), ("d", 1, 2), (None, 1, 2)]
+    got = changes.activity_around_gaps(spark.createDataFrame(gaps, "host string, paused_us long, resumed_us long"), spark.createDataFrame(events, "host string, timestamp_us long"), 150, width_us=width)
+    want = set()
+    for h, a, b in {g for g in gaps if g[0]}:
+        end, mine = 150 if b is None else b, [t for k, t in events if k == h and t is not None]
+        want.add((h, a, b, sum(a <= t < end for t in mine), max((t for t in mine if t < a), default=None), min((t for t in mine if t >= end), default=None)))
+    assert {tuple(r) for r in got.select("host", "paused_us", "resumed_us", "inside", "before_us", "after_us").collect()} == want
+
+
+def test_selected_ranks_are_those_of_a_sort(spark):
+    rng = random.Random(2)
+    rows = [(g, v) for g in ("a", "b", None, "c") for v in [rng.choice([rng.randrange(-50, 50), rng.randrange(2**20), rng.randrange(-(2**50), 2**50), None]) for _ in range(rng.randint(1, 120))]]
+    rows += [("one", 7)] * 1000 + [("none", None)]
+    got = {(r["g"], r["percent"]): r["v"] for r in reports.selected_ranks(spark.createDataFrame(rows, "g string, v long").repartition(5), ["g"], "v", (1, 50, 95, 100)).collect()}
+    want = {}
+    for g in {g for g, _ in rows}:
+        mine = sorted(v for k, v in rows if k == g and v is not None)
+        want |= {(g, p): mine[-(-p * len(mine) // 100) - 1] for p in (1, 50, 95, 100) if mine}
+    assert got == want

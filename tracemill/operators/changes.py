@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+HOUR_US = 3_600_000_000
+
 
 def transitions(df: DataFrame, partition: list[str], order: list[str], value: str, emit_first: bool = True) -> DataFrame:
     """Rows whose value differs from that of the row before; adds previous (null on the first)."""
@@ -64,3 +66,38 @@ def collection_gaps(pauses: DataFrame, host: str = "host") -> DataFrame:
     """(host, paused_us, resumed_us): each pause up to the next event of the host; null if it lasts."""
     w = Window.partitionBy(host).orderBy("timestamp_us")
     return pauses.withColumn("resumed_us", F.lead("timestamp_us").over(w)).where("kind = 'collection.paused'").select(host, F.col("timestamp_us").alias("paused_us"), "resumed_us")
+
+
+def activity_around_gaps(gaps: DataFrame, events: DataFrame, as_of_us: int, host: str = "host", width_us: int = HOUR_US) -> DataFrame:
+    """Each gap (host, paused_us, resumed_us) with the host's events inside it, the last before it and the first from its end on; a gap that lasts ends at ``as_of_us``.
+
+    Time is cut into buckets of ``width_us``. Events are summed up by host and bucket, before their one shuffle. A bucket that lies wholly inside a gap counts
+    as summed; the events of the two buckets in which a gap begins and ends are met by an equi-join on host and bucket and compared exactly. The nearest
+    events outside these are found among the sums, a row a bucket, so no task sorts a host's events. Gaps of one host may overlap; rows with a null host take no part."""
+    bucket = lambda c: F.floor(F.col(c) / F.lit(width_us))
+    end = F.coalesce("resumed_us", F.lit(as_of_us))
+    told = gaps.where(F.col(host).isNotNull() & F.col("paused_us").isNotNull()).select(F.col(host).alias("_h"), "paused_us", "resumed_us", end.alias("_end")).distinct()
+    told = told.withColumns({"_first": bucket("paused_us"), "_last": bucket("_end")})
+    seen = events.where(F.col(host).isNotNull() & F.col("timestamp_us").isNotNull()).select(F.col(host).alias("_h"), "timestamp_us").withColumn("_b", bucket("timestamp_us"))
+    sums = seen.groupBy("_h", "_b").agg(F.count("*").alias("_n"), F.min("timestamp_us").alias("_low"), F.max("timestamp_us").alias("_high"))
+    gap = ["_h", "paused_us", "resumed_us"]
+    none = F.lit(None).cast("long")
+    parts = lambda df, inside=F.lit(0), before=none, after=none: df.select(*gap, inside.cast("long").alias("inside"), before.alias("before_us"), after.alias("after_us"))
+
+    # The buckets at both ends, event by event.
+    edges = told.withColumn("_b", F.explode(F.array_distinct(F.array("_first", "_last"))))
+    at = F.col("timestamp_us")
+    near = parts(edges.join(seen, ["_h", "_b"]), ((at >= F.col("paused_us")) & (at < F.col("_end"))).cast("long"), F.when(at < F.col("paused_us"), at), F.when(at >= F.col("_end"), at))
+    # The buckets between them, by their sums.
+    between = told.where("_last - _first > 1").withColumn("_b", F.explode(F.sequence(F.col("_first") + 1, F.col("_last") - 1)))
+    whole = parts(between.join(sums, ["_h", "_b"]), F.col("_n"))
+    # The nearest sums before the first bucket and after the last, from one window over the sums and the gaps' ends.
+    asked = edges.select("_h", "_b").distinct().withColumns({"_low": none, "_high": none, "_asked": F.lit(True)})
+    both = sums.select("_h", "_b", "_low", "_high", F.lit(False).alias("_asked")).unionByName(asked)
+    order = Window.partitionBy("_h").orderBy("_b")
+    past, future = order.rangeBetween(Window.unboundedPreceding, -1), order.rangeBetween(1, Window.unboundedFollowing)
+    reach = both.withColumns({"_before": F.max("_high").over(past), "_after": F.min("_low").over(future)}).where("_asked").drop("_low", "_high", "_asked")
+    left = parts(told.join(reach, (told["_h"] == reach["_h"]) & (told["_first"] == reach["_b"])).drop(reach["_h"]), before=F.col("_before"))
+    right = parts(told.join(reach, (told["_h"] == reach["_h"]) & (told["_last"] == reach["_b"])).drop(reach["_h"]), after=F.col("_after"))
+    every = near.unionByName(whole).unionByName(left).unionByName(right)
+    return every.groupBy(*gap).agg(F.sum("inside").alias("inside"), F.max("before_us").alias("before_us"), F.min("after_us").alias("after_us")).withColumnRenamed("_h", host)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from datetime import date, datetime, timedelta
 from zoneinfo import ZoneInfo
 
@@ -98,10 +99,46 @@ def file_churn(files: DataFrame, limit: int | None = None) -> DataFrame:
     return out.orderBy(F.desc("writes"), "path").limit(limit) if limit is not None else out
 
 
-def tool_reliability(outcomes: DataFrame, approx: bool = False) -> DataFrame:
-    """Per agent and tool: calls, failures, and of the known durations the nearest-rank p50 and p95 and the maximum."""
-    rank = (lambda p: F.percentile_approx("duration_ms", p, 10_000)) if approx else (lambda p: F.expr(f"CAST(percentile_disc({p}) WITHIN GROUP (ORDER BY duration_ms) AS BIGINT)"))
-    out = outcomes.groupBy("agent_id", "tool").agg(F.count("*").alias("calls"), F.count_if("failed").alias("failures"), rank(0.5).alias("p50_ms"), rank(0.95).alias("p95_ms"), F.max("duration_ms").alias("max_ms"))
+def selected_ranks(rows: DataFrame, keys: list[str], value: str, percents: tuple[int, ...]) -> DataFrame:
+    """(keys, percent, value): of each group's known values the one of nearest rank, exactly, without a group in one buffer.
+
+    Equal values are counted before the shuffle. The rank is then sought digit by digit, 16 bits at a time: a histogram of a digit has at most 65,536 rows a group
+    (the first one as many as the values have different upper halves), its running sum tells in which row the rank falls, and only values
+    with that digit are looked at further."""
+    hist = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("long").alias("_v")).agg(F.count("*").alias("_n"))
+    names = [f"_k{i}" for i in range(len(keys))]
+    hist = hist.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], "_v", "_n")
+    total = hist.groupBy(*names).agg(F.sum("_n").alias("_all"))
+    state = total.select(*names, F.explode(F.array(*[F.lit(p) for p in percents])).alias("percent"), "_all")
+    # The nearest rank is the percent of all, rounded up.
+    state = state.select(*names, "percent", F.expr("(percent * _all + 99) div 100").alias("_rank"))
+    found: list[str] = []
+    for bits in (32, 16, 0):
+        digit = F.shiftright("_v", bits)
+        known = state.withColumnsRenamed({n: f"_s{n}" for n in (*names, *found)})
+        same = [F.col(n).eqNullSafe(F.col(f"_s{n}")) for n in names] + [F.shiftright("_v", 32 if f == "_d32" else 16) == F.col(f"_s{f}") for f in found]
+        counted = hist.join(known, reduce(lambda x, y: x & y, same)).groupBy(*names, "percent", "_rank", *[F.col(f"_s{f}").alias(f) for f in found], digit.alias(f"_d{bits}")).agg(F.sum("_n").alias("_n"))
+        upto = F.sum("_n").over(Window.partitionBy(*names, "percent").orderBy(f"_d{bits}"))
+        here = counted.withColumn("_upto", upto).where("_upto >= _rank and _upto - _n < _rank")
+        found = [f"_d{bits}"]
+        state = here.select(*names, "percent", (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank"), *found)
+    return state.select(*[F.col(n).alias(k) for n, k in zip(names, keys, strict=True)], "percent", F.col("_d0").alias(value))
+
+
+def tool_reliability(outcomes: DataFrame, approx: bool = False, by_selection: bool = False) -> DataFrame:
+    """Per agent and tool: calls, failures, and of the known durations the nearest-rank p50 and p95 and the maximum. By default a tool's different durations are
+    held in one buffer; ``by_selection`` finds the same ranks in bounded memory, ``approx`` nearly the same in one pass."""
+    sums = [F.count("*").alias("calls"), F.count_if("failed").alias("failures")]
+    most = F.max("duration_ms").alias("max_ms")
+    if by_selection:
+        keys = ["agent_id", "tool"]
+        ranks = selected_ranks(outcomes, keys, "duration_ms", (50, 95)).groupBy(F.col("agent_id").alias("_a"), F.col("tool").alias("_t"))
+        ranks = ranks.agg(*[F.max(F.when(F.col("percent") == p, F.col("duration_ms"))).alias(f"p{p}_ms") for p in (50, 95)])
+        out = outcomes.groupBy(*keys).agg(*sums, most)
+        out = out.join(ranks, F.col("agent_id").eqNullSafe(F.col("_a")) & F.col("tool").eqNullSafe(F.col("_t")), "left").select(*keys, "calls", "failures", "p50_ms", "p95_ms", "max_ms")
+    else:
+        rank = (lambda p: F.percentile_approx("duration_ms", p, 10_000)) if approx else (lambda p: F.expr(f"CAST(percentile_disc({p}) WITHIN GROUP (ORDER BY duration_ms) AS BIGINT)"))
+        out = outcomes.groupBy("agent_id", "tool").agg(*sums, rank(0.5).alias("p50_ms"), rank(0.95).alias("p95_ms"), most)
     return out.withColumn("failure_rate", share("failures", "calls"))
 
 

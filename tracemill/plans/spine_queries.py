@@ -10,7 +10,7 @@ from ..operators.transcripts import transcript_events
 from ..sources import linefiles, logs, sinks
 from ..sources.scratch import scratch
 from ..streaming import live
-from .queries import _ALL_TRANSCRIPT, _CLAUDE, _HOOKED, AS_OF, FROM, SUMS, TO, _frames, _hooked, _own_lines, query
+from .queries import _ALL_TRANSCRIPT, _CLAUDE, _HOOKED, _PAUSED, AS_OF, FROM, ORACLE_SQL, SUMS, TO, _frames, _hooked, _own_lines, _pauses, query
 
 #: When the stand-in batches are said to arrive.
 NOW = AS_OF - 90_000_000_000
@@ -181,3 +181,22 @@ _OFFSET = "CASE WHEN t < 1710054000000000 OR t >= 1730613600000000 THEN 18000000
 def tokens_by_day_clock_change(v):
     """Tokens by day in New York across a change of the clocks."""
     return tokens.tokens_by_day(v.token_usage.withColumn("timestamp_us", F.col("timestamp_us") + _SPRING), "America/New_York")
+
+
+# ---- gaps and ranks
+@query(
+    f"""SELECT g.host, g.paused_us, g.resumed_us, count(*) FILTER (s.timestamp_us >= g.paused_us AND s.timestamp_us < coalesce(g.resumed_us, {AS_OF})) AS inside,
+ max(s.timestamp_us) FILTER (s.timestamp_us < g.paused_us) AS before_us, min(s.timestamp_us) FILTER (s.timestamp_us >= coalesce(g.resumed_us, {AS_OF})) AS after_us
+ FROM (SELECT * FROM (SELECT host, kind, timestamp_us AS paused_us, lead(timestamp_us) OVER (PARTITION BY host ORDER BY timestamp_us) AS resumed_us FROM {_PAUSED}) WHERE kind = 'collection.paused') g
+ JOIN spine s ON s.session_id = g.host GROUP BY 1, 2, 3"""
+)
+def gap_activity(v):
+    """What a host did during each pause of collection and on either side of it."""
+    gaps = changes.collection_gaps(changes.pause_transitions(_pauses(v)))
+    return changes.activity_around_gaps(gaps, v.spine.select(F.col("session_id").alias("host"), "timestamp_us"), AS_OF)
+
+
+@query(ORACLE_SQL["tool_reliability"].partition("SELECT agent_id, tool, count(*)")[1] + ORACLE_SQL["tool_reliability"].partition("SELECT agent_id, tool, count(*)")[2])
+def tool_reliability_by_selection(v):
+    """The same ranks as tool_reliability, found digit by digit in bounded memory."""
+    return reports.tool_reliability(v.tool_outcomes, by_selection=True)
