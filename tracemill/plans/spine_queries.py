@@ -129,11 +129,10 @@ _REREAD = f"SELECT CASE WHEN CAST(session AS BIGINT) % 5 <> 0 THEN session END A
 
 @query(_REREAD)
 def reread_logs(v):
-    """The repairing pass over log files, twice, and once more as a stream that follows them: each event is stored once."""
+    """The repairing pass over log files, and once more as a stream that follows them: each event is stored once."""
     where = scratch(v.spark, "logs")
     _log_files(v, _own_lines(v), f"{where}/in")
-    for _ in range(2):
-        live.reprocess(v.spark, f"{where}/in", None, f"{where}/sink", now_us=NOW, pattern="*.txt")
+    live.reprocess(v.spark, f"{where}/in", None, f"{where}/sink", now_us=NOW, pattern="*.txt")
     _drained(live.follow_logs(v.spark, f"{where}/in", f"{where}/sink", f"{where}/state", read=transcript_events, available_now=True, pattern="*.txt"))
     events = v.spark.read.parquet(f"{where}/sink/events").where("kind <> 'queue'")
     return events.select(F.col("external_session_id").alias("session"), "timestamp_us", "kind")

@@ -22,6 +22,17 @@ TABLES = ("events", "token_usage", "file_events", "command_events", "command_pat
 FEW = 100_000
 
 
+def _reader(spark: SparkSession, pattern: str, modified_after: str | None):
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    return reader.option("modifiedAfter", modified_after) if modified_after else reader
+
+
+def log_files(spark: SparkSession, root: str, pattern: str = "*.jsonl", modified_after: str | None = None) -> DataFrame:
+    """(path, file, size, modified) of every file of that name below ``root``, from its listing alone; ``file`` is the path as a URI."""
+    found = _reader(spark, pattern, modified_after).format("binaryFile").load(root)
+    return found.select("path", F.col("_metadata.file_path").alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+
 def read_jsonl_lines(
     spark: SparkSession,
     root: str,
@@ -38,10 +49,7 @@ def read_jsonl_lines(
     block, with the number of lines before it, is written. The lines are read from these rows, so a large file is many tasks, no text is moved or joined, and no
     setting changes what a block holds. Where tasks cannot open the files by position (a store that only Spark reaches), Spark's own reader writes the lines once with their
     block and place, and they are numbered from that table."""
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-    if modified_after:
-        reader = reader.option("modifiedAfter", modified_after)
-    found = reader.format("binaryFile").load(root).select("path", F.col("_metadata.file_path").alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    found = log_files(spark, root, pattern, modified_after)
     if only is not None:
         found = found.join(only.select(F.col("file").alias("path")).distinct(), "path", "left_semi")
     if limit_files is not None:
@@ -49,7 +57,7 @@ def read_jsonl_lines(
     files = spark.read.schema(found.schema).parquet(_written(spark, found, "files"))
     some = files.select("path").first()
     if some is not None and not reachable(some[0]):
-        return _through_spark(reader, root, files)
+        return _through_spark(_reader(spark, pattern, modified_after), root, files)
     begin = F.col("block") * F.lit(block)
     blocks = files.where("size > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / F.lit(block)))))
     blocks = blocks.select("path", "file", "size", "modified", begin.alias("begin"), F.least(begin + F.lit(block), F.col("size")).alias("end"))

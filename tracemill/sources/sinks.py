@@ -13,8 +13,8 @@ from ..functions.values import us_to_rfc3339
 from ..operators.folds import fold_sessions, merge_folds, sessions_of
 from .scratch import scratch
 
-#: Rows of a batch up to which its ids are looked up by value; more are joined.
-FEW_IDS = 10_000
+#: Rows of a batch up to which its ids are looked up by value; more are joined. A scan takes the values as a condition as deep as there are values.
+FEW_IDS = 512
 LEDGER = "batch string, seq long, created_at_us long, offered long, added long, paused boolean"
 _SQL = threading.Lock()
 
@@ -76,9 +76,10 @@ def _holding(spark: SparkSession, path: str, ids: list[str]) -> list[str]:
 
 
 def _append(events: DataFrame, path: str, rows: int) -> None:
-    small = events.coalesce(1) if rows <= FEW_IDS else events
-    writer = small.write.mode("append").partitionBy("event_date").option("parquet.bloom.filter.enabled#id", "true")
-    writer.option("parquet.bloom.filter.expected.ndv#id", max(1000, min(rows, 1_000_000))).parquet(f"{path}/events")
+    # A date's events go to one file, or to as many as its size asks for.
+    dealt = events.coalesce(1) if rows <= FEW_IDS else events.hint("rebalance", "event_date")
+    writer = dealt.write.mode("append").partitionBy("event_date").option("parquet.bloom.filter.enabled#id", "true")
+    writer.option("parquet.bloom.filter.expected.ndv#id", max(1000, min(rows, 100_000))).parquet(f"{path}/events")
 
 
 def append_events(events: DataFrame, path: str, batch: str | None = None, now_us: int | None = None, paused: bool = False) -> None:
@@ -168,7 +169,7 @@ def compact(spark: SparkSession, path: str, first: str, last: str, files: int =
     part = F.pmod(F.xxhash64("id"), F.lit(files))
     kept = _written(spark, chosen.repartition("event_date", part), "compacted")
     writer = kept.repartition("event_date", part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date")
-    writer.option("parquet.bloom.filter.enabled#id", "true").option("parquet.bloom.filter.expected.ndv#id", 1_000_000).parquet(f"{path}/events")
+    writer.option("parquet.bloom.filter.enabled#id", "true").option("parquet.bloom.filter.expected.ndv#id", 100_000).parquet(f"{path}/events")
     for date in sorted(before - dates(kept)):  # all its events are stored under other dates
         kept.drop("event_date").limit(0).write.mode("overwrite").parquet(f"{path}/events/event_date={date}")
     if (states := _stored(spark, f"{path}/folds")) is not None:

@@ -12,7 +12,7 @@ from ..operators.hooks import normalize_hooks, redact_events
 from ..operators.rollouts import rollout_events
 from ..operators.transcripts import transcript_events
 from ..sources.linefiles import tail_lines
-from ..sources.logs import HOOK_SCHEMA, accepted_envelopes, read_jsonl_lines
+from ..sources.logs import HOOK_SCHEMA, accepted_envelopes, log_files, read_jsonl_lines
 from ..sources.scratch import scratch
 from ..sources.sinks import append_events, last_batch, mark_reconciled, spine_tables
 
@@ -102,15 +102,15 @@ def reprocess(spark: SparkSession, transcripts: str | None, rollouts: str | None
     now_us = time.time_ns() // 1000 if now_us is None else now_us
     for root, read in ((transcripts, transcript_events), (rollouts, rollout_events)):
         if root:
-            _reread(spark, read_jsonl_lines(spark, root, modified_after=modified_after, pattern=pattern), read, sink, patterns, now_us)
+            _reread(spark, log_files(spark, root, pattern, modified_after), read_jsonl_lines(spark, root, modified_after=modified_after, pattern=pattern), read, sink, patterns, now_us)
 
 
-def _reread(spark: SparkSession, lines: DataFrame, read, sink: str, patterns, now_us: int) -> None:
+def _reread(spark: SparkSession, files: DataFrame, lines: DataFrame, read, sink: str, patterns, now_us: int) -> None:
     where = scratch(spark, "reread")
     redact_events(read(lines), patterns).write.parquet(where)
     events = spark.read.parquet(where)
     append_events(events, sink, now_us=now_us)
-    changed = lines.groupBy("file").agg(F.unix_micros(F.max("modified")).alias("modified_us"))
+    changed = files.select("file", F.unix_micros("modified").alias("modified_us"))
     last = events.where("session_id is not null").select("file", F.col("session_id").alias("id")).distinct().join(changed, "file").groupBy("id").agg(F.max("modified_us").alias("modified_us"))
     if not last.isEmpty():
         known = spine_tables(spark, sink)["sessions"].select("id", "status")
@@ -127,7 +127,8 @@ def follow_logs(spark: SparkSession, root: str, sink: str, checkpoint: str, read
         batch.select("file").distinct().write.parquet(where)
         changed = batch.sparkSession.read.parquet(where)
         if not changed.isEmpty():
-            _reread(batch.sparkSession, read_jsonl_lines(batch.sparkSession, root, pattern=pattern, only=changed), read, sink, patterns, time.time_ns() // 1000)
+            lines = read_jsonl_lines(batch.sparkSession, root, pattern=pattern, only=changed)
+            _reread(batch.sparkSession, log_files(batch.sparkSession, root, pattern), lines, read, sink, patterns, time.time_ns() // 1000)
 
     writer = tail_lines(spark, root, pattern).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=trigger)).start()
