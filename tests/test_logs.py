@@ -272,6 +272,15 @@ def test_deep_paths_keep_their_repository(spark):
 
 
 def test_logs_are_read_once(spark):
-    data = lines(spark, assistant())
-    for events in (transcripts.transcript_events(data), rollouts.rollout_events(data)):
-        assert events._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    """Each line is evaluated once, also where the records are written before they are carried forward and then used for all projections."""
+    for read in (transcripts.transcript_events, rollouts.rollout_events):
+        seen = spark.sparkContext.accumulator(0)
+
+        def told(value, seen=seen):
+            seen.add(1)
+            return value
+
+        data = lines(spark, assistant(), rollout("session_meta", id="c", cwd="/w"), rollout("event_msg", type="task_started"))
+        events = read(data.withColumn("value", F.udf(told, "string").asNondeterministic()("value")))
+        assert events.count() and seen.value == 3
+    assert transcripts.transcript_events(lines(spark, assistant()))._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import scratch
+from . import trees
 
 
 def resolve_repositories(projects: DataFrame, roots: DataFrame) -> DataFrame:
@@ -79,9 +80,12 @@ def _doubled(pairs: DataFrame, jump: DataFrame) -> DataFrame:
 
 
 def in_tree(facts: DataFrame, closure: DataFrame, root=None) -> DataFrame:
-    """The facts of a root's tree; without a root those of every tree, each with its root_id."""
+    """The facts of a root's tree; without a root those of every tree, each with its root_id. ``closure`` is what ``session_descendants`` gives, a row a pair,
+    or what ``trees.tree_labels`` gives, a row a session."""
+    labels = "low" in closure.columns
     if root is not None:
-        members = closure.where(F.col("root_id") == root).select(F.col("member_id").alias("_member"))
+        found = trees.below(closure, root) if labels else closure.where(F.col("root_id") == root)
+        members = found.select(F.col("member_id").alias("_member"))
         return facts.join(members, F.col("session_id") == F.col("_member"), "left_semi").withColumn("root_id", F.lit(root))
-    members = closure.select("root_id", F.col("member_id").alias("_member"))
+    members = (trees.members(closure) if labels else closure).select("root_id", F.col("member_id").alias("_member"))
     return facts.join(members, F.col("session_id") == F.col("_member")).drop("_member")

@@ -1,7 +1,7 @@
 """Rollout logs to events.
 
-A log is parsed once: each record becomes slim columns, what it tells of its session, and an array of facts. One window by file carries the
-session, project and model in force forward; a second one, over facts of the same key, needs no further shuffle.
+A log is parsed once: each record becomes slim columns, what it tells of its session, and an array of facts, and these are written once. The
+session, project and model in force are carried forward within segments of a file, and from segment to segment by their last values, so a file of any length is many tasks.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.logs import parse_lines
+from ..sources.scratch import stored
 from .ingest import as_events, when
 
 AGENT, PROVIDER = "codex", "openai"
@@ -21,6 +22,8 @@ RECORD = (
 )
 NEEDLE = "tools.exec_command("
 STATUS = 48
+#: Lines of a file that are carried forward together.
+SEGMENT = 65_536
 
 
 #: What a fact holds beside its group, key, place in the record and whether it is a call's output.
@@ -111,8 +114,11 @@ def _calls() -> tuple[Column, Column, Column]:
     return tool, begun, answered
 
 
-def rollout_context(lines: DataFrame) -> DataFrame:
-    """The file's records: file, line_no, at_us, the facts told, and the session, project and model in force at its line."""
+def rollout_context(lines: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """The file's records: file, line_no, at_us, the facts told, and the session, project and model in force at its line.
+
+    The records are written once, so all projections made of one context read the log no further. What is in force at the start of a segment comes from the last values of the
+    segments before it, a row a segment."""
     good = parse_lines(lines, RECORD)[0].withColumn("p", F.col("r.payload"))
     good = good.select("file", "line_no", "r", "p", when(lines, F.col("r.timestamp")).alias("at_us"), F.when(_is_exec(), _scripts()).alias("scripts"))
     meta, turn = F.col("r.type") == "session_meta", F.col("r.type") == "turn_context"
@@ -126,10 +132,20 @@ def rollout_context(lines: DataFrame) -> DataFrame:
     none = F.filter(F.array(_fact("", F.lit(""))), lambda f: F.lit(False))
     facts = F.concat(*[F.coalesce(part, none) for part in (_lifecycle(), _usage(), _commands(), _writes(), *_calls())])
     slim = good.select("file", "line_no", "at_us", F.when(meta, session).alias("s"), F.when(turn, F.struct("p.model", "p.effort")).alias("t"), project.alias("c"), facts.alias("facts"))
-    upto = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    return _carried(stored(slim.withColumn("segment", F.floor(F.col("line_no") / segment)), "rollout-records"))
+
+
+def _carried(slim: DataFrame) -> DataFrame:
+    """Last values: within a segment by a window, before it by those of the segments before."""
+    lasts = slim.groupBy("file", "segment").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line_no"))).alias(c) for c in "stc"])
     last = lambda c, w: F.last(c, ignorenulls=True).over(w)
-    return slim.select("file", "line_no", "at_us", "facts", last("s", upto).alias("ctx"), last("t", upto).alias("turn"), last("c", upto).alias("project"), last("c", before).alias("project_before"))
+    earlier = Window.partitionBy("file").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    starts = lasts.select("file", "segment", *[last(c, earlier).alias(f"{c}_start") for c in "stc"])
+    within = Window.partitionBy("file", "segment").orderBy("line_no")
+    upto, before = within.rowsBetween(Window.unboundedPreceding, 0), within.rowsBetween(Window.unboundedPreceding, -1)
+    value = lambda c, w: F.coalesce(last(c, w), F.col(f"{c}_start"))
+    rows = slim.join(starts, ["file", "segment"], "left")
+    return rows.select("file", "line_no", "at_us", "facts", value("s", upto).alias("ctx"), value("t", upto).alias("turn"), value("c", upto).alias("project"), value("c", before).alias("project_before"))
 
 
 def _events(ctx: DataFrame, *groups: str) -> DataFrame:

@@ -491,4 +491,4 @@ def export_files(v):
     return v.spark.read.text(where)
 
 
-from . import spine_queries  # noqa: E402, F401  registers its queries, with what stands above
+from . import spine_queries, tree_queries  # noqa: E402, F401  register their queries, with what stands above

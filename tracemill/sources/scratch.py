@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, what: str) -> str:
@@ -18,3 +18,10 @@ def scratch(spark: SparkSession, what: str) -> str:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """Writes ``df`` once below the scratch folder and returns a scan of it, so that what follows neither computes it again nor needs the executors that did."""
+    path = scratch(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
