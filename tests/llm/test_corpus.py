@@ -506,6 +506,22 @@ def test_shards_of_many_copies(spark):
     assert len(sums) == 24 and max(sums.values()) <= 1.05 * sum(sums.values()) / 24 and min(sums.values()) >= 0.95 * sum(sums.values()) / 24
 
 
+def test_equal_rows_of_more_than_a_shard(spark):
+    """Rows equal in id and text that weigh more than a shard are dealt to several, whether whole rows are placed or only their sizes."""
+    rows = [(1, "copy of a text", "en", "s")] * 1500 + [(1, "copy of a text", "de", "s")] * 300 + [(None, None, None, None)] * 700 + [(i, f"text {i}", "en", "s") for i in range(300)]
+    docs = make(spark, rows).withColumn("tags", F.create_map(F.lit("k"), "source"))
+    full = sharding.sharded(docs, shards=4).select("row.doc_id", "row.text", "row.lang", "row.source", "size", "shard", "slot").collect()
+    assert Counter((r["doc_id"], r["text"], r["lang"], r["source"]) for r in full) == Counter(rows)
+    for placed in (full, sharding.shard_plan(docs, shards=4).collect()):
+        sums, slots = Counter(), defaultdict(list)
+        for r in placed:
+            sums[r["shard"]] += r["size"]
+            slots[r["shard"]].append(r["slot"])
+        mean = sum(sums.values()) / 4
+        assert len(sums) == 4 and len(placed) == len(rows) and max(sums.values()) <= 1.05 * mean and min(sums.values()) >= 0.95 * mean
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 # ---- the registered queries and the pipeline
 def test_pipeline_stages(spark):
     import corpus_pipeline

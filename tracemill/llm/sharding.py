@@ -10,7 +10,8 @@ A node is its first shard and its number of shards, so a leaf needs no table. Th
 computed in Spark and never collected. All levels see slim rows, which are written once a level, so every level's plan is as short as the first.
 
 Nulls: a null text has no bytes, a null dimension counts as the smallest value. Repeated rows (equal in
-id and text) share a place in every order, and go to one shard. More shards than rows leave shards
+id and text) share a place in every order, and go to one shard, unless they weigh more than a ``SLIGHT``-th of a mean shard: then each has
+a place of its own among those of its text, so that cuts fall between them. More shards than rows leave shards
 empty. An empty table gives an empty result. Other columns stay in ``row``.
 """
 
@@ -29,6 +30,8 @@ BITS, PASSES = 16, 3
 BINS = 1 << BITS
 #: Rows in one sorting group of a shard, as a mean.
 ROWS_A_BUCKET = 20_000
+#: Rows equal in id and text that weigh more than this part of a mean shard are told apart; there are at most SLIGHT such groups a shard.
+SLIGHT = 64
 
 
 def shard_count(total_bytes: int, target_bytes: int) -> int:
@@ -44,14 +47,42 @@ def _dimension(df: DataFrame, name: str):
     return F.when(F.col(name).isNull(), F.lit(-1.0)).otherwise(F.crc32(F.col(name).cast("string").cast("binary")).cast("double"))
 
 
-def prepared(docs: DataFrame, id_col="doc_id", text_col="text", dims=("n_chars", "lang", "source")) -> DataFrame:
-    """id, size, crc and one double d0, d1 ... a dimension; the texts' bytes are always one of them."""
+def _hashed(docs: DataFrame, name: str):
+    """A column as xxhash64 takes it: maps as text."""
+    return F.to_json(name) if "map<" in dict(docs.dtypes)[name] else F.col(f"`{name}`")
+
+
+def prepared(docs: DataFrame, id_col="doc_id", text_col="text", dims=("n_chars", "lang", "source"), whole: bool = True) -> DataFrame:
+    """id, size, crc and one double d0, d1 ... a dimension; the texts' bytes are always one of them. print is a hash of the row: of all its columns, or, unless
+    ``whole``, of the dimensions."""
     size = (F.coalesce(F.octet_length(text_col), F.lit(0)) + 8).cast("long")
     crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
     values = [_dimension(docs, d) for d in dims if d in docs.columns]
     # Where the dimension ties the checksum orders the rows, and where texts tie the id; 12 bits of each.
     ties = F.floor(crc / F.lit(2.0**32) * TIE) * TIE + F.floor(uniform(F.col(id_col), crc, salt=7) * TIE)
-    return docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), size.alias("size"), crc.alias("crc"), ties.cast("long").alias("ties"), *[v.alias(f"d{i}") for i, v in enumerate([size.cast("double"), *values])])
+    own = F.xxhash64(*[_hashed(docs, c) for c in docs.columns]) if whole else F.xxhash64(size, *values)
+    places = [v.alias(f"d{i}") for i, v in enumerate([size.cast("double"), *values])]
+    return docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), size.alias("size"), crc.alias("crc"), own.alias("print"), ties.cast("long").alias("ties"), *places)
+
+
+def heavy_repeats(slim: DataFrame, shards: int) -> DataFrame:
+    """(_id, _crc) of rows equal in id and text that weigh more than a ``SLIGHT``-th of a mean shard together."""
+    groups = slim.groupBy(F.col("id").alias("_id"), F.col("crc").alias("_crc")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    total = slim.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    return checkpoint(groups.where((F.col("n") > 1) & (F.col("bytes") > total / (shards * SLIGHT))).select("_id", "_crc"))
+
+
+def told_apart(rows: DataFrame, heavy: DataFrame) -> DataFrame:
+    """Gives heavy repeats places of their own. Equal rows are counted, not moved: one stands for all until they are numbered, so a hot group sends a row a task. The
+    places depend on the rows' contents and numbers alone, so the same rows in another table get the same."""
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("crc") == F.col("_crc"))
+    # At most SLIGHT groups a shard.
+    light = rows.join(F.broadcast(heavy), same, "left_anti")
+    others = [c for c in rows.columns if c not in ("id", "crc", "size", "print", "ties")]
+    counted = rows.join(F.broadcast(heavy), same, "left_semi").groupBy("id", "crc", "size", "print").agg(F.first(F.struct(*others)).alias("rest"), F.count("*").alias("n"))
+    numbered = counted.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    ties = F.floor(F.col("crc") / F.lit(2.0**32) * TIE) * TIE + F.floor(uniform("id", "crc", "print", "k", salt=7) * TIE)
+    return light.unionByName(numbered.select("id", "crc", "size", "print", ties.cast("long").alias("ties"), "rest.*"))
 
 
 def _dims(df: DataFrame) -> list[str]:
@@ -136,7 +167,7 @@ def kd_shards(slim: DataFrame, shards: int, to_place: DataFrame | None = None) -
         rows = leaves
 
     def placed(df):
-        return df.withColumnRenamed("first", "shard").drop("shards").withColumn("bucket", F.floor(uniform("id", "crc", salt=11) * buckets).cast("long"))
+        return df.withColumnRenamed("first", "shard").drop("shards").withColumn("bucket", F.floor(uniform("id", "crc", "ties", salt=11) * buckets).cast("long"))
 
     counted = placed(leaves).groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     upto = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -146,18 +177,24 @@ def kd_shards(slim: DataFrame, shards: int, to_place: DataFrame | None = None) -
     return numbered.join(offsets, ["shard", "bucket"]).withColumn("slot", (F.col("nth") - 1 + F.col("offset")).cast("long")).drop("nth", "offset", "bucket")
 
 
-def shard_plan(docs: DataFrame, shards: int | None = None, target_bytes: int = 256 << 20, **columns) -> DataFrame:
-    """id, size, crc, shard, slot of every document; the texts are read once. Without ``shards`` the leaves aim at ``target_bytes``."""
-    slim = keep(prepared(docs, **columns).drop("row"), "shard-sizes")
+def _placed(slim: DataFrame, shards: int | None, target_bytes: int, full: DataFrame | None = None) -> DataFrame:
     if shards is None:
         shards = shard_count(slim.agg(F.sum("size")).first()[0] or 0, target_bytes)
-    return kd_shards(slim, shards)
+    heavy = heavy_repeats(slim, shards)
+    if not heavy.isEmpty():
+        slim = keep(told_apart(slim, heavy), "shard-repeats")
+        full = told_apart(full, heavy) if full is not None else None
+    return kd_shards(slim, shards, full)
+
+
+def shard_plan(docs: DataFrame, shards: int | None = None, target_bytes: int = 256 << 20, **columns) -> DataFrame:
+    """id, size, crc, shard, slot of every document; the texts are read once. Without ``shards`` the leaves aim at ``target_bytes``."""
+    slim = keep(prepared(docs, whole=False, **columns).drop("row"), "shard-sizes")
+    return _placed(slim, shards, target_bytes)
 
 
 def sharded(docs: DataFrame, shards: int | None = None, target_bytes: int = 256 << 20, **columns) -> DataFrame:
     """The documents' own columns in ``row``, with shard and slot."""
     full = prepared(docs, **columns)
     slim = keep(full.drop("row"), "shard-sizes")
-    if shards is None:
-        shards = shard_count(slim.agg(F.sum("size")).first()[0] or 0, target_bytes)
-    return kd_shards(slim, shards, full).select("row", "size", "crc", "shard", "slot")
+    return _placed(slim, shards, target_bytes, full).select("row", "size", "crc", "shard", "slot")
