@@ -53,6 +53,14 @@ SECTIONS = {
 }
 _TEXT = {n: f"concat_ws('|', {', '.join(f'CAST({c} AS VARCHAR)' for c in columns)})" for n, columns in SECTIONS.items()}
 ROOT = 7
+
+
+def _list(lines) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in lines) + "]"
+
+
+_AGENT_GAPS = " ".join(f"WHEN '{agent}' THEN {_list(lines)}" for agent, lines in reports.GAPS_AGENT.items())
+_GAPS = f"list_concat(list_concat({_list([reports.GAPS_BRANCH])}, CASE agent_id {_AGENT_GAPS} ELSE [] END), {_list(reports.GAPS_ALL)})"
 _SECTION_SQL = {
     "projects": f"SELECT label, event_count, row_number() OVER (ORDER BY event_count DESC, last_seen_us DESC, label) AS place, root_id FROM (SELECT root_id, coalesce(p.repository_root, p.path) AS label, max((u.n, u.seen))[1] AS event_count, max((u.n, u.seen))[2] AS last_seen_us FROM (SELECT session_id, project_id, count(*) AS n, max(timestamp_us) AS seen FROM token_usage GROUP BY 1, 2) u JOIN projects p ON p.id = u.project_id JOIN {_TREE} t ON u.session_id = t.member_id WHERE root_id = {ROOT} GROUP BY 1, 2)",
     "tokens": _as("receipt_tokens"),
@@ -62,12 +70,13 @@ _SECTION_SQL = {
     "timeline": f"SELECT s.*, root_id FROM spine s JOIN {_TREE} t ON s.session_id = t.member_id",
     "coverage": _as("session_coverage"),
     "header": f"SELECT *, id AS root_id FROM {_S2}",
+    "gaps": f"SELECT id AS root_id, generate_subscripts(g, 1) - 1 AS place, unnest(g) AS gap FROM (SELECT id, {_GAPS} AS g FROM {_S2})",
 }
 
 
 @query(" UNION ALL ".join(f"SELECT '{n}' AS section, {_TEXT[n]} AS line FROM ({sql}) WHERE root_id = {ROOT}" for n, sql in _SECTION_SQL.items()))
 def receipt_rows(v):
-    """The rows of the sections of one session's receipt, by its tree's labels; the texts of the gaps are compared in the unit tests."""
+    """The rows of the sections of one session's receipt, by its tree's labels."""
     tables = {"sessions": _sessions(v).withColumn("git_branch", F.lit(None).cast("string")), "session_projects": dedupe.session_projects(v.token_usage), "projects": v.projects, "token_usage": v.token_usage, "file_events": v.file_events, "commands": v.commands, "references": _references(v), "spine": v.spine}
     sections = reports.session_receipt({**tables, "file_events": _files(v)}, _labels(v), ROOT)
     sections["files"] = reports.receipt_files(v.file_events, _labels(v), ROOT)
