@@ -258,6 +258,60 @@ def test_shingle_classes(spark, docs, monkeypatch, most):
         assert Counter((r[0], r[1]) for r in got) == want
 
 
+def passage_rows(n):
+    """Texts of 60 words, of which every eighth holds a passage of 20 among words of its own, and every fortieth has a near copy that holds it too; then 40 texts of another
+    passage of 45 words, which are too like one another for the order to part them, and not alike."""
+    rng = random.Random(n)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage, long, rows = [word() for _ in range(20)], [word() for _ in range(45)], []
+    for k in range(n):
+        w = [word() for _ in range(60)]
+        if k % 8 == 0:
+            w[10:30] = passage
+        rows.append(" ".join(w))
+        if k % 40 == 0:
+            w[-1] = word()
+            rows.append(" ".join(w))
+    rows += [" ".join(long + [word() for _ in range(6 + k % 9)]) for k in range(40)]
+    return [(i, t, "en", "s") for i, t in enumerate(rows)]
+
+
+def test_shared_passages_make_no_long_lists(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "SAMPLE", 0)  # a sample that misses the passage
+    monkeypatch.setattr(shingles, "BLOCK", 16)
+    seen, across = [], shingles._across
+    monkeypatch.setattr(shingles, "_across", lambda long, *rest: (seen.append(long.count()), across(long, *rest))[1])
+    dealt, lists = [], shingles._lists
+    monkeypatch.setattr(shingles, "_lists", lambda rows, *rest: (lambda found: (dealt.append(found.where("token is not null").count()), found)[1])(lists(rows, *rest)))
+    sent = []
+    for n in (400, 800):
+        rows = passage_rows(n)
+        got = {r["id"]: r["component"] for r in shingles.near_duplicates(make(spark, rows)).collect()}
+        found = [(i, shingle_set(t)) for i, t, _, _ in rows]
+        assert got == dict(zip((i for i, _ in found), slow_classes(found, alike), strict=True))
+        sent.append(sum(seen))
+        assert dealt[0] > n // 8  # the first lists hold the passage
+        # Of the texts with the first passage none is left in a long list; the forty of the second are, in up to ten.
+        assert dealt[1] <= 40 * 12
+        seen.clear()
+        dealt.clear()
+    assert sent[1] <= 40 * 12
+
+
+def test_sizes_part_long_lists(spark, monkeypatch):
+    """Sets of one long list and of many sizes, small steps of which are alike."""
+    monkeypatch.setattr(shingles, "SAMPLE", 0)
+    monkeypatch.setattr(shingles, "BLOCK", 4)
+    monkeypatch.setattr(shingles.joined, "__defaults__", (shingles.LEAST, 2))
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(300)]
+    rows = [(k, " ".join(base[: rng.randint(5, 300)] + [word() for _ in range(rng.choice([0, 0, 2, 20]))]), "en", "s") for k in range(70)]
+    found = [(i, shingle_set(t)) for i, t, _, _ in rows]
+    got = {r["id"]: r["component"] for r in shingles.near_duplicates(make(spark, rows)).collect()}
+    assert got == dict(zip((i for i, _ in found), slow_classes(found, alike), strict=True))
+
+
 def test_pipeline_links_texts_with_changed_words(spark):
     import corpus_pipeline
 
