@@ -114,3 +114,21 @@ def test_a_growing_file_arrives_once(spark, folder, tmp_path):
     rows = drain().where("file like '%one.jsonl'")
     assert rows.count() == 3002 and rows.select("at").distinct().count() == 3002
     assert rows.where("value = '{\"n\": 3001}'").count() == 1
+
+
+def test_many_small_files_share_tasks(spark, tmp_path):
+    rows = spark.range(6000).selectExpr("CAST(id % 300 AS STRING) AS file", "id DIV 300 AS line_no", "CAST(id AS STRING) AS value")
+    linefiles.write_logs(rows, str(tmp_path), "CAST(file AS INT) % 3")
+    assert len(list(tmp_path.glob("*/*.txt"))) == 300 and (tmp_path / "1" / "7.txt").read_text().split() == [str(7 + 300 * k) for k in range(20)]
+    lines = logs.read_jsonl_lines(spark, str(tmp_path), pattern="*.txt")
+    assert lines.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    got = {(r["file"].rsplit("/", 1)[1], r["line_no"], r["value"]) for r in lines.collect()}
+    assert got == {(f"{i % 300}.txt", i // 300, str(i)) for i in range(6000)}
+    assert logs.read_tasks(90_000, 2 << 30, 32 << 20, 48) == 64 and logs.read_tasks(3, 3, 1, 48) == 3 and logs.read_tasks(0, 0, 1, 48) == 1
+
+
+def test_a_stream_of_names_reads_no_text(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("1\n2\n")
+    (tmp_path / "b.jsonl").write_text("unfinished")
+    got = linefiles.tail_lines(spark, str(tmp_path), streaming=False, names=True).collect()
+    assert [(r["file"].rsplit("/", 1)[1], r["at"], r["value"]) for r in got] == [("a.jsonl", 0, None)]

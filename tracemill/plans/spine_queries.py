@@ -120,10 +120,6 @@ def stream_pause(v):
 
 
 # ---- logs as files
-def _log_files(v, lines, where: str) -> None:
-    lines.repartition(4, "file").sortWithinPartitions("file", "line_no").select(F.col("file").alias("log"), "value").write.mode("append").partitionBy("log").text(where)
-
-
 _REREAD = f"SELECT CASE WHEN CAST(session AS BIGINT) % 5 <> 0 THEN session END AS session, timestamp_us, kind FROM ({_ALL_TRANSCRIPT}) WHERE kind <> 'queue'"
 
 
@@ -131,7 +127,8 @@ _REREAD = f"SELECT CASE WHEN CAST(session AS BIGINT) % 5 <> 0 THEN session END A
 def reread_logs(v):
     """The repairing pass over log files, and once more as a stream that follows them: each event is stored once."""
     where = scratch(v.spark, "logs")
-    _log_files(v, _own_lines(v), f"{where}/in")
+    # As agents lay them out: a folder a project, a file a session.
+    linefiles.write_logs(_own_lines(v), f"{where}/in", "CAST(file AS BIGINT) % 20")
     live.reprocess(v.spark, f"{where}/in", None, f"{where}/sink", now_us=NOW, pattern="*.txt")
     _drained(live.follow_logs(v.spark, f"{where}/in", f"{where}/sink", f"{where}/state", read=transcript_events, available_now=True, pattern="*.txt"))
     events = v.spark.read.parquet(f"{where}/sink/events").where("kind <> 'queue'")

@@ -101,6 +101,43 @@ def count_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], [*batch.schema.names, "n"])
 
 
+def has_break(source, begin: int, end: int) -> bool:
+    """Whether a line ends in [begin, end)."""
+    source.seek(begin)
+    while begin < end and (chunk := source.read(min(CHUNK, end - begin))):
+        if b"\n" in chunk:
+            return True
+        begin += len(chunk)
+    return False
+
+
+def write_logs(lines, root: str, folder: str, suffix: str = ".txt") -> None:
+    """Writes the rows (file, line_no, value) as one file a log, ``root/<folder>/<file><suffix>``, where ``folder`` is an expression; a task writes many logs. Doing a task again writes the same files again."""
+    dealt = lines.selectExpr(f"CAST({folder} AS STRING) AS folder", "CAST(file AS STRING) AS file", "line_no", "value").repartition("file").sortWithinPartitions("file", "line_no")
+    dealt.mapInArrow(_log_writer(root, suffix), "logs long").write.format("noop").mode("overwrite").save()
+
+
+def _log_writer(root: str, suffix: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, top = store(root)
+        name, out, logs = None, None, 0
+        try:
+            for batch in batches:
+                for folder, file, value in zip(*(batch.column(c).to_pylist() for c in ("folder", "file", "value")), strict=True):
+                    if (folder, file) != name:
+                        if out is not None:
+                            out.close()
+                        where.create_dir(f"{top}/{folder}", recursive=True)
+                        name, out, logs = (folder, file), where.open_output_stream(f"{top}/{folder}/{file}{suffix}"), logs + 1
+                    out.write((value or "").encode("utf-8", "surrogatepass") + b"\n")
+        finally:
+            if out is not None:
+                out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([logs], pa.int64())], ["logs"])
+
+    return run
+
+
 def _text(lines: list[bytes]) -> pa.Array:
     return pa.array([line.decode("utf-8", "replace") for line in lines], pa.string())
 
@@ -153,7 +190,9 @@ def _dealt(ranges: Iterator[tuple[str, int, int]], block: int) -> list[Ranges]:
 
 
 class TailSource(DataSource):
-    """``spark.readStream.format("tracemill_tail").option("pattern", "*.jsonl").load(root)``, or ``spark.read``: (file, at, value), one row a line that has its break."""
+    """``spark.readStream.format("tracemill_tail").option("pattern", "*.jsonl").load(root)``, or ``spark.read``: (file, at, value), one row a line that has its break.
+
+    With the option ``names`` true, one row without a value for each block of a file in which a line ends: what changed, and no text."""
 
     @classmethod
     def name(cls) -> str:
@@ -172,6 +211,7 @@ class TailSource(DataSource):
 class _Files:
     def __init__(self, options) -> None:
         self.root, self.pattern, self.block = options["path"], options.get("pattern", "*.jsonl"), int(options.get("block", BLOCK))
+        self.names = options.get("names", "false").lower() == "true"
 
     def sizes(self) -> dict[str, int]:
         where, top = store(self.root)
@@ -184,6 +224,10 @@ class _Files:
         for path, begin, end in partition.ranges:
             where, name = store(path)
             with where.open_input_file(name) as source:
+                if self.names:
+                    if has_break(source, begin, end):
+                        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([begin], pa.int64()), pa.nulls(1, pa.string())], ["file", "at", "value"])
+                    continue
                 for lines in _grouped(lines_of(source, begin, end, False)):
                     yield pa.RecordBatch.from_arrays([pa.array([path] * len(lines), pa.string()), pa.array([at for at, _ in lines], pa.int64()), _text([v for _, v in lines])], ["file", "at", "value"])
 
@@ -209,7 +253,8 @@ class _Tail(_Files, DataSourceStreamReader):
         """Files stay where they are."""
 
 
-def tail_lines(spark, root: str, pattern: str = "*.jsonl", streaming: bool = True, block: int = BLOCK):
-    """(file, at, value): the complete lines of all files of that name below ``root``; on a stream each once, as it is completed. ``at`` is the line's first byte in its file."""
+def tail_lines(spark, root: str, pattern: str = "*.jsonl", streaming: bool = True, block: int = BLOCK, names: bool = False):
+    """(file, at, value): the complete lines of all files of that name below ``root``; on a stream each once, as it is completed. ``at`` is the line's first byte in its file.
+    With ``names`` only what blocks of which files got complete lines."""
     spark.dataSource.register(TailSource)
-    return (spark.readStream if streaming else spark.read).format(TailSource.name()).option("pattern", pattern).option("block", block).load(root)
+    return (spark.readStream if streaming else spark.read).format(TailSource.name()).option("pattern", pattern).option("block", block).option("names", names).load(root)

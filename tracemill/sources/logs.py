@@ -41,33 +41,41 @@ def read_jsonl_lines(
     pattern: str = "*.jsonl",
     only: DataFrame | None = None,
     block: int = BLOCK,
+    files: DataFrame | None = None,
 ) -> DataFrame:
     """(file, line_no, value, modified) of every file of that name below ``root``; lines are numbered from 0 in file order. Only the first
-    ``limit_files`` in path order, and only those whose paths ``only`` holds in its column file, if given.
+    ``limit_files`` in path order, and only those whose paths ``only`` holds in its column file, if given. ``files`` is a listing that ``log_files`` gave and that is stored, so that none is made anew.
 
-    Files are listed once, with their sizes; what is appended later is not read. A first pass counts the lines of each block of bytes, and a row a
+    Files are listed once, with their sizes; what is appended later is not read. A first pass counts the lines of each block of bytes of the files that have several, and a row a
     block, with the number of lines before it, is written. The lines are read from these rows, so a large file is many tasks, no text is moved or joined, and no
-    setting changes what a block holds. Where tasks cannot open the files by position (a store that only Spark reaches), Spark's own reader writes the lines once with their
+    setting changes what a block holds. A task reads some ``block`` bytes: one block of a large file, or many small files. Where tasks cannot open the files by position (a store that only Spark reaches), Spark's own reader writes the lines once with their
     block and place, and they are numbered from that table."""
-    found = log_files(spark, root, pattern, modified_after)
-    if only is not None:
-        found = found.join(only.select(F.col("file").alias("path")).distinct(), "path", "left_semi")
-    if limit_files is not None:
-        found = found.orderBy("file").limit(limit_files)
-    files = spark.read.schema(found.schema).parquet(_written(spark, found, "files"))
+    if files is None or only is not None or limit_files is not None:
+        found = log_files(spark, root, pattern, modified_after) if files is None else files
+        if only is not None:
+            found = found.join(only.select(F.col("file").alias("path")).distinct(), "path", "left_semi")
+        if limit_files is not None:
+            found = found.orderBy("file").limit(limit_files)
+        files = spark.read.schema(found.schema).parquet(_written(spark, found, "files"))
     some = files.select("path").first()
     if some is not None and not reachable(some[0]):
         return _through_spark(_reader(spark, pattern, modified_after), root, files)
     begin = F.col("block") * F.lit(block)
     blocks = files.where("size > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / F.lit(block)))))
     blocks = blocks.select("path", "file", "size", "modified", begin.alias("begin"), F.least(begin + F.lit(block), F.col("size")).alias("end"))
-    tasks = 4 * spark.sparkContext.defaultParallelism
-    counted = blocks.repartition(tasks).mapInArrow(count_blocks, "path string, file string, size long, modified timestamp, begin long, end long, n long")
+    cores = 4 * spark.sparkContext.defaultParallelism
+    counted = blocks.where(F.col("size") > block).repartition(cores).mapInArrow(count_blocks, "path string, file string, size long, modified timestamp, begin long, end long, n long")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    known = _written(spark, counted.withColumn("before", before).where("n > 0"), "blocks")
-    # One row a task, as far as there are rows: a block is work of seconds, and its row a few bytes.
-    rows = spark.read.parquet(known)
-    return rows.repartition(min(max(1, rows.count()), 100_000)).mapInArrow(read_blocks, "file string, line_no long, value string, modified timestamp")
+    several = counted.withColumn("before", before).where("n > 0").drop("n")
+    single = blocks.where(F.col("size") <= block).withColumn("before", F.lit(0).cast("long"))
+    rows = spark.read.parquet(_written(spark, several.unionByName(single), "blocks"))
+    told = rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.col("end") - F.col("begin")), F.lit(0)).alias("bytes")).first()
+    return rows.repartition(read_tasks(told["rows"], told["bytes"], block, cores)).mapInArrow(read_blocks, "file string, line_no long, value string, modified timestamp")
+
+
+def read_tasks(rows: int, size: int, block: int, cores: int) -> int:
+    """How many tasks read so many blocks of so many bytes together: one a block's bytes, a few a core where there is less, and at most one a row."""
+    return max(1, min(rows, max(cores, -(-size // block)), 100_000))
 
 
 def _written(spark: SparkSession, df: DataFrame, what: str) -> str:

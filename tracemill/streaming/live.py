@@ -13,7 +13,7 @@ from ..operators.rollouts import rollout_events
 from ..operators.transcripts import transcript_events
 from ..sources.linefiles import tail_lines
 from ..sources.logs import HOOK_SCHEMA, accepted_envelopes, log_files, read_jsonl_lines
-from ..sources.scratch import scratch
+from ..sources.scratch import scratch, stored
 from ..sources.sinks import append_events, last_batch, mark_reconciled, spine_tables
 
 #: Who tells of pauses.
@@ -102,7 +102,8 @@ def reprocess(spark: SparkSession, transcripts: str | None, rollouts: str | None
     now_us = time.time_ns() // 1000 if now_us is None else now_us
     for root, read in ((transcripts, transcript_events), (rollouts, rollout_events)):
         if root:
-            _reread(spark, log_files(spark, root, pattern, modified_after), read_jsonl_lines(spark, root, modified_after=modified_after, pattern=pattern), read, sink, patterns, now_us)
+            files = stored(log_files(spark, root, pattern, modified_after), "files")
+            _reread(spark, files, read_jsonl_lines(spark, root, modified_after=modified_after, pattern=pattern, files=files), read, sink, patterns, now_us)
 
 
 def _reread(spark: SparkSession, files: DataFrame, lines: DataFrame, read, sink: str, patterns, now_us: int) -> None:
@@ -127,10 +128,11 @@ def follow_logs(spark: SparkSession, root: str, sink: str, checkpoint: str, read
         batch.select("file").distinct().write.parquet(where)
         changed = batch.sparkSession.read.parquet(where)
         if not changed.isEmpty():
-            lines = read_jsonl_lines(batch.sparkSession, root, pattern=pattern, only=changed)
-            _reread(batch.sparkSession, log_files(batch.sparkSession, root, pattern), lines, read, sink, patterns, time.time_ns() // 1000)
+            files = stored(log_files(batch.sparkSession, root, pattern).join(changed.withColumnRenamed("file", "path"), "path", "left_semi"), "files")
+            lines = read_jsonl_lines(batch.sparkSession, root, pattern=pattern, files=files)
+            _reread(batch.sparkSession, files, lines, read, sink, patterns, time.time_ns() // 1000)
 
-    writer = tail_lines(spark, root, pattern).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = tail_lines(spark, root, pattern, names=True).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=trigger)).start()
 
 
