@@ -132,3 +132,12 @@ def test_a_stream_of_names_reads_no_text(spark, tmp_path):
     (tmp_path / "b.jsonl").write_text("unfinished")
     got = linefiles.tail_lines(spark, str(tmp_path), streaming=False, names=True).collect()
     assert [(r["file"].rsplit("/", 1)[1], r["at"], r["value"]) for r in got] == [("a.jsonl", 0, None)]
+
+
+def test_small_blocks_make_no_more_tasks_than_bytes_ask_for():
+    for size in (10**6, 10**8, 10**9, 10**11):
+        dealt = linefiles._dealt([("a", 5, size), ("b", 0, size), ("c", 0, 0)], 10_000)
+        assert len(dealt) <= max(linefiles.TASKS + 2, 2 * size // linefiles.BLOCK * 1.01 + 2)
+        for name in "ab":
+            parts = [r[1:] for d in dealt for r in d.ranges if r[0] == name]
+            assert parts[0][0] == (5 if name == "a" else 0) and parts[-1][1] == size and all(x[1] == y[0] for x, y in zip(parts, parts[1:]))

@@ -174,8 +174,14 @@ class Ranges(InputPartition):
     ranges: list[tuple[str, int, int]]
 
 
+#: Tasks of a batch from which on blocks grow, up to BLOCK bytes.
+TASKS = 256
+
+
 def _dealt(ranges: Iterator[tuple[str, int, int]], block: int) -> list[Ranges]:
-    """Small files share a task; a large one is cut at multiples of ``block``."""
+    """Small files share a task; a large one is cut at multiples of ``block``, or of as many blocks as make ``TASKS`` tasks of all bytes, as long as these are at most ``BLOCK`` bytes."""
+    ranges = list(ranges)
+    block = max(block, min(BLOCK, -(-sum(max(0, end - begin) for _, begin, end in ranges) // (TASKS * block)) * block))
     out, held, size = [], [], 0
     for path, begin, end in ranges:
         while begin < end:
