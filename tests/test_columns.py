@@ -152,3 +152,10 @@ def test_fingerprints_ignore_key_order(spark):
     rows = [('{"b":1,"a":{"d":[2,1],"c":null}}',), ('{"a": {"c": null, "d": [2, 1]}, "b": 1}',), ('{"a":{"c":null,"d":[1,2]},"b":1}',), (None,), ("broken",)]
     got = changes.config_fingerprint(spark.createDataFrame(rows, "hooks_json string")).select("fingerprint", "hooks_present").collect()
     assert got[0] == got[1] != got[2] and got[3] == got[4] and [r[1] for r in got] == [True, True, True, False, False]
+
+
+def test_redaction_and_ids_compute_what_they_share_once(spark):
+    frame = spark.range(1).select(F.concat(F.lit("run --token "), "id").alias("c"))
+    plan = frame.select(redact.redacted("c", ["ACME-[A-Z0-9]{8}"]).alias("r"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(redact.BEARER) == 1 and plan.count("(?U)\\s+") == 1
+    assert frame.select(values.uuid5("c").alias("u"))._jdf.queryExecution().optimizedPlan().toString().count("sha1(") == 1

@@ -6,7 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .values import _c
+from .values import _c, held
 
 MARK, CUSTOM_MARK = "[REDACTED]", "[REDACTED: custom]"
 HEADER_MARK = "[REDACTED: credential header]"
@@ -35,17 +35,20 @@ def _structural(text: Column) -> Column:
     """Hides the value after the name of a secret, whether it is the next word or stands after an equals sign. Matches are
     taken from left to right, so a value is never read as a name. Then the passwords and queries of urls."""
     spaced = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
-    hidden = F.regexp_replace(spaced, _ASSIGNED, r"$1$2\[REDACTED\]")
 
     def url(word):
         safe = F.regexp_replace(word, r"^(.*?://[^/?#:]*:)[^/?#]*(@[^/?#@]*)(?=[/?#]|$)", r"$1\[REDACTED\]$2")
         return F.when(word.contains("://"), F.regexp_replace(safe, QUERY_SECRET, r"$1\[REDACTED\]")).otherwise(word)
 
-    return F.when(hidden.contains("://"), F.array_join(F.transform(F.split(hidden, " "), url), " ")).otherwise(hidden)
+    urls = lambda hidden: F.when(hidden.contains("://"), F.array_join(F.transform(F.split(hidden, " "), url), " ")).otherwise(hidden)
+    return held(F.regexp_replace(spaced, _ASSIGNED, r"$1$2\[REDACTED\]"), urls)
 
 
 def redact_builtin(column) -> Column:
-    text = _c(column)
+    return held(_c(column), _builtin)
+
+
+def _builtin(text: Column) -> Column:
     lower = F.lower(text)
     hidden = F.regexp_replace(_structural(text), BEARER, r"Bearer \[REDACTED\]")
     hidden = F.regexp_replace(hidden, KEY_SHAPES, r"\[REDACTED\]")
@@ -82,8 +85,11 @@ def redact_custom(column, patterns) -> Column:
             piece = F.regexp_replace(piece, p, r"\[REDACTED: custom\]")
         return piece
 
-    between = F.transform(F.split(text, marks), clean)
-    return F.array_join(F.zip_with(between, F.regexp_extract_all(text, F.lit(marks), F.lit(0)), lambda a, m: F.concat(a, F.coalesce(m, F.lit("")))), "")
+    def apart(text):
+        between = F.transform(F.split(text, marks), clean)
+        return F.array_join(F.zip_with(between, F.regexp_extract_all(text, F.lit(marks), F.lit(0)), lambda a, m: F.concat(a, F.coalesce(m, F.lit("")))), "")
+
+    return held(text, apart)
 
 
 def redacted(column, patterns=()) -> Column:

@@ -16,13 +16,20 @@ def _c(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def held(value, use) -> Column:
+    """``use`` of a value that is computed once a row, however often ``use`` names it. Inside branches Spark would compute it each time."""
+    return F.transform(F.array(_c(value)), use)[0]
+
+
 def uuid5(name, namespace: str = NAMESPACE) -> Column:
     """UUID version 5 of a text, in lower case with hyphens; null for null."""
-    digest = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(_c(name), "UTF-8")))
-    variant = F.substring(F.lit("89ab"), (F.conv(F.substring(digest, 17, 1), 16, 10).cast("int") % 4) + 1, F.lit(1))
-    third, fourth = F.concat(F.lit("5"), F.substring(digest, 14, 3)), F.concat(variant, F.substring(digest, 18, 3))
-    # concat_ws alone would give '' for a null.
-    return F.when(digest.isNotNull(), F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), third, fourth, F.substring(digest, 21, 12)))
+    def shown(digest):
+        variant = F.substring(F.lit("89ab"), (F.conv(F.substring(digest, 17, 1), 16, 10).cast("int") % 4) + 1, F.lit(1))
+        third, fourth = F.concat(F.lit("5"), F.substring(digest, 14, 3)), F.concat(variant, F.substring(digest, 18, 3))
+        # concat_ws alone would give '' for a null.
+        return F.when(digest.isNotNull(), F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), third, fourth, F.substring(digest, 21, 12)))
+
+    return held(F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(_c(name), "UTF-8"))), shown)
 
 
 def event_id(agent, key) -> Column:

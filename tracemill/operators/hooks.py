@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.redact import redacted
 from ..functions.sensitivity import classify_path, scan_commands, worst_in_command
+from ..functions.values import held
 from .ingest import as_events, classify_tool_call
 
 
@@ -46,7 +47,7 @@ def normalize_hooks(envelopes: DataFrame) -> DataFrame:
 def redact_events(events: DataFrame, patterns=()) -> DataFrame:
     """Redacts the command in command events."""
     own = F.from_json("payload", "command string, description string")
-    clean = F.to_json(F.struct(redacted(own["command"], patterns).alias("command"), own["description"].alias("description")))
+    clean = held(own, lambda told: F.to_json(F.struct(redacted(told["command"], patterns).alias("command"), told["description"].alias("description"))))
     return events.withColumn("payload", F.when(F.col("kind") == "command", clean).otherwise(F.col("payload")))
 
 
