@@ -320,6 +320,15 @@ def test_pipeline_links_texts_with_changed_words(spark):
     assert sorted(r["doc_id"] for r in left) == sorted(set(slow_classes(rows, alike)))
 
 
+def test_pipeline_links_what_only_fingerprints_link(spark):
+    import corpus_pipeline
+
+    same = "red green blue " * 50
+    rows = [(0, same, "en", "s"), (1, same + "quite other", "en", "s"), (2, "something else stands here now", "en", "s")]
+    assert len({r["component"] for r in shingles.near_duplicates(make(spark, rows)).collect()}) == 3
+    assert sorted(r["doc_id"] for r in corpus_pipeline.without_near_duplicates(spark, make(spark, rows), "").collect()) == [0, 2]
+
+
 def test_shingles_of_nothing(empty):
     assert shingles.near_duplicates(empty).count() == 0 and simhash.one_of_each(empty, grouped=shingles.near_duplicates).count() == 0
 
