@@ -8,7 +8,7 @@ from ..functions import values
 from ..operators import changes, hooks, reports, tokens
 from ..operators.transcripts import transcript_events
 from ..sources import linefiles, logs, sinks
-from ..sources.scratch import scratch
+from ..sources.scratch import scratch, stored
 from ..streaming import live
 from .queries import _ALL_TRANSCRIPT, _CLAUDE, _HOOKED, _PAUSED, AS_OF, FROM, ORACLE_SQL, SUMS, TO, _frames, _hooked, _own_lines, _pauses, query
 
@@ -21,9 +21,11 @@ DAY = 86_400_000_000
 def _spine(v):
     """Frames in three batches: a third of them, all, and half once more; two thirds of the sessions were read again, and one third is complete."""
     where = scratch(v.spark, "spine")
-    frames = _frames(v).withColumn("_k", F.pmod(F.col("sent_at"), F.lit(6)))
-    for k, part in enumerate(("_k < 2", "true", "_k > 2")):
-        sinks.append_events(live.stream_events(logs.accepted_envelopes(frames.where(part).drop("_k"))), where, f"batch {k}", now_us=NOW + k)
+    # The events of all frames are written once, and the batches are parts of them.
+    events = stored(live.stream_events(logs.accepted_envelopes(_frames(v).repartition(4 * v.spark.sparkContext.defaultParallelism))), "frames")
+    at = F.pmod(F.col("timestamp_us"), F.lit(6))
+    for k, part in enumerate((at < 2, F.lit(True), at > 2)):
+        sinks.append_events(events.where(part), where, f"batch {k}", now_us=NOW + k)
     user = F.col("external_session_id").cast("long")
     sessions = sinks.spine_tables(v.spark, where)["sessions"].where(user % 3 < 2)
     sinks.mark_reconciled(sessions, where, NOW, user % 3 == 0)
