@@ -159,3 +159,15 @@ def test_redaction_and_ids_compute_what_they_share_once(spark):
     plan = frame.select(redact.redacted("c", ["ACME-[A-Z0-9]{8}"]).alias("r"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(redact.BEARER) == 1 and plan.count("(?U)\\s+") == 1
     assert frame.select(values.uuid5("c").alias("u"))._jdf.queryExecution().optimizedPlan().toString().count("sha1(") == 1
+
+
+def test_sessions_and_projects_have_ids_in_generated_code(spark):
+    """As columns of their own they need no lambda, which Spark interprets row by row; the ids are those of a held digest."""
+    from tracemill.functions import values
+
+    frame = spark.createDataFrame([("claude-code", "s1", "/w"), ("codex", None, None)], "a string, s string, p string")
+    ids = frame.select(values.session_id("a", "s").alias("s"), values.project_id("p").alias("p"))
+    assert "lambda" not in ids._jdf.queryExecution().optimizedPlan().toString()
+    held = frame.select(values.uuid5(F.concat("a", F.lit("\x1f"), "s")).alias("s"), values.uuid5("p").alias("p"))
+    want = str(uuid.uuid5(uuid.UUID(values.NAMESPACE), "claude-code\x1fs1")), str(uuid.uuid5(uuid.UUID(values.NAMESPACE), "/w"))
+    assert [tuple(r) for r in ids.collect()] == [tuple(r) for r in held.collect()] == [want, (None, None)]

@@ -21,27 +21,30 @@ def held(value, use) -> Column:
     return F.transform(F.array(_c(value)), use)[0]
 
 
-def uuid5(name, namespace: str = NAMESPACE) -> Column:
-    """UUID version 5 of a text, in lower case with hyphens; null for null."""
+def uuid5(name, namespace: str = NAMESPACE, hold: bool = True) -> Column:
+    """UUID version 5 of a text, in lower case with hyphens; null for null. Its digest is named several times. It is held, so that branches do not compute it each time; a column of its
+    own needs no ``hold``, as Spark computes the digest once there, and in generated code."""
+    dash = F.lit("-")
+
     def shown(digest):
-        variant = F.substring(F.lit("89ab"), (F.conv(F.substring(digest, 17, 1), 16, 10).cast("int") % 4) + 1, F.lit(1))
-        third, fourth = F.concat(F.lit("5"), F.substring(digest, 14, 3)), F.concat(variant, F.substring(digest, 18, 3))
-        # concat_ws alone would give '' for a null.
-        return F.when(digest.isNotNull(), F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), third, fourth, F.substring(digest, 21, 12)))
+        variant = F.translate(F.substring(digest, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+        return F.concat(F.substring(digest, 1, 8), dash, F.substring(digest, 9, 4), F.lit("-5"), F.substring(digest, 14, 3), dash, variant, F.substring(digest, 18, 3), dash, F.substring(digest, 21, 12))
 
-    return held(F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(_c(name), "UTF-8"))), shown)
+    digest = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), _c(name).cast("string").cast("binary")))
+    return held(digest, shown) if hold else shown(digest)
 
 
 def event_id(agent, key) -> Column:
+    # Held, which also keeps the wide projections of events out of one generated method that would be too long to be compiled.
     return uuid5(F.concat(_c(agent), F.lit("\x1f"), _c(key)))
 
 
 def session_id(agent, external) -> Column:
-    return uuid5(F.concat(_c(agent), F.lit("\x1f"), _c(external)))
+    return uuid5(F.concat(_c(agent), F.lit("\x1f"), _c(external)), hold=False)
 
 
 def project_id(path) -> Column:
-    return uuid5(path)
+    return uuid5(path, hold=False)
 
 
 def rfc3339_to_us(text) -> Column:
