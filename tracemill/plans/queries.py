@@ -343,6 +343,13 @@ def _frames(v):
     )
 
 
+def _arrive(frames, where) -> int:
+    """Writes frames as JSON files, several a core; returns how many files are half of them."""
+    files = 4 * frames.sparkSession.sparkContext.defaultParallelism
+    frames.repartition(files).write.mode("append").json(where)
+    return files // 2
+
+
 _HOOKED = "SELECT CAST(user_id AS VARCHAR) AS session, timestamp_us, CASE event_type WHEN 'view' THEN 'command' WHEN 'click' THEN 'prompt' WHEN 'purchase' THEN 'turn.ended' WHEN 'signup' THEN 'session.started' ELSE 'unknown' END AS kind, CASE event_type WHEN 'view' THEN 'run --token [REDACTED]' WHEN 'click' THEN '13 chars' WHEN 'error' THEN 'Surprise' ELSE '' END AS detail FROM ev WHERE k <> 5"
 _hooked = lambda events: events.select(F.col("external_session_id").alias("session"), "timestamp_us", "kind", values.event_detail("kind", "payload").alias("detail"))
 query(_HOOKED, "normalize_hooks")(lambda v: _hooked(live.stream_events(logs.accepted_envelopes(_frames(v)))))
@@ -353,8 +360,8 @@ query("SELECT count(*) AS rejected FROM ev WHERE k = 5", "rejected_envelopes")(l
 def stream_hooks(v):
     """The same frames as files, read by a stream until none is left, appended batch by batch."""
     where = scratch(v.spark, "hooks")
-    _frames(v).repartition(4).write.json(f"{where}/in")
-    run = live.start_stream(live.stream_events(live.hook_stream(v.spark, f"{where}/in", 2)), f"{where}/sink", f"{where}/state", available_now=True)
+    half = _arrive(_frames(v), f"{where}/in")
+    run = live.start_stream(live.stream_events(live.hook_stream(v.spark, f"{where}/in", half)), f"{where}/sink", f"{where}/state", available_now=True)
     run.awaitTermination()
     return _hooked(v.spark.read.parquet(f"{where}/sink/events"))
 
