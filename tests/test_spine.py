@@ -246,3 +246,33 @@ def test_selected_ranks_are_those_of_a_sort(spark):
         mine = sorted(v for k, v in rows if k == g and v is not None)
         want |= {(g, p): mine[-(-p * len(mine) // 100) - 1] for p in (1, 50, 95, 100) if mine}
     assert got == want
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_large_batches_move_only_their_ids(spark, tmp_path, monkeypatch, few):
+    """Rows are written once where no id comes again; what is stored or comes again leaves, rows without an id are one, and the parents that repeats tell are kept."""
+    monkeypatch.setattr(sinks, "FEW_IDS", 4)
+    monkeypatch.setattr(sinks, "FEW_REPEATS", few)
+    written, write = [], sinks._written
+    monkeypatch.setattr(sinks, "_written", lambda spark, df, what: written.append(what) or write(spark, df, what))
+    path, told = str(tmp_path / "spine"), random_events(60, 3)
+    told = [(*e[:12], "log", k) for k, e in enumerate(told)]
+    sinks.append_events(spark.createDataFrame(told[:30], SCHEMA).repartition(3), path, "a")
+    assert "fresh" not in written
+    later = [(*event(told[40][0], 5 * DAY, "a", parent="twice")[:12], "log", 99), (*event(told[2][0], 5 * DAY, "a", parent="stored")[:12], "log", 98)]
+    nameless = [(*event(None, 5 * DAY, "b")[:12], "log", 200 + k) for k in range(3)]
+    sinks.append_events(spark.createDataFrame(told[20:] + later + nameless, SCHEMA).repartition(3), path, "b")
+    assert "fresh" in written
+    rows = {r["id"]: (r["timestamp_us"], r["kind"], r["line_no"]) for r in spark.read.parquet(f"{path}/events").collect()}
+    assert rows == {e[0]: (e[1], e[9], e[13]) for e in told} | {None: (5 * DAY, "prompt", 200)}
+    assert spark.read.parquet(f"{path}/events").count() == 61
+    assert [tuple(r) for r in spark.read.parquet(f"{path}/batches").orderBy("seq").select("offered", "added").collect()] == [(30, 30), (45, 31)]
+    assert {"twice", "stored"} <= {r[0] for r in spark.read.parquet(f"{path}/repairs").select("parent_session_id").collect()}
+
+
+def test_frames_arrive_in_files_of_all_cores(spark, tmp_path):
+    from tracemill.plans import queries
+
+    frames_ = queries._frames(queries.Views(spark, "/root/testdata/sf0.001"))
+    half = queries._arrive(frames_, str(tmp_path / "in"))
+    assert half == 2 * spark.sparkContext.defaultParallelism and len(list((tmp_path / "in").glob("*.json"))) == 2 * half

@@ -10,7 +10,7 @@ from ..operators.transcripts import transcript_events
 from ..sources import linefiles, logs, sinks
 from ..sources.scratch import scratch, stored
 from ..streaming import live
-from .queries import _ALL_TRANSCRIPT, _CLAUDE, _HOOKED, _PAUSED, AS_OF, FROM, ORACLE_SQL, SUMS, TO, _frames, _hooked, _own_lines, _pauses, query
+from .queries import _ALL_TRANSCRIPT, _CLAUDE, _HOOKED, _PAUSED, AS_OF, FROM, ORACLE_SQL, SUMS, TO, _arrive, _frames, _hooked, _own_lines, _pauses, query
 
 #: When the stand-in batches are said to arrive.
 NOW = AS_OF - 90_000_000_000
@@ -75,8 +75,8 @@ def _drained(run):
 def stream_deduped(v):
     """Every frame arrives twice, in files in any order; the second is stopped by keyed state before the sink, which is offered each once."""
     where = scratch(v.spark, "twice")
-    _frames(v).unionByName(_frames(v)).repartition(4).write.json(f"{where}/in")
-    stream = live.stream_events(live.hook_stream(v.spark, f"{where}/in", 2))
+    half = _arrive(_frames(v).unionByName(_frames(v)), f"{where}/in")
+    stream = live.stream_events(live.hook_stream(v.spark, f"{where}/in", half))
     _drained(live.start_stream(stream, f"{where}/sink", f"{where}/state", available_now=True, repeats_within="6 hours"))
     offered = v.spark.read.parquet(f"{where}/sink/batches").select(F.sum("offered")).scalar()
     return _hooked(v.spark.read.parquet(f"{where}/sink/events")).withColumn("offered", offered)
@@ -115,8 +115,8 @@ def stream_pause(v):
     """A quarter of the users' frames arrives at a time, with a restart after each; collection is paused for the middle two."""
     where = scratch(v.spark, "pause")
     for k in range(4):
-        _frames(v).where(F.pmod(F.col("payload.session_id").cast("long"), F.lit(4)) == k).coalesce(2).write.mode("append").json(f"{where}/in")
-        stream = live.stream_events(live.hook_stream(v.spark, f"{where}/in", 1))
+        half = _arrive(_frames(v).where(F.pmod(F.col("payload.session_id").cast("long"), F.lit(4)) == k), f"{where}/in")
+        stream = live.stream_events(live.hook_stream(v.spark, f"{where}/in", half))
         _drained(live.start_stream(stream, f"{where}/sink", f"{where}/state", paused=lambda k=k: k in (1, 2), available_now=True))
     return v.spark.read.parquet(f"{where}/sink/events").groupBy("kind").agg(F.count("*").alias("events"))
 

@@ -15,6 +15,8 @@ from .scratch import scratch
 
 #: Rows of a batch up to which its ids are looked up by value; more are joined. A scan takes the values as a condition as deep as there are values.
 FEW_IDS = 512
+#: Ids that come again in a batch up to which their rows are taken out of it; with more, the rows of all ids are sorted for the first of each.
+FEW_REPEATS = 100_000
 LEDGER = "batch string, seq long, created_at_us long, offered long, added long, paused boolean"
 _SQL = threading.Lock()
 
@@ -54,6 +56,31 @@ def _arrived(events: DataFrame, seq: int, now_us: int) -> DataFrame:
     return own.withColumns({"ingest_seq": place, "created_at_us": F.lit(now_us).cast("long"), "event_date": F.to_date(F.timestamp_micros("timestamp_us"))})
 
 
+def _fresh(rows: DataFrame, path: str) -> DataFrame:
+    """The rows of a batch whose ids are not stored, of each id the first. Only the ids are shuffled to find what is stored or comes again; where nothing is, the
+    rows are returned as they are, and else what is left of them is written."""
+    spark, stored = rows.sparkSession, _stored(rows.sparkSession, f"{path}/events", "id string")
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    ids = rows.select("id", one.alias("own"), none.alias("old"))
+    if stored is not None:
+        # A row without an id is never one that is stored.
+        ids = ids.unionByName(stored.where("id is not null").select("id", none.alias("own"), one.alias("old")))
+    found = ids.groupBy("id").agg(F.sum("own").alias("own"), F.sum("old").alias("old")).where("own > 1 or (own = 1 and old > 0)")
+    again = _written(spark, found.select(F.col("id").alias("_id"), (F.col("old") > 0).alias("_stored")), "again")
+    known, repeated = again.agg(F.count_if("_stored"), F.count_if(~F.col("_stored"))).first()
+    if not known and not repeated:
+        return rows
+    same = F.col("id").eqNullSafe(F.col("_id"))
+    if known:
+        rows = rows.join(again.where("_stored").select("_id"), same, "left_anti")
+    if repeated > FEW_REPEATS:
+        rows = _first_of_each(rows)
+    elif repeated:
+        repeats = again.where(~F.col("_stored")).select("_id")
+        rows = rows.join(repeats, same, "left_anti").unionByName(_first_of_each(rows.join(repeats, same, "left_semi")))
+    return _written(spark, rows, "fresh")
+
+
 def _written(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
     where = scratch(spark, what)
     df.write.parquet(where)
@@ -100,13 +127,12 @@ def append_events(events: DataFrame, path: str, batch: str | None = None, now_us
     now_us = time.time_ns() // 1000 if now_us is None else now_us
     rows = _written(spark, _arrived(events, seq, now_us), "batch")
     n = rows.count()
-    fresh = _first_of_each(rows)
     if n <= FEW_IDS:
+        fresh = _first_of_each(rows)
         stored = _holding(spark, path, [r[0] for r in fresh.select("id").collect() if r[0] is not None])
-        fresh = fresh.where(~F.coalesce(F.col("id").isin(stored), F.lit(False))) if stored else fresh
-    elif (stored := _stored(spark, f"{path}/events", "id string")) is not None:
-        fresh = fresh.join(stored, "id", "left_anti")
-    out = _written(spark, fresh, "fresh")
+        out = _written(spark, fresh.where(~F.coalesce(F.col("id").isin(stored), F.lit(False))) if stored else fresh, "fresh")
+    else:
+        out = _fresh(rows, path)
     added = out.count()
     if {"session_id", "kind"} <= set(out.columns) and n:
         delta, before = out, f"{path}/folds/batch={seq}"
@@ -114,7 +140,7 @@ def append_events(events: DataFrame, path: str, batch: str | None = None, now_us
             part = _stored(spark, f"{path}/events")
             delta = out if part is None else out.unionByName(part.where(F.col("ingest_seq.batch") == seq), allowMissingColumns=True)
         fold_sessions(delta).write.mode("overwrite").parquet(before)
-        if "parent_session_id" in rows.columns:
+        if "parent_session_id" in rows.columns and added < n:
             told = rows.where("parent_session_id is not null and session_id is not null").select("session_id", "parent_session_id", "ingest_seq", F.col("ingest_seq.place").alias("_place"))
             told = told.join(out.select(F.col("ingest_seq.place").alias("_place")), "_place", "left_anti").drop("_place")
             if not told.isEmpty():
