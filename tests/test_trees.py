@@ -96,3 +96,15 @@ def test_a_rollout_over_many_segments(spark):
     assert len(whole) > 300
     for segment in (1, 6, 50):
         assert sorted(map(str, rollouts._events(rollouts.rollout_context(lines, segment=segment)).select(*columns).collect())) == whole
+
+
+def test_a_receipt_makes_its_labels_once(spark, monkeypatch):
+    from tracemill.plans import tree_queries
+    from tracemill.plans.views import Views
+
+    made, looked, label, scan = [], [], trees.tree_labels, tree_queries.sensitivity.scan_commands
+    monkeypatch.setattr(tree_queries.trees, "tree_labels", lambda *a: made.append(1) or label(*a))
+    monkeypatch.setattr(tree_queries.sensitivity, "scan_commands", lambda commands: looked.append(commands) or scan(commands))
+    v = Views(spark, "/root/testdata/sf0.01")
+    rows = tree_queries.receipt_rows(v)
+    assert made == [1] and looked[0].count() == rows.where("section = 'commands'").count() < v.commands.count()
