@@ -298,6 +298,24 @@ def test_shared_passages_make_no_long_lists(spark, monkeypatch):
     assert sent[1] <= 40 * 12
 
 
+def test_long_lists_deal_only_what_is_new(spark, monkeypatch):
+    """A list of near copies deals nothing again, and long texts that share a passage only the shingles that come in its place."""
+    monkeypatch.setattr(shingles, "SAMPLE", 0)
+    kept, keep = {}, shingles.keep
+    monkeypatch.setattr(shingles, "keep", lambda df, what: (lambda out: (kept.setdefault(what, out.count()), out)[1])(keep(df, what)))
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage, base = [word() for _ in range(30)], [word() for _ in range(100)]
+    copies = [(k, " ".join([*base, word()]), "en", "s") for k in range(40)]
+    unlike = [(k, " ".join([*(word() for _ in range(200)), *passage, *(word() for _ in range(200))]), "en", "s") for k in range(40, 100)]
+    assert {r["component"] for r in shingles.near_duplicates(make(spark, copies)).collect()} == {0}
+    assert "shingle-anew" not in kept and kept["shingle-open"] == 0
+    kept.clear()
+    assert sorted(r["component"] for r in shingles.near_duplicates(make(spark, copies + unlike)).collect()) == [0] * 40 + list(range(40, 100))
+    # 60 sets of 426 shingles deal 86 each.
+    assert 0 < kept["shingle-open"] < kept["shingle-anew"] <= 2 * kept["shingle-open"] < 60 * 86 // 2
+
+
 def test_sizes_part_long_lists(spark, monkeypatch):
     """Sets of one long list and of many sizes, small steps of which are alike."""
     monkeypatch.setattr(shingles, "SAMPLE", 0)

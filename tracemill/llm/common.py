@@ -115,11 +115,9 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     neighbours meets no single task; no row holds a neighbour list. Nodes without an edge are absent;
     self-edges, repeated edges and nulls do no harm. An empty input gives an empty result.
     """
-    spark = edges.sparkSession
     pairs = edges.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u <> v")
     pairs = checkpoint(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
-    while True:
+    while not _stars(pairs):
         # Large star: every larger neighbour of u is hung on the smallest of u and its neighbours.
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -127,16 +125,17 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         # Small star: u and its smaller neighbours are hung on the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = checkpoint(least.select("u", F.col("m").alias("v")).unionByName(moved).distinct())
-        now = small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        pairs = small
-        if now == before:
-            break
-        before = now
+        pairs = checkpoint(least.select("u", F.col("m").alias("v")).unionByName(moved).distinct())
     roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def _stars(pairs: DataFrame) -> bool:
+    """Whether every u of the distinct pairs (u, v), v < u, has one v, which is nobody's u: then v is the smallest node reachable."""
+    roles = pairs.select(F.col("u").alias("node"), F.lit(1).alias("below")).unionByName(pairs.select(F.col("v").alias("node"), F.lit(0).alias("below")))
+    return roles.groupBy("node").agg(F.sum("below").alias("k"), F.min("below").alias("least")).where("k > 1 or k = 1 and least = 0").isEmpty()
+
+
 def fold(column, parts: int):
     """crc32 of a value as text, modulo ``parts``; null for a null."""
     return F.crc32(column.cast("string").cast("binary")) % parts
