@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tracemill.llm import decontam, embed, langid, mixing, quality, sharding, shingles, simhash, substring, toxicity, urlfilter
-from tracemill.llm.common import components
+from tracemill.llm.common import components, keep, measured
 
 #: Extra columns whose names the operators use inside.
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, size string, row string, shard string, node string, rate string, print string, half string, score string"
@@ -73,6 +73,28 @@ def test_mix_meets_targets(docs):
     assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] for r in rows)
 
 
+def test_mixing_runs_few_jobs(spark):
+    rows = [(i, "w " * (i * 7 % 40 + 1), f"s{i % 3}") for i in range(300)] + [(300, None, "none"), (301, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    context = spark.sparkContext
+    context.setJobGroup("few-jobs", "mixing")
+    try:
+        got = {r["source"]: r for r in mixing.mix_plan(docs).collect()}
+        jobs = len(context.statusTracker().getJobIdsForGroup("few-jobs"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert got["none"]["target"] == 0 and got["none"]["copies"] == got[None]["copies"] == 1
+    assert 0 < jobs <= 55
+
+
+def test_kept_tables_are_counted_as_written(spark):
+    kept = keep(spark.range(7), "seven", counted=True)
+    empty = keep(spark.range(7).where("id < 0"), "none", counted=True)
+    assert (kept._tracemill_rows, empty._tracemill_rows) == (kept.count(), 0)
+    table, low = measured(spark.range(7), F.count_if(F.col("id") < 3))
+    assert (table.count(), low) == (7, 3) and measured(spark.range(0), F.sum("id"))[1] == 0
+
+
 def test_targets_are_dealt_again_over_the_cap(spark):
     sizes = spark.createDataFrame([("a", 10, 100), ("b", 10, 1000), ("c", 10, 1000), (None, 1, 0)], "source string, n long, source_size long")
     found = {r["source"]: r["target"] for r in mixing.targets(sizes).collect()}

@@ -8,7 +8,7 @@ import uuid
 import zlib
 from collections import Counter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but these ASCII blanks.
@@ -46,14 +46,19 @@ def shared_folder(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def keep(df: DataFrame, what: str) -> DataFrame:
+def keep(df: DataFrame, what: str, counted: bool = False) -> DataFrame:
     """Writes ``df`` once to the shared folder and returns a scan of it, so that later jobs neither
-    recompute it nor depend on an executor that may be lost. Turns ``CLEANUP`` on for the session."""
+    recompute it nor depend on an executor that may be lost. Turns ``CLEANUP`` on for the session. With ``counted`` the rows
+    are counted as they are written, for ``by_size``."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     spark.conf.set(CLEANUP, "true")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation() if counted else None
+    (df.observe(seen, F.count("*").alias("rows")) if counted else df).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if counted:
+        out._tracemill_rows = seen.get["rows"]
+    return out
 
 
 def passing(df: DataFrame, what: str) -> DataFrame:
@@ -92,14 +97,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def measured(df: DataFrame, measure: Column) -> tuple[DataFrame, int]:
+    """As ``checkpoint``, with an aggregate of the rows that is taken as they are written, without a query of its own; 0 where there are none."""
+    seen = Observation()
+    out = checkpoint(df.observe(seen, F.coalesce(measure, F.lit(0)).alias("value")))
+    return out, seen.get["value"]
+
+
 #: Rows of a small table that is broadcast at most.
 BROADCAST_ROWS = 100_000
 
 
 def by_size(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A checkpointed table, marked for broadcast if it has at most ``rows`` rows; a larger one is joined as Spark sees fit,
+    """A kept or checkpointed table, marked for broadcast if it has at most ``rows`` rows; a larger one is joined as Spark sees fit,
     by a shuffle whose skewed parts it can split."""
-    return F.broadcast(small) if small.count() <= rows else small
+    known = getattr(small, "_tracemill_rows", None)
+    return F.broadcast(small) if (small.count() if known is None else known) <= rows else small
 
 
 def uniform(*columns, salt: int = 0):

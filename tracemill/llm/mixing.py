@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, by_size, checkpoint, keep, uniform
+from .common import BROADCAST_ROWS, WORD, checkpoint, keep, measured, uniform
 
 BINS = 4096
 
@@ -51,35 +51,45 @@ def targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float
     return level.select("source", "source_size", (F.col("source_size") / F.col("n")).alias("mean"), target.alias("target"))
 
 
+def _few(small: DataFrame, few: bool) -> DataFrame:
+    """A table of at most a row a source, marked for broadcast if the sources, which are counted once, are few."""
+    return F.broadcast(small) if few else small
+
+
 def fit_mix(sized: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: int = 2, tolerance: float = 1e-6) -> DataFrame:
     """(id, source, size) to one row a source: source, source_size, mean, target, lam, shift.
 
     Newton steps go on until every source's words are within ``tolerance`` of its target, or its multiplier moves no more. A step
-    that is outside the bracket, or follows one that did not halve the gap, is replaced by the bracket's middle, so the loop ends."""
+    that is outside the bracket, or follows one that did not halve the gap, is replaced by the bracket's middle, so the loop ends.
+
+    Every query of the loop leaves plans and threads in the driver for a while. So the state goes with the histogram's rows into the sums: a step takes one
+    broadcast and one shuffle."""
     histogram = keep(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-histogram")
     sizes = histogram.groupBy("source").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("size")).alias("source_size"))
-    histogram = histogram.where("size > 0")
     most = F.lit(float(cap))
-    state = checkpoint(
+    state, sources = measured(
         targets(sizes, weights, share, cap)
         .withColumn("lam", F.lit(0.0))
         .withColumn("low", F.col("mean") * F.least(F.lit(0.0), F.log(F.try_divide("target", "source_size"))))  # a source of no words: 0
         .withColumn("high", F.col("mean") * F.log(most))
         .withColumn("gap", F.lit(2.0))
-        .na.fill(0.0, ["mean", "low", "high"])
+        .na.fill(0.0, ["mean", "low", "high"]),
+        F.count("*"),
     )
+    few = sources <= BROADCAST_ROWS
     while True:
-        joined = histogram.join(state.select(F.col("source").alias("s"), "lam", "mean"), F.col("source").eqNullSafe(F.col("s")))
-        tilt = F.exp(F.col("lam") * F.col("size") / F.col("mean"))
+        # Every source has rows in the histogram, those without words too: their sums are 0, and their multiplier stays.
+        joined = histogram.join(_few(state.withColumnRenamed("source", "s"), few), F.col("source").eqNullSafe(F.col("s")))
+        some = F.col("size") > 0
+        tilt = F.when(some, F.exp(F.col("lam") * F.col("size") / F.col("mean")))
         mass = F.col("n") * F.col("size")
-        sums = joined.groupBy("s").agg(
-            F.sum(mass * F.least(most, tilt)).alias("value"),
+        sums = joined.groupBy(*state.columns).agg(
+            F.sum(F.when(some, mass * F.least(most, tilt)).otherwise(0.0)).alias("value"),
             F.sum(F.when(tilt < most, mass * tilt * F.col("size") / F.col("mean")).otherwise(0.0)).alias("slope"),
         )
         over = F.col("value") > F.col("target")
         stepped = (
-            state.join(sums, F.col("source").eqNullSafe(F.col("s")), "left")
-            .withColumn("was", F.col("gap"))
+            sums.withColumn("was", F.col("gap"))
             .withColumn("gap", F.when(F.col("target") >= cap * F.col("source_size"), 0.0).otherwise(F.coalesce(F.abs(F.col("value") - F.col("target")) / F.col("target"), F.lit(0.0))))
             .withColumn("low", F.when(over, F.col("low")).otherwise(F.col("lam")))
             .withColumn("high", F.when(over, F.col("lam")).otherwise(F.col("high")))
@@ -87,11 +97,12 @@ def fit_mix(sized: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: int =
         )
         inside = (F.col("step") >= F.col("low")) & (F.col("step") <= F.col("high")) & (F.col("gap") <= F.col("was") / 2)
         lam = F.when(F.col("gap") <= tolerance, F.col("lam")).when(inside, F.col("step")).otherwise((F.col("low") + F.col("high")) / 2)
-        state = checkpoint(stepped.select("source", "source_size", "mean", "target", lam.alias("lam"), "low", "high", "gap", (lam != F.col("lam")).alias("moved")))
-        if state.where((F.col("gap") > tolerance) & F.col("moved")).isEmpty():
+        moving = (F.col("gap") > tolerance) & (lam != F.col("lam"))
+        state, left = measured(stepped.select("source", "source_size", "mean", "target", lam.alias("lam"), "low", "high", "gap", moving.alias("moving")), F.count_if("moving"))
+        if not left:
             break
-        state = state.drop("moved")
-    return _with_last(sized, _with_shift(sized, state.select("source", "source_size", "mean", "target", "lam"), cap), cap)
+        state = state.drop("moving")
+    return _few(_with_last(sized, _with_shift(sized, state.select("source", "source_size", "mean", "target", "lam"), cap, few), cap, few), few)
 
 
 def _rate(cap: int):
@@ -105,10 +116,10 @@ def _at(k: int, rate):
     return F.lit(float(k)) - rate - uniform("id")
 
 
-def _with_shift(sized: DataFrame, fitted: DataFrame, cap: int) -> DataFrame:
+def _with_shift(sized: DataFrame, fitted: DataFrame, cap: int, few: bool) -> DataFrame:
     """Finds for each source the shift at which the rounded words come nearest to its target, in two
     passes over a histogram of a fixed number of bins a source."""
-    known = by_size(fitted).select(F.col("source").alias("s"), "source_size", "mean", "target", "lam")
+    known = _few(fitted, few).select(F.col("source").alias("s"), "source_size", "mean", "target", "lam")
     events = sized.where("size > 0").join(known, F.col("source").eqNullSafe(F.col("s"))).withColumn("rate", _rate(cap))
     events = events.select("s", "size", "target", F.explode(F.array(*[_at(k, F.col("rate")) for k in range(1, cap + 1)])).alias("at"))
     width = 2.0 * cap / BINS
@@ -122,43 +133,42 @@ def _with_shift(sized: DataFrame, fitted: DataFrame, cap: int) -> DataFrame:
         .where("upto >= target and base < target")
         .select("s", "bin", "base")
     )
-    near = events.join(by_size(crossing).select(F.col("s").alias("c"), F.col("bin").alias("cbin"), "base"), F.col("s").eqNullSafe(F.col("c")) & (F.col("bin") == F.col("cbin")))
+    near = events.join(_few(crossing, few).select(F.col("s").alias("c"), F.col("bin").alias("cbin"), "base"), F.col("s").eqNullSafe(F.col("c")) & (F.col("bin") == F.col("cbin")))
     by_sub = Window.partitionBy("s").orderBy("sub")
     fine = (
         near.groupBy("s", "bin", "sub", "base", "target").agg(F.sum("size").alias("mass"))
         .withColumn("upto", F.col("base") + F.sum("mass").over(by_sub))
     )
-    options = fine.select("s", F.struct(F.abs(F.col("upto") - F.col("target")).alias("miss"), ((F.col("bin") + (F.col("sub") + 1) / BINS) * width - cap).alias("shift")).alias("o"))
-    bare = fine.select("s", F.struct(F.abs(F.col("base") - F.col("target")).alias("miss"), (F.col("bin") * width - cap).alias("shift")).alias("o"))
-    best = options.unionByName(bare).groupBy("s").agg(F.min("o")["shift"].alias("found"))
+    upto = F.struct(F.abs(F.col("upto") - F.col("target")).alias("miss"), ((F.col("bin") + (F.col("sub") + 1) / BINS) * width - cap).alias("shift"))
+    bare = F.struct(F.abs(F.col("base") - F.col("target")).alias("miss"), (F.col("bin") * width - cap).alias("shift"))
+    best = fine.groupBy("s").agg(F.min(F.least(upto, bare))["shift"].alias("found"))
     shift = F.coalesce("found", F.when(F.col("target") > 0, F.lit(cap + 1.0)).otherwise(F.lit(-cap - 1.0)))
-    return checkpoint(fitted.join(best, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("shift", shift).drop("s", "found"))
+    return checkpoint(fitted.join(_few(best, few), F.col("source").eqNullSafe(F.col("s")), "left").withColumn("shift", shift).drop("s", "found"))
 
 
-def _with_last(sized: DataFrame, fitted: DataFrame, cap: int) -> DataFrame:
+def _with_last(sized: DataFrame, fitted: DataFrame, cap: int, few: bool) -> DataFrame:
     """The shift leaves a source at most half a document off. One document, whose size is nearest to what is missing or
     over, gets a copy more or less, if that brings the source nearer: columns last_id, last_size and last_step. Where several rows are
     equal to it, all of them do, if that still brings it nearer."""
     kind = sized.schema["id"].dataType.simpleString()
     bare = fitted.withColumn("last_id", F.lit(None).cast(kind)).withColumn("last_size", F.lit(None).cast("long")).withColumn("last_step", F.lit(0))
-    taken = apply_mix(sized, bare, cap)
-    sums = taken.groupBy(F.col("source").alias("s")).agg(F.sum(F.col("copies") * F.col("size")).alias("taken"))
-    gaps = checkpoint(fitted.join(sums, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("g"), (F.col("target") - F.coalesce("taken", F.lit(0))).alias("gap")))
-    rows = taken.join(by_size(gaps), F.col("source").eqNullSafe(F.col("g")))
+    taken = apply_mix(sized, _few(bare, few), cap)
+    gaps = checkpoint(taken.groupBy(F.col("source").alias("g"), "target").agg((F.col("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap")).drop("target"))
+    rows = taken.join(_few(gaps, few), F.col("source").eqNullSafe(F.col("g")))
     free = (F.col("size") > 0) & F.when(F.col("gap") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0)
     off = F.abs(F.col("size") - F.abs("gap"))
     best = rows.where(free & (off < F.abs("gap")) & F.col("id").isNotNull()).groupBy(F.col("source").alias("s"), "gap").agg(F.min(F.struct(off.alias("off"), "id", "size")).alias("b"))
     best = checkpoint(best.select("s", "gap", F.col("b.id").alias("last_id"), F.col("b.size").alias("last_size")))
-    equal = sized.join(by_size(best), F.col("source").eqNullSafe(F.col("s")) & (F.col("id") == F.col("last_id")) & (F.col("size") == F.col("last_size")))
+    equal = sized.join(_few(best, few), F.col("source").eqNullSafe(F.col("s")) & (F.col("id") == F.col("last_id")) & (F.col("size") == F.col("last_size")))
     counted = equal.groupBy("s", "gap", "last_id", "last_size").agg(F.count("*").alias("m"))
     last = counted.where(F.abs(F.col("m") * F.col("last_size") - F.abs("gap")) < F.abs("gap")).select("s", "last_id", "last_size", F.signum("gap").cast("int").alias("last_step"))
-    return checkpoint(fitted.join(last, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"))
+    return checkpoint(fitted.join(_few(last, few), F.col("source").eqNullSafe(F.col("s")), "left").drop("s"))
 
 
 def apply_mix(sized: DataFrame, fitted: DataFrame, cap: int = 2) -> DataFrame:
-    """Adds source_size, target, rate and copies to rows with id, source and size (other columns stay)."""
+    """Adds source_size, target, rate and copies to rows with id, source and size (other columns stay). ``fitted`` is marked for broadcast where it is small."""
     extra = ["source_size", "mean", "target", "lam", "shift", "last_id", "last_size", "last_step"]
-    known = by_size(fitted).select(F.col("source").alias("_s"), *extra)
+    known = fitted.select(F.col("source").alias("_s"), *extra)
     rated = sized.join(known, F.col("source").eqNullSafe(F.col("_s"))).withColumn("rate", _rate(cap))
     copies = sum((_at(k, F.col("rate")) < F.col("shift")).cast("int") for k in range(1, cap + 1))
     last = F.when((F.col("id") == F.col("last_id")) & (F.col("size") == F.col("last_size")), F.col("last_step")).otherwise(0)

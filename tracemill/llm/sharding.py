@@ -22,7 +22,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, checkpoint, discard, keep, passing, uniform
+from .common import BROADCAST_ROWS, checkpoint, discard, keep, measured, passing, uniform
 
 #: A row's place has 24 bits of the dimension, 12 of the checksum and 12 of the id; a histogram pass tells ``BITS`` of them apart.
 TIE = 1 << 12
@@ -65,11 +65,11 @@ def prepared(docs: DataFrame, id_col="doc_id", text_col="text", dims=("n_chars",
     return docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), size.alias("size"), crc.alias("crc"), own.alias("print"), ties.cast("long").alias("ties"), *places)
 
 
-def heavy_repeats(slim: DataFrame, shards: int) -> DataFrame:
-    """(_id, _crc) of rows equal in id and text that weigh more than a ``SLIGHT``-th of a mean shard together."""
+def heavy_repeats(slim: DataFrame, shards: int) -> tuple[DataFrame, int]:
+    """(_id, _crc), and their number, of rows equal in id and text that weigh more than a ``SLIGHT``-th of a mean shard together."""
     groups = slim.groupBy(F.col("id").alias("_id"), F.col("crc").alias("_crc")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
     total = slim.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    return checkpoint(groups.where((F.col("n") > 1) & (F.col("bytes") > total / (shards * SLIGHT))).select("_id", "_crc"))
+    return measured(groups.where((F.col("n") > 1) & (F.col("bytes") > total / (shards * SLIGHT))).select("_id", "_crc"), F.count("*"))
 
 
 def told_apart(rows: DataFrame, heavy: DataFrame) -> DataFrame:
@@ -180,8 +180,8 @@ def kd_shards(slim: DataFrame, shards: int, to_place: DataFrame | None = None) -
 def _placed(slim: DataFrame, shards: int | None, target_bytes: int, full: DataFrame | None = None) -> DataFrame:
     if shards is None:
         shards = shard_count(slim.agg(F.sum("size")).first()[0] or 0, target_bytes)
-    heavy = heavy_repeats(slim, shards)
-    if not heavy.isEmpty():
+    heavy, found = heavy_repeats(slim, shards)
+    if found:
         slim = keep(told_apart(slim, heavy), "shard-repeats")
         full = told_apart(full, heavy) if full is not None else None
     return kd_shards(slim, shards, full)

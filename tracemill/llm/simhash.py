@@ -210,7 +210,7 @@ def labelled(prints: DataFrame, distinct: DataFrame, joined: DataFrame) -> DataF
     roots = joined.join(distinct, F.col("node") == F.col("print")).groupBy("root").agg(F.min("least").alias("component"))
     member = joined.join(roots, "root").select(F.col("node").alias("print"), "component")
     known = distinct.join(member, "print", "left").select("print", F.coalesce("component", "least").alias("component"))
-    return prints.join(by_size(keep(known, "print-classes")), "print")
+    return prints.join(by_size(keep(known, "print-classes", counted=True)), "print")
 
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = 3, seed: int = 42, radius: int = RADIUS) -> DataFrame:
