@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tracemill.llm import decontam, embed, langid, mixing, quality, sharding, shingles, simhash, substring, toxicity, urlfilter
-from tracemill.llm.common import components, keep, measured
+from tracemill.llm.common import components, keep, measured, shared_folder, spare, temporary
 
 #: Extra columns whose names the operators use inside.
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, size string, row string, shard string, node string, rate string, print string, half string, score string"
@@ -369,6 +369,129 @@ def test_pipeline_links_what_only_fingerprints_link(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.without_near_duplicates(spark, make(spark, rows), "").collect()) == [0, 2]
 
 
+def test_marks_differ_at_most_as_sets_do():
+    rng = np.random.default_rng(4)
+    sizes = np.array([0, 1, shingles.MARKED - 1, shingles.MARKED, 700, 5000])
+    many = [rng.integers(-(1 << 62), 1 << 62, n) for n in sizes]
+    near = [np.concatenate([x[: len(x) * 9 // 10], rng.integers(-(1 << 62), 1 << 62, len(x) // 10)]) for x in many]
+    found, other = (shingles.marks(np.array([len(x) for x in y]), np.concatenate(y)).to_pylist() for y in (many, near))
+    assert [len(m) for m in found] == [0, 0, 0, 16, 16, 16]
+    bits = lambda x, y: sum(((a ^ b) & ((1 << 64) - 1)).bit_count() for a, b in zip(x, y, strict=True))
+    for x, y, a, b in zip(many, near, found, other, strict=True):
+        assert not (a and b) or 0 < bits(a, b) <= len(set(x.tolist()) ^ set(y.tolist()))
+    assert bits(found[3], found[4]) <= 128 + 700 and bits(found[5], found[5]) == 0
+
+
+def test_pairs_unlike_by_their_marks_need_no_sets(spark, monkeypatch):
+    """Of texts of which half is common those alone are fetched that have a near copy."""
+    monkeypatch.setattr(shingles, "SAMPLE", 0)
+    sent, linked = [], shingles._linked
+    monkeypatch.setattr(shingles, "_linked", lambda pairs, *rest: (sent.append(pairs.count()), linked(pairs, *rest))[1])
+    likely, close = [], shingles._close
+    monkeypatch.setattr(shingles, "_close", lambda pairs, *rest: (likely.append(pairs.count()), close(pairs, *rest))[1])
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(300)]
+    rows = [(k, " ".join(base[: 220 + k] + [word() for _ in range(120)]), "en", "s") for k in range(20)]
+    rows += [(100 + k, f"{rows[k][1]} {word()}", "en", "s") for k in range(5)]
+    found = [(i, shingle_set(t)) for i, t, _, _ in rows]
+    got = {r["id"]: r["component"] for r in shingles.near_duplicates(make(spark, rows)).collect()}
+    assert got == dict(zip((i for i, _ in found), slow_classes(found, alike), strict=True))
+    assert likely[0] > 4 * sent[0] and sent[0] >= 5
+
+
+def open_lists(spark, lists):
+    """The frame that ``_open`` gives for (token, sets), each set of size class 7 and its own component."""
+    rows = [(t, p, 100, p, 7, {7: -(-len(ps) // shingles.BLOCK)}) for t, ps in lists for p in ps]
+    return spark.createDataFrame(rows, "token long, print long, n long, root long, size long, blocks map<long, long>")
+
+
+def test_lists_of_the_same_sets_are_compared_once(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "BLOCK", 10)
+    same = [(t, range(30)) for t in range(20)]
+    apart = [(t, [0, *range(30 * t, 30 * t + 29)]) for t in range(100, 110)]  # lists that meet in one set only
+    assert shingles._together(open_lists(spark, same)).count() == 30
+    got = shingles._together(open_lists(spark, apart)).collect()
+    assert len(got) == sum(len(p) for _, p in apart) and {r["cost"] for r in got} == {300}
+    both = shingles._together(open_lists(spark, [*((t, range(-40, -10)) for t in range(20)), *apart])).collect()
+    assert len(both) == 30 + len(got)
+
+
+def test_long_lists_are_compared_in_passes(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "SAMPLE", 0)
+    monkeypatch.setattr(shingles, "BLOCK", 8)
+    monkeypatch.setattr(shingles.joined, "__defaults__", (shingles.LEAST, 4))
+    monkeypatch.setattr(shingles, "PASS", 1 << 14)
+    names, keep = [], shingles.keep
+    monkeypatch.setattr(shingles, "keep", lambda df, what: (names.append(what), keep(df, what))[1])
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(300)]
+    rows = [(k, " ".join(base[: rng.randint(100, 300)] + [word() for _ in range(rng.choice([0, 2, 20, 60]))]), "en", "s") for k in range(70)]
+    found = [(i, shingle_set(t)) for i, t, _, _ in rows]
+    got = {r["id"]: r["component"] for r in shingles.near_duplicates(make(spark, rows)).collect()}
+    assert got == dict(zip((i for i, _ in found), slow_classes(found, alike), strict=True))
+    assert names.count("shingle-across") > 1
+
+
+def written(spark):
+    """Names of the tables in the shared folder."""
+    folder = shared_folder(spark).removeprefix("file:")
+    return {p.parent.name for p in Path(folder).rglob("_SUCCESS")}
+
+
+def test_stages_leave_little_on_disk_and_shuffle_no_texts(spark):
+    import corpus_pipeline
+
+    few = edge_rows()
+    many = [(1000 * k + i, t, lang, src) for k in range(9) for i, t, lang, src in few]
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for rows in (few, many):
+            texts = make(spark, rows).dropDuplicates(["doc_id"])  # others are put together, and so are shuffled
+            path = f"{shared_folder(spark)}/texts-{len(rows)}"
+            texts.write.mode("overwrite").parquet(path)
+            texts = spark.read.parquet(path)
+            for stage in (corpus_pipeline.without_near_duplicates, corpus_pipeline.without_benchmark):
+                before = written(spark)
+                left = stage(spark, texts, "/root/testdata/sf0.001")
+                assert "Exchange hashpartitioning" not in left._jdf.queryExecution().executedPlan().toString()
+                assert left.count() > 0
+                assert len(written(spark) - before) <= 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+
+
+def test_many_tags_on_either_side(spark, docs, monkeypatch):
+    want = sorted(simhash.one_of_each(docs).collect(), key=str)
+    for most in (0, 1 << 40):
+        monkeypatch.setattr(simhash, "HASH_ROWS", most)
+        assert sorted(simhash.one_of_each(docs).collect(), key=str) == want
+
+
+def test_pipeline_keeps_the_last_stage_only(spark):
+    import corpus_pipeline
+
+    before = written(spark)
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+    stages = [n for n in written(spark) - before if n.startswith("stage")]
+    assert len(stages) == 1 and "mixing" in stages[0]
+
+
+def test_temporary_tables_go(spark):
+    before = written(spark)
+    with temporary():
+        one = keep(spark.range(3), "one")
+        with temporary():
+            two, three = keep(spark.range(4), "two"), keep(spark.range(5), "three", counted=True)
+            spare(three)
+        assert len(written(spark) - before) == 2 and three._tracemill_rows == three.count() == 5 and one.count() == 3
+        with pytest.raises(Exception, match="two"):
+            two.count()
+    assert written(spark) == before
+
+
 def test_shingles_of_nothing(empty):
     assert shingles.near_duplicates(empty).count() == 0 and simhash.one_of_each(empty, grouped=shingles.near_duplicates).count() == 0
 

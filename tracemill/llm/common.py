@@ -7,6 +7,8 @@ import tempfile
 import uuid
 import zlib
 from collections import Counter
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -46,21 +48,51 @@ def shared_folder(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: The tables that each open block of ``temporary`` has made so far.
+_made: list[list[DataFrame]] = []
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Tables that ``keep`` and ``passing`` write in this block are deleted at its end, but for those that ``spare`` names. What is returned from it may not read them."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        discard(*_made.pop())
+
+
+def spare(*tables: DataFrame) -> None:
+    """These tables outlive the innermost block of ``temporary``; the block around it, if there is one, deletes them."""
+    own = _made[-1]
+    own[:] = [t for t in own if not any(t is x for x in tables)]
+    if len(_made) > 1:
+        _made[-2] += tables
+
+
 def keep(df: DataFrame, what: str, counted: bool = False) -> DataFrame:
     """Writes ``df`` once to the shared folder and returns a scan of it, so that later jobs neither
     recompute it nor depend on an executor that may be lost. Turns ``CLEANUP`` on for the session. With ``counted`` the rows
-    are counted as they are written, for ``by_size``."""
+    are counted as they are written, for ``by_size``. In a block of ``temporary`` it can be deleted, as what ``passing`` writes."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
-    spark.conf.set(CLEANUP, "true")
     seen = Observation() if counted else None
-    (df.observe(seen, F.count("*").alias("rows")) if counted else df).write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    rows = df.observe(seen, F.count("*").alias("rows")) if counted else df
+    if _made:
+        out = passing(rows, what)
+    else:
+        path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+        spark.conf.set(CLEANUP, "true")
+        rows.write.parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
     if counted:
         out._tracemill_rows = seen.get["rows"]
     return out
 
 
+def keep_counted(df: DataFrame, what: str) -> DataFrame:
+    return keep(df, what, counted=True)
+
+
 def passing(df: DataFrame, what: str) -> DataFrame:
     """As ``keep``, for a large table that ``discard`` deletes once what is made of it has been written. It is a table of a
     database in the shared folder, so that plain SQL can drop it."""
@@ -72,11 +104,13 @@ def passing(df: DataFrame, what: str) -> DataFrame:
     df.write.format("parquet").saveAsTable(name)
     out = spark.table(name)
     out._tracemill_table = name
+    if _made:
+        _made[-1].append(out)
     return out
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes tables that ``passing`` wrote; others are left alone."""
+    """Deletes tables that ``passing`` wrote; others are left alone, and so are those that are gone."""
     for table_ in tables:
         if name := getattr(table_, "_tracemill_table", None):
             table_.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
@@ -106,6 +140,8 @@ def measured(df: DataFrame, measure: Column) -> tuple[DataFrame, int]:
 
 #: Rows of a small table that is broadcast at most.
 BROADCAST_ROWS = 100_000
+#: The same where rows are two hashes and the other side is texts, which otherwise are shuffled whole.
+HASH_ROWS = 500_000
 
 
 def by_size(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

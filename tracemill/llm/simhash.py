@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import pieces
-from .common import by_size, components, keep
+from .common import HASH_ROWS, by_size, components, keep, keep_counted, spare, temporary
 
 RADIUS = 2
 SHARD = 256
@@ -210,7 +210,7 @@ def labelled(prints: DataFrame, distinct: DataFrame, joined: DataFrame) -> DataF
     roots = joined.join(distinct, F.col("node") == F.col("print")).groupBy("root").agg(F.min("least").alias("component"))
     member = joined.join(roots, "root").select(F.col("node").alias("print"), "component")
     known = distinct.join(member, "print", "left").select("print", F.coalesce("component", "least").alias("component"))
-    return prints.join(by_size(keep(known, "print-classes", counted=True)), "print")
+    return prints.join(by_size(keep_counted(known, "print-classes")), "print")
 
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = 3, seed: int = 42, radius: int = RADIUS) -> DataFrame:
@@ -229,13 +229,21 @@ def one_of_each(docs: DataFrame, id_col="doc_id", text_col="text", grouped=near_
     tags = [F.xxhash64(F.lit(salt), F.col(id_col), F.col(text_col)) for salt in (1, 2)]
     tag = F.struct(tags[0].alias("h1"), tags[1].alias("h2"))
     keyed = docs.select(F.struct(F.col(id_col).alias("id"), tag.alias("tag")).alias("id"), F.col(text_col).alias("text"))
-    chosen = grouped(keyed, "id", "text", **options).groupBy("component").agg(F.min("id").alias("first"))
-    first = chosen.select("first.tag.*").distinct()
-    kept = docs.select(F.struct("*").alias("row"), tag.alias("tag")).select("row", "tag.*").join(first, ["h1", "h2"], "left_semi")
-    # Rows that are equal in id and text meet under one tag; only such rows are put together here.
-    again = keep(kept.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "repeated-rows")
-    if again.isEmpty():
+    with temporary():
+        members = keep(grouped(keyed, "id", "text", **options).select("component", "id"), "members")
+        chosen = members.groupBy("component").agg(F.min("id").alias("first"))
+        first = keep_counted(chosen.select("first.tag.*").distinct(), "first-rows")
+        rows = members.groupBy("id.tag").agg(F.count("*").alias("n")).select("tag.*", "n")
+        other = keep_counted(rows.join(first, ["h1", "h2"], "left_anti").select("h1", "h2"), "other-rows")
+        # Rows that are equal in id and text meet under one tag; only such rows are put together here.
+        again = keep_counted(rows.where("n > 1").join(first, ["h1", "h2"], "left_semi").select("h1", "h2"), "repeated-rows")
+        # The fewer tags go to the texts. Where both are too many for that, the texts are shuffled.
+        fewer, how = (first, "left_semi") if first._tracemill_rows < other._tracemill_rows else (other, "left_anti")
+        spare(fewer, again)
+    tagged = docs.select(F.struct("*").alias("row"), tag.alias("tag")).select("row", "tag.*")
+    kept = tagged.join(by_size(fewer, HASH_ROWS), ["h1", "h2"], how)
+    if not again._tracemill_rows:
         return kept.select("row.*")
-    single = kept.join(again, ["h1", "h2"], "left_anti").select("row")
-    merged = kept.join(again, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    single = kept.join(by_size(again, HASH_ROWS), ["h1", "h2"], "left_anti").select("row")
+    merged = kept.join(by_size(again, HASH_ROWS), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min_by("row", F.to_json("row")).alias("row"))
     return single.unionByName(merged.select("row")).select("row.*")
