@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tracemill.llm import decontam, embed, langid, mixing, quality, sharding, shingles, simhash, substring, toxicity, urlfilter
-from tracemill.llm.common import components, keep, measured, shared_folder, spare, temporary
+from tracemill.llm.common import components, keep, measured, shared_folder, temporary
 
 #: Extra columns whose names the operators use inside.
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, size string, row string, shard string, node string, rate string, print string, half string, score string"
@@ -481,15 +481,14 @@ def test_pipeline_keeps_the_last_stage_only(spark):
 
 def test_temporary_tables_go(spark):
     before = written(spark)
-    with temporary():
+    with temporary(spark):
         one = keep(spark.range(3), "one")
-        with temporary():
-            two, three = keep(spark.range(4), "two"), keep(spark.range(5), "three", counted=True)
-            spare(three)
+        with temporary(spark):
+            two, three = keep(spark.range(4), "two"), keep(spark.range(5), "three", counted=True, lasting=True)
         assert len(written(spark) - before) == 2 and three._tracemill_rows == three.count() == 5 and one.count() == 3
         with pytest.raises(Exception, match="two"):
             two.count()
-    assert written(spark) == before
+    assert len(written(spark) - before) == 1 and three.count() == 5
 
 
 def test_shingles_of_nothing(empty):

@@ -48,36 +48,36 @@ def shared_folder(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-#: The tables that each open block of ``temporary`` has made so far.
-_made: list[list[DataFrame]] = []
+#: The databases of the open blocks of ``temporary``.
+_open: list[str] = []
 
 
 @contextmanager
-def temporary() -> Iterator[None]:
-    """Tables that ``keep`` and ``passing`` write in this block are deleted at its end, but for those that ``spare`` names. What is returned from it may not read them."""
-    _made.append([])
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``keep`` and ``passing`` write in this block are deleted together at its end, but for ``lasting`` ones. What is returned from it may not read the others."""
+    base = _database(spark, uuid.uuid4().hex)
+    _open.append(base)
     try:
         yield
     finally:
-        discard(*_made.pop())
+        _open.remove(base)
+        spark.sql(f"DROP DATABASE IF EXISTS {base} CASCADE")
 
 
-def spare(*tables: DataFrame) -> None:
-    """These tables outlive the innermost block of ``temporary``; the block around it, if there is one, deletes them."""
-    own = _made[-1]
-    own[:] = [t for t in own if not any(t is x for x in tables)]
-    if len(_made) > 1:
-        _made[-2] += tables
+def _database(spark: SparkSession, *name: str) -> str:
+    base = "_".join(["tracemill", re.sub(r"\W", "_", spark.sparkContext.applicationId), *name])
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {base} LOCATION '{shared_folder(spark)}/{base}'")
+    return base
 
 
-def keep(df: DataFrame, what: str, counted: bool = False) -> DataFrame:
+def keep(df: DataFrame, what: str, counted: bool = False, lasting: bool = False) -> DataFrame:
     """Writes ``df`` once to the shared folder and returns a scan of it, so that later jobs neither
     recompute it nor depend on an executor that may be lost. Turns ``CLEANUP`` on for the session. With ``counted`` the rows
-    are counted as they are written, for ``by_size``. In a block of ``temporary`` it can be deleted, as what ``passing`` writes."""
+    are counted as they are written, for ``by_size``. In a block of ``temporary`` it is deleted at the end, unless it is ``lasting``, and ``discard`` deletes it before."""
     spark = df.sparkSession
     seen = Observation() if counted else None
     rows = df.observe(seen, F.count("*").alias("rows")) if counted else df
-    if _made:
+    if _open and not lasting:
         out = passing(rows, what)
     else:
         path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
@@ -97,15 +97,12 @@ def passing(df: DataFrame, what: str) -> DataFrame:
     """As ``keep``, for a large table that ``discard`` deletes once what is made of it has been written. It is a table of a
     database in the shared folder, so that plain SQL can drop it."""
     spark = df.sparkSession
-    base = "tracemill_" + re.sub(r"\W", "_", spark.sparkContext.applicationId)
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {base} LOCATION '{shared_folder(spark)}/{base}'")
+    base = _open[-1] if _open else _database(spark)
     name = f"{base}.{re.sub(r'[^A-Za-z0-9]', '_', what)}_{uuid.uuid4().hex}"
     spark.conf.set(CLEANUP, "true")
     df.write.format("parquet").saveAsTable(name)
     out = spark.table(name)
     out._tracemill_table = name
-    if _made:
-        _made[-1].append(out)
     return out
 
 
@@ -144,10 +141,10 @@ BROADCAST_ROWS = 100_000
 HASH_ROWS = 500_000
 
 
-def by_size(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def by_size(small: DataFrame, rows: int = BROADCAST_ROWS, known: int | None = None) -> DataFrame:
     """A kept or checkpointed table, marked for broadcast if it has at most ``rows`` rows; a larger one is joined as Spark sees fit,
-    by a shuffle whose skewed parts it can split."""
-    known = getattr(small, "_tracemill_rows", None)
+    by a shuffle whose skewed parts it can split. ``known`` is its number of rows, where that has been counted."""
+    known = getattr(small, "_tracemill_rows", known)
     return F.broadcast(small) if (small.count() if known is None else known) <= rows else small
 
 

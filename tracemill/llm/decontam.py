@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASH_ROWS, by_size, keep, keep_counted, spare, temporary
+from .common import HASH_ROWS, by_size, keep, temporary
 
 WINDOW = 13
 BLOCK_WORDS = 400_000
@@ -301,9 +301,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_
     met again by a hash of their id and text. It rests on exact windows, so near matches are not sought."""
     rows = docs.select(F.struct("*").alias("row"), *_keys(id_col, text_col))
     keyed = docs.select(F.struct(*_keys(id_col, text_col)).alias("id"), F.col(text_col).alias("text"))
-    with temporary():
-        bad = keep_counted(matches(keyed, benchmark, "id", "text", proximity=False, **options).where(contaminated()).select("id.*").distinct(), "contaminated")
-        spare(bad)
+    with temporary(docs.sparkSession):
+        found = matches(keyed, benchmark, "id", "text", proximity=False, **options)
+        bad = keep(found.where(contaminated()).select("id.*").distinct(), "contaminated", counted=True, lasting=True)
     return rows.join(by_size(bad, HASH_ROWS), ["k1", "k2"], "left_anti").select("row.*")
 
 

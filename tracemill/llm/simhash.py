@@ -23,11 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .bytewords import pieces
-from .common import HASH_ROWS, by_size, components, keep, keep_counted, spare, temporary
+from .common import HASH_ROWS, by_size, components, keep, keep_counted, temporary
 
 RADIUS = 2
 SHARD = 256
@@ -229,21 +229,23 @@ def one_of_each(docs: DataFrame, id_col="doc_id", text_col="text", grouped=near_
     tags = [F.xxhash64(F.lit(salt), F.col(id_col), F.col(text_col)) for salt in (1, 2)]
     tag = F.struct(tags[0].alias("h1"), tags[1].alias("h2"))
     keyed = docs.select(F.struct(F.col(id_col).alias("id"), tag.alias("tag")).alias("id"), F.col(text_col).alias("text"))
-    with temporary():
-        members = keep(grouped(keyed, "id", "text", **options).select("component", "id"), "members")
+    seen = Observation()
+    with temporary(docs.sparkSession):
+        members = grouped(keyed, "id", "text", **options).select("component", "id")
         chosen = members.groupBy("component").agg(F.min("id").alias("first"))
-        first = keep_counted(chosen.select("first.tag.*").distinct(), "first-rows")
-        rows = members.groupBy("id.tag").agg(F.count("*").alias("n")).select("tag.*", "n")
-        other = keep_counted(rows.join(first, ["h1", "h2"], "left_anti").select("h1", "h2"), "other-rows")
-        # Rows that are equal in id and text meet under one tag; only such rows are put together here.
-        again = keep_counted(rows.where("n > 1").join(first, ["h1", "h2"], "left_semi").select("h1", "h2"), "repeated-rows")
-        # The fewer tags go to the texts. Where both are too many for that, the texts are shuffled.
-        fewer, how = (first, "left_semi") if first._tracemill_rows < other._tracemill_rows else (other, "left_anti")
-        spare(fewer, again)
-    tagged = docs.select(F.struct("*").alias("row"), tag.alias("tag")).select("row", "tag.*")
-    kept = tagged.join(by_size(fewer, HASH_ROWS), ["h1", "h2"], how)
-    if not again._tracemill_rows:
+        own = members.join(chosen, "component").groupBy("id.tag").agg(F.max(F.col("id.tag") == F.col("first.tag")).alias("kept"), F.count("*").alias("n"))
+        verdicts = own.select("tag.h1", "tag.h2", "kept", (F.col("kept") & (F.col("n") > 1)).alias("again"))
+        counts = [F.count_if(F.col("kept")).alias("kept"), F.count_if(~F.col("kept")).alias("gone"), F.count_if("again").alias("again")]
+        verdicts = keep(verdicts.observe(seen, *counts), "row-verdicts", lasting=True)
+    some = lambda which, known: by_size(verdicts.where(which).select("h1", "h2"), HASH_ROWS, known)
+    # The fewer tags go to the texts. Where both are too many for that, the texts are shuffled.
+    tagged, n = docs.select(F.struct("*").alias("row"), tag.alias("tag")).select("row", "tag.*"), seen.get
+    which, how = ("kept", "left_semi") if n["kept"] < n["gone"] else ("not kept", "left_anti")
+    kept = tagged.join(some(which, min(n["kept"], n["gone"])), ["h1", "h2"], how)
+    if not n["again"]:
         return kept.select("row.*")
-    single = kept.join(by_size(again, HASH_ROWS), ["h1", "h2"], "left_anti").select("row")
-    merged = kept.join(by_size(again, HASH_ROWS), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    # Rows that are equal in id and text meet under one tag; only such rows are put together here.
+    again = some("again", n["again"])
+    single = kept.join(again, ["h1", "h2"], "left_anti").select("row")
+    merged = kept.join(again, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min_by("row", F.to_json("row")).alias("row"))
     return single.unionByName(merged.select("row")).select("row.*")
