@@ -48,7 +48,7 @@ def shared_folder(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-#: The databases of the open blocks of ``temporary``.
+#: The databases of the open blocks of ``temporary``. What ``keep`` writes is no table of theirs, as that takes the driver twice the queries, but lies in their folder, which goes with them.
 _open: list[str] = []
 
 
@@ -73,17 +73,15 @@ def _database(spark: SparkSession, *name: str) -> str:
 def keep(df: DataFrame, what: str, counted: bool = False, lasting: bool = False) -> DataFrame:
     """Writes ``df`` once to the shared folder and returns a scan of it, so that later jobs neither
     recompute it nor depend on an executor that may be lost. Turns ``CLEANUP`` on for the session. With ``counted`` the rows
-    are counted as they are written, for ``by_size``. In a block of ``temporary`` it is deleted at the end, unless it is ``lasting``, and ``discard`` deletes it before."""
+    are counted as they are written, for ``by_size``. In a block of ``temporary`` it is deleted at the end, unless it is ``lasting``."""
     spark = df.sparkSession
     seen = Observation() if counted else None
     rows = df.observe(seen, F.count("*").alias("rows")) if counted else df
-    if _open and not lasting:
-        out = passing(rows, what)
-    else:
-        path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
-        spark.conf.set(CLEANUP, "true")
-        rows.write.parquet(path)
-        out = spark.read.schema(df.schema).parquet(path)
+    folder = "/".join([shared_folder(spark), *([] if lasting else _open[-1:])])
+    path = f"{folder}/{what}-{uuid.uuid4().hex}"
+    spark.conf.set(CLEANUP, "true")
+    rows.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     if counted:
         out._tracemill_rows = seen.get["rows"]
     return out
